@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import languages, lookalike, mixing, packing, quality, sentences, splitting, tokens
+from corpusloom.llm import languages, lookalike, mixing, neardup, packing, quality, sentences, splitting, tokens
 from corpusloom.runtime import cut, table
 
 
@@ -56,6 +56,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "documents")).filter("piece_no = 2").select(F.col("key").alias("doc_id")).distinct()
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_duplicate_pairs(table(spark, d, "documents")).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_duplicate_groups(table(spark, d, "documents"), threshold=0.8).withColumnRenamed("key", "doc_id")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return languages.relabel(table(spark, d, "documents"), _model(spark, d)).select(F.col("key").alias("doc_id"), "lang").distinct()
 
