@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import languages, lookalike, mixing, neardup, packing, quality, sentences, splitting, tokens
+from corpusloom.llm import languages, lookalike, mixing, neardup, packing, quality, scans, sentences, splitting, tokens
 from corpusloom.runtime import cut, table
 
 
@@ -15,6 +15,14 @@ def _model(spark: SparkSession, d: str) -> languages.KneserNey:
     return languages.fit_from(table(spark, d, "lang_samples"))
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.damaged_lines(table(spark, d, "documents"))[0].withColumnRenamed("key", "doc_id")
+
+
+def p1_repair(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repair(table(spark, d, "documents")).withColumnRenamed("key", "doc_id")
+
+
 def p2_token_budget(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_budget(table(spark, d, "documents"), table(spark, d, "raw_corpus"))
 
