@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.gbdt import GradientBoosting
 from corpusloom.llm.languages import _TO_LATIN, _UNSEEN
+from corpusloom.llm.quality import _ENTRY, _INDEX, _LEADER, _fields
 from corpusloom.runtime import cut, pieces
 
 # Marks that a layout puts at a broken word's end, and those of them that no word has.
@@ -69,13 +70,19 @@ def is_laid_out(lines: list[str]) -> int:
     width = max(map(len, bare), default=0)
     if len(lines) < 4 or not 24 <= width <= 130:
         return 0
-    full = pairs = 0
+    full = pairs = going_on = 0
     for a, b in zip(bare, bare[1:], strict=False):
         if a and b and len(a) > 0.5 * width:
             pairs += 1
-            first = b.split(None, 1)[0]
-            full += a[-1] in BREAK_MARKS or len(a) + 1 + len(first) > width - 1
-    return width if full >= 3 and full >= 0.5 * pairs else 0
+            head = b.lstrip()
+            if a[-1] in BREAK_MARKS or len(a) + 1 + len(head.split(None, 1)[0]) > width - 1:
+                full += 1
+                # Prose goes on in small letters somewhere; where a script has none, its lines are full.
+                going_on += head[0].islower() or not (head[0].isupper() or head[0].isdigit()) and head[0].isalpha() and len(a) > 0.85 * width
+    if full < 3 or full < 0.5 * pairs or going_on < 0.25 * full:
+        return 0
+    letters = sum(map(str.isalpha, "".join(bare)))
+    return width if letters > 0.45 * sum(map(len, bare)) else 0
 
 
 @dataclass
@@ -99,7 +106,16 @@ class Page:
         return " ".join(w[:2])
 
     def candidates(self) -> list[int]:
-        return [i for i in self.solid if len(self.bare[i]) <= 0.92 * self.width]
+        """Lines shorter than the page that are no rows of a table and no entries of a list."""
+        row = [(_fields(self.lines[i]), bool(_ENTRY.match(self.lines[i]) or _LEADER.search(self.bare[i]) or _INDEX.match(self.bare[i]))) for i in self.solid]
+        out = []
+        for k, i in enumerate(self.solid):
+            (sep, n), entry = row[k]
+            near = row[max(0, k - 1) : k] + row[k + 1 : k + 2]
+            if len(self.bare[i]) > 0.92 * self.width or n >= 3 and any(m >= 3 and s == sep for (s, m), _ in near) or entry and any(e for _, e in near):
+                continue
+            out.append(i)
+        return out
 
     def features(self, i: int) -> list[float]:
         s, raw = self.bare[i], self.lines[i]
@@ -210,10 +226,15 @@ def lay_out(text: str, rng: random.Random, ordinary: dict[str, int]) -> tuple[li
     mark = rng.choice(BREAK_MARKS)
     break_share = rng.choice([0.0, 0.3, 0.6, 0.9])
     names = [w for w in dict.fromkeys(re.findall(r"[^\W\d_]{4,}", text)) if fold_token(w) not in ordinary] or ["Anon"]
-    title = " ".join(x.capitalize() for x in rng.sample(names, min(len(names), rng.randint(1, 4))))
-    style = rng.randrange(6)
-    if style == 0:
+    every = re.findall(r"[^\W\d_]{6,}", text) or names
+    pick = [rng.choice(every) if rng.random() < 0.3 else rng.choice(names) for _ in range(rng.randint(1, 4))]
+    title = " ".join(x.capitalize() for x in pick)
+    names = pick + names
+    style = rng.randrange(7)
+    if style in (0, 5):
         title = title.upper()
+    elif style == 6:
+        title = f"{pick[0].capitalize()} {rng.choice(['and', 'und', 'et', 'y', 'e', 'и'])} {rng.choice(names).capitalize()}"
     elif style == 1:
         title = f"{rng.choice(names).capitalize()} & {rng.choice(names).capitalize()}"
     elif style == 2:
@@ -221,7 +242,7 @@ def lay_out(text: str, rng: random.Random, ordinary: dict[str, int]) -> tuple[li
     elif style == 3:
         title = f"{rng.choice(names).capitalize()}, {rng.choice(['Bd.', 'vol.', 'Vol.', 't.', 'T.'])} {rng.randint(1, 60)} ({rng.randint(1930, 2023)})"
     elif style == 4:
-        title = title[:1] + title[1:].lower()
+        title = title[:1].upper() + title[1:].lower()
     number = rng.randint(1, 400)
     adorn = rng.choice(["{}", "- {} -", "— {} —", "– {} –", "[{}]", "{} / 480", "Page {}", "S. {}", "~ {} ~", "· {} ·"])
     roman = rng.random() < 0.1
@@ -420,7 +441,7 @@ def examine(text: str, models: Models) -> Damage | None:
         x = np.asarray([page.features(i) for i in at])
         run, num = models.running.predict(x), models.pageno.predict(x)
         for i, r, p, f in zip(at, run.tolist(), num.tolist(), x, strict=True):
-            if max(r, p) > 0.5:
+            if max(r, p) > 0.5 and not f[16]:  # a number in brackets is an equation's
                 furniture[i] = "pageno" if p >= r and f[2] else "running" if r >= 0.5 else "pageno"
     own = Counter(t for x in lines for t in map(fold_token, x.split()))
     body = [i for i in page.solid if i not in furniture]
