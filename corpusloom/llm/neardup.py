@@ -145,8 +145,8 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _records(threshold: float):
-    """Reduce: a chunk's blocks to its records that could have a partner: (key, set digest, size, tokens rare ones first, how many of them any partner must share one of)."""
-    schema = pa.schema([("key", pa.int64()), ("set_key", pa.binary()), ("size", pa.int32()), ("tokens", pa.binary()), ("prefix", pa.int32())])
+    """Reduce: a chunk's blocks to its records that could have a partner: (key, set digest, size, tokens, the leading ones of which any partner shares one)."""
+    schema = pa.schema([("key", pa.int64()), ("set_key", pa.binary()), ("size", pa.int32()), ("tokens", pa.binary()), ("leading", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meta: dict[int, tuple] = {}
@@ -169,16 +169,28 @@ def _records(threshold: float):
             order = np.lexsort((token[keep], count[keep], doc[keep]))
             doc, token = doc[keep][order], token[keep][order]
             edge = np.searchsorted(doc, np.arange(len(keys) + 1))
-            rows = [
-                {"key": int(keys[i]), "set_key": digests[16 * i : 16 * i + 16], "size": int(sizes[i]), "tokens": token[edge[i] : edge[i + 1]].astype("<u8").tobytes(), "prefix": int(shared[i] - need[i] + 1)}
-                for i in np.flatnonzero(alive).tolist()
-            ]
+            rows = []
+            for i in np.flatnonzero(alive).tolist():
+                own = token[edge[i] : edge[i + 1]]  # rare ones first
+                rows.append({"key": int(keys[i]), "set_key": digests[16 * i : 16 * i + 16], "size": int(sizes[i]), "tokens": pack_tokens(own), "leading": own[: int(shared[i] - need[i] + 1)].astype("<u8").tobytes()})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     return run
 
 
+def pack_tokens(tokens: np.ndarray) -> bytes:
+    """Sorted tokens, all low halves before all high ones, which are few different values in rows."""
+    t = np.sort(tokens)
+    return t.astype("<u4").tobytes() + (t >> np.uint64(32)).astype("<u4").tobytes()
+
+
+def unpack_tokens(data: bytes) -> np.ndarray:
+    halves = np.frombuffer(data, "<u4").astype(np.uint64)
+    n = len(halves) // 2
+    return halves[:n] | (halves[n:] << np.uint64(32))
+
+
 def bitmap(tokens: np.ndarray) -> np.ndarray:
     """uint64 words of a bitmap of BITS bits."""
     out = np.zeros(BITS // 64, np.uint64)
@@ -199,9 +211,9 @@ def _routes(trees: int):
                 if r["set_key"] in seen:
                     continue
                 seen.add(r["set_key"])
-                tokens = np.frombuffer(r["tokens"], "<u8")
+                tokens = unpack_tokens(r["tokens"])
                 bits = bitmap(tokens).tobytes()
-                lead = tokens[: r["prefix"]]
+                lead = np.frombuffer(r["leading"], "<u8")
                 shard = ((lead * _MIX[3]) >> np.uint64(32)) % np.uint64(trees)
                 for s in np.unique(shard):
                     rows.append({"shard": int(s), "set_key": r["set_key"], "size": r["size"], "shared": len(tokens), "bits": bits, "leading": lead[shard == s].tobytes()})
@@ -330,7 +342,7 @@ def _exact(threshold: float):
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                x, y = np.frombuffer(r["tokens_a"], "<u8"), np.frombuffer(r["tokens_b"], "<u8")
+                x, y = unpack_tokens(r["tokens_a"]), unpack_tokens(r["tokens_b"])
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 s = both / (r["size_a"] + r["size_b"] - both)
                 if s >= threshold - 1e-12:
@@ -355,8 +367,8 @@ def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
     blocks = base.mapInArrow(_blocks(buckets, length, 4_000_000), _BLOCK)
     shared = blocks.repartition(buckets, F.pmod("bucket", F.lit(buckets))).mapInArrow(_frequencies, _BLOCK)
     chunks = max(24, rows // 10_000)
-    alive = cut(shared.repartition(chunks, "chunk").mapInArrow(_records(threshold), "key long, set_key binary, size int, tokens binary, prefix int"), "records")
-    shards = max(24, rows // 10_000)
+    alive = cut(shared.repartition(chunks, "chunk").mapInArrow(_records(threshold), "key long, set_key binary, size int, tokens binary, leading binary"), "records")
+    shards = max(16, rows // 20_000)
     routed = alive.mapInArrow(_routes(shards), "shard int, set_key binary, size int, shared int, bits binary, leading binary")
     once = routed.groupBy("shard", "set_key").agg(*[F.first(c).alias(c) for c in ("size", "shared", "bits", "leading")])
     candidates = cut(once.repartition(shards, "shard").select("set_key", "size", "shared", "bits", "leading").mapInArrow(_candidates(threshold), "a binary, b binary").distinct(), "candidates")
