@@ -32,6 +32,17 @@ the and or but in on at to for of with by from up about into through during befo
 be is are was were been being have has had do does did will would could should may might must can form however therefore thus also only just even
 still yet already now then here there where when why how what which who whom whose very much more most many some any each every all both either neither
 """.split()
+# Signs that no author's name has.
+NO_NAME = r"^\d+$|[()\[\]{}+=<>|\\/@#$%^&*]"
+# Words near a page reference. The first mark a citation, the second the text's own structure, the third running prose.
+CITATION_MARKS = ["see", "cf.", "compare", "according to", "as shown in", "following", "refer to", "shown in", "presented in", "detailed in"]
+STRUCTURE_MARKS = "presents shows reports estimates demonstrates columns panel specification regression model analysis results findings outcome".split()
+PROSE_MARKS = "the that this which where when how what we our using with for from on in at".split()
+# Verbs of which a cited author is the subject.
+ACADEMIC_VERBS = """
+defined explored investigated studied analyzed examined found showed demonstrated reported concluded suggested proposed argued claimed stated noted observed
+discovered revealed indicated pointed emphasized discussed described explained identified established conducted performed collected measured compared developed created designed implemented tested
+""".split()
 # Short lines.
 SHORT_LINES = [
     ("keywords_metadata", r"(?i)^KEYWORDS?:\s+"),

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import patterns as P
 from corpusloom.operators.normalize import word_count
+from corpusloom.runtime import arrow_columns
 
 
 def remove_patterns(df: DataFrame, table: dict[str, str], text: str = "text", replacement: str = "", count: bool = True, debug: str = "") -> DataFrame:
@@ -36,18 +35,12 @@ def change_metrics(df: DataFrame, before: str, after: str) -> DataFrame:
     return df.withColumns({"citation_text_changed": F.col(before) != F.col(after), "citation_length_reduction": F.length(before) - F.length(after), "citation_word_reduction": word_count(F.col(before)) - word_count(F.col(after))})
 
 
-_TECHNICAL = re.compile(r"^\d+$|[=+*/<>∑∫±×÷]")
+_TECHNICAL = re.compile(P.NO_NAME)
 _NAME = re.compile(r"^[A-Za-z0-9\-'.\s]+$")
 _STOP = frozenset(P.STOPWORDS)
 _LIST_ITEM = re.compile(r"^\s*(\([a-z0-9]+\)|[a-z0-9]+\)|[a-z0-9]+\.|\([ivxlcdm]+\)|[ivxlcdm]+\.)\s*$", re.IGNORECASE)
 _LETTER = re.compile("[a-zA-Z]")
 _SIMPLE_PAGE = re.compile(r"p\.?\s*\d+", re.IGNORECASE)
-# Words around a page reference.
-_CITATION_MARKS = ("see ", "cf.", "ref", "cited in", "reported in", "according to")
-_STRUCTURE = ("chapter", "section", "appendix", "volume", "book", "thesis")
-_PROSE = ("the ", " is ", " are ", " was ", " were ", " and ", " that ", " which ", " this ", " in ", " of ", " with ")
-
-
 def semicolon_block_is_citation(match: str, least: int = 2, most: int = 12, threshold: float = 0.3) -> bool:
     """Names parted by semicolons: no stopword, no bare number or formula, enough parts of a single word."""
     parts = [p for p in re.split(r"\s*;\s*", match.strip()) if p.strip()]
@@ -68,10 +61,10 @@ def is_list_item(before: str, match: str) -> bool:
 def structural_reference(before: str, after: str) -> bool:
     """Whether a reference belongs to the text's own structure and is kept."""
     b, a = before[-150:].lower(), after[:150].lower()
-    if any(m in b[-30:] or m in a[:30] for m in _CITATION_MARKS) or re.search(r" (?:as )?in(?: the)?\s*$", b[-30:]):
+    if any(m in b[-30:] or m in a[:30] for m in P.CITATION_MARKS) or re.search(r" (?:as )?in(?: the)?\s*$", b[-30:]):
         return False
     whole = b + a
-    return any(s in whole for s in _STRUCTURE) or sum(w in whole for w in _PROSE) >= 3
+    return any(m in whole for m in P.STRUCTURE_MARKS) or sum(m in whole for m in P.PROSE_MARKS) >= 3
 
 
 def match_is_valid(kind: str, text: str, start: int, end: int) -> bool:
@@ -119,31 +112,24 @@ def remove_validated_text(text: str | None, replacement: str = "", debug: bool =
 
 def remove_validated(df: DataFrame, text: str = "text", replacement: str = "", debug: bool = False) -> DataFrame:
     """Context-dependent types, in one Arrow stage; adds {type}_citations_found, _removed and _rejected."""
-    names = [f"{k}_{s}" for k in P.VALIDATED for s in ("found", "removed")]
-    schema = "text string, " + ", ".join(f"{n} int" for n in names)
+    names = [f"{k}_citations_{s}" for k in P.VALIDATED for s in ("found", "removed")]
 
-    @F.pandas_udf(schema)
-    def run(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in it:
-            done = [remove_validated_text(t, replacement, debug) for t in s]
-            yield pd.DataFrame([[t, *c] for t, c in done], columns=["text", *names])
+    def rows(t: str | None) -> tuple:
+        done, counts = remove_validated_text(t, replacement, debug)
+        return done, *counts
 
-    out = df.withColumn("_v", run(F.col(text)))
-    added = {text: F.col("_v.text")}
-    for k in P.VALIDATED:
-        added |= {f"{k}_citations_found": F.col(f"_v.{k}_found"), f"{k}_citations_removed": F.col(f"_v.{k}_removed"), f"{k}_citations_rejected": F.col(f"_v.{k}_found") - F.col(f"_v.{k}_removed")}
-    return out.withColumns(added).drop("_v")
+    out = arrow_columns(df, [text], f"`{text}` string, " + ", ".join(f"{n} int" for n in names), rows)
+    return out.withColumns({f"{k}_citations_rejected": F.col(f"{k}_citations_found") - F.col(f"{k}_citations_removed") for k in P.VALIDATED})
 
 
 def sentence_integration_score(before: str, after: str) -> float:
     """How much an author-year citation is part of its sentence, 0 to 1; optional, not part of the default cleaning."""
-    verbs = ("showed", "shown", "found", "reported", "proposed", "suggested", "demonstrated", "described", "conducted", "performed", "measured", "compared", "developed")
     b, a = before[-200:].lower(), after[:200].lower()
     score = 0.5
     if not b.strip() or b.rstrip().endswith((".", "!", "?")):
         score += 0.2
-    if any(a.lstrip().startswith(v) for v in verbs):
+    if any(a.lstrip().startswith(v) for v in P.ACADEMIC_VERBS):
         score += 0.3
-    if a.lstrip()[:1] in ".,;)":
+    if a.lstrip()[:1] in (".", ",", ";", ")"):
         score -= 0.3
     return max(0.0, min(1.0, score))

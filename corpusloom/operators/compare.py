@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.runtime import arrow_columns
+
 
 def line_diff(before: str | None, after: str | None) -> tuple[str, int, int, bool]:
     """(unified diff, lines added, lines removed, whether anything changed); null counts as empty."""
@@ -46,13 +48,7 @@ def side_by_side(before: str | None, after: str | None) -> list[tuple[str, int |
 
 def with_diffs(pairs: DataFrame, before: str, after: str) -> DataFrame:
     """pairs with diff, lines_added, lines_removed, has_changes and word_diff, in one Arrow stage."""
-
-    @F.pandas_udf("diff string, lines_added int, lines_removed int, has_changes boolean, word_diff string")
-    def run(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for x, y in it:
-            yield pd.DataFrame([(*line_diff(a, b), word_diff(a, b)) for a, b in zip(x, y, strict=True)], columns=["diff", "lines_added", "lines_removed", "has_changes", "word_diff"])
-
-    return pairs.withColumn("_d", run(before, after)).select("*", "_d.*").drop("_d")
+    return arrow_columns(pairs, [before, after], "diff string, lines_added int, lines_removed int, has_changes boolean, word_diff string", lambda a, b: (*line_diff(a, b), word_diff(a, b)))
 
 
 def side_by_side_rows(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:

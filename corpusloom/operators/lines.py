@@ -11,39 +11,53 @@ from corpusloom.operators.normalize import strip, word_count
 _BREAK = "\r\n|[\n\r\u000b\f\u001c\u001d\u001e\u0085\u2028\u2029]"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), value evaluated once: the optimiser would otherwise copy it to every place, inside lambdas too."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def split_lines(text: Column) -> Column:
-    """Lines at every kind of line end; an ending one adds no line."""
-    parts = F.split(text, _BREAK)
-    last = F.element_at(parts, -1)
-    return F.when(last == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    """Lines at every kind of line end; an ending one adds no line. Null for null."""
+    return let(F.split(text, _BREAK), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))
 
 
 def line_reason(line: Column, previous: Column, tabular: Column) -> Column:
     """'type:reason' of a line to remove, null of one to keep. previous: the five non-blank lines before."""
-    s = strip(line)
-    words = word_count(s)
-    reason = F.when(s == "", None).when(~s.startswith("[DEBUG:") & F.array_contains(previous, s), "repetition:repeated_line").when(tabular, "tabular:consecutive_tabs")
-    for name, pattern in P.SHORT_LINES:
-        reason = reason.when((words <= 3) & (F.length(s) <= 15) & s.rlike(pattern), f"short_line:{name}")
-    code = (words <= 8) & s.rlike(P.CODE_START) | s.rlike(P.ALL_CAPS) & (F.length(F.replace(s, F.lit(" "), F.lit(""))) < 8)
-    return reason.when(s.rlike(P.KEYWORD_LINE), "metadata:keywords_metadata").when(code, "metadata:technical_code_line").when(s.rlike(P.COPYRIGHT), "copyright:copyright_line")
+
+    def reason(s: Column) -> Column:
+        words = word_count(s)
+        out = F.when(s == "", None).when(~s.startswith("[DEBUG:") & F.array_contains(previous, s), "repetition:repeated_line").when(tabular, "tabular:consecutive_tabs")
+        for name, pattern in P.SHORT_LINES:
+            out = out.when((F.length(s) <= 15) & (words <= 3) & s.rlike(pattern), f"short_line:{name}")
+        code = (words <= 8) & s.rlike(P.CODE_START) | s.rlike(P.ALL_CAPS) & (F.length(F.replace(s, F.lit(" "), F.lit(""))) < 8)
+        return out.when(s.rlike(P.KEYWORD_LINE), "metadata:keywords_metadata").when(code, "metadata:technical_code_line").when(s.rlike(P.COPYRIGHT), "copyright:copyright_line")
+
+    return let(strip(line), reason)
 
 
 def classify_lines(df: DataFrame, text: str = "text", name: str = "line_info") -> DataFrame:
     """Adds name: array of (i, line, reason) over the lines of text."""
-    df = df.withColumn("_l", split_lines(F.col(text)))
-    # For line i, the non-blank lines before it are the leading ones of the non-blank list.
-    df = df.withColumn("_s", F.transform("_l", lambda x: strip(x))).withColumn("_n", F.filter("_s", lambda x: x != ""))
-    df = df.withColumn("_c", F.aggregate("_s", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.when(x != "", 1).otherwise(0)))))
-    df = df.withColumn("_t", F.transform("_l", lambda x: F.length(x) - F.length(F.replace(x, F.lit("\t"), F.lit(""))) >= 2))
 
-    def info(x: Column, i: Column) -> Column:
-        before = F.element_at("_c", i + 1)
-        previous = F.slice("_n", F.greatest(before - 4, F.lit(1)), F.least(before, F.lit(5)))
-        tab = F.element_at("_t", i + 1) & (F.coalesce(F.try_element_at("_t", i + 2), F.lit(False)) | (i > 0) & F.coalesce(F.try_element_at("_t", F.greatest(i, F.lit(1))), F.lit(False)))
-        return F.struct((i + 1).alias("i"), x.alias("line"), line_reason(x, previous, tab).alias("reason"))
+    def lists(x: Column) -> Column:
+        bare = F.transform(x, lambda v: strip(v))
+        tabs = F.transform(x, lambda v: F.length(v) - F.length(F.replace(v, F.lit("\t"), F.lit(""))) >= 2)
+        return F.struct(x.alias("l"), bare.alias("s"), tabs.alias("t"))
+
+    def counted(a: Column) -> Column:
+        # before[i]: how many non-blank lines precede line i; they are the leading ones of the list of non-blank lines.
+        before = F.aggregate(a["s"], F.array(F.lit(0)), lambda c, x: F.concat(c, F.array(F.element_at(c, -1) + F.when(x != "", 1).otherwise(0))))
+        return F.struct(a["l"].alias("l"), a["t"].alias("t"), F.filter(a["s"], lambda x: x != "").alias("n"), before.alias("c"))
 
-    return df.withColumn(name, F.transform("_l", info)).drop("_l", "_s", "_n", "_c", "_t")
+    def infos(a: Column) -> Column:
+        def info(x: Column, i: Column) -> Column:
+            before = F.element_at(a["c"], i + 1)
+            previous = F.slice(a["n"], F.greatest(before - 4, F.lit(1)), F.least(before, F.lit(5)))
+            tab = F.element_at(a["t"], i + 1) & (F.coalesce(F.try_element_at(a["t"], i + 2), F.lit(False)) | (i > 0) & F.coalesce(F.try_element_at(a["t"], F.greatest(i, F.lit(1))), F.lit(False)))
+            return F.struct((i + 1).alias("i"), x.alias("line"), line_reason(x, previous, tab).alias("reason"))
+
+        return F.transform(a["l"], info)
+
+    return df.withColumn(name, let(split_lines(F.col(text)), lambda x: let(lists(x), lambda a: let(counted(a), infos))))
 
 
 def clean_lines(df: DataFrame, text: str = "text", debug: bool = False) -> DataFrame:
@@ -51,7 +65,8 @@ def clean_lines(df: DataFrame, text: str = "text", debug: bool = False) -> DataF
     out = classify_lines(df, text)
     removed = F.filter("line_info", lambda x: x["reason"].isNotNull())
     shown = F.transform("line_info", lambda x: F.when(x["reason"].isNull(), x["line"]).otherwise(F.concat(F.lit("[DEBUG:"), x["reason"], F.lit("]")))) if debug else F.transform(F.filter("line_info", lambda x: x["reason"].isNull()), lambda x: x["line"])
-    stats = {f"{t}_lines_removed": F.size(F.filter("line_info", lambda x, t=t: x["reason"].startswith(t))) for t in ("repetition", "tabular", "short_line", "metadata", "copyright")}
+    of = lambda t: lambda x: x["reason"].startswith(t)  # noqa: E731  (a second parameter would be the index)
+    stats = {f"{t}_lines_removed": F.size(F.filter("line_info", of(t))) for t in ("repetition", "tabular", "short_line", "metadata", "copyright")}
     out = out.withColumns(
         {
             "removed_lines": F.slice(F.transform(removed, lambda x: F.struct(F.substring(x["line"], 1, 100).alias("line_content"), x["i"].alias("line_number"), F.length(x["line"]).alias("length"), x["reason"].alias("reason"))), 1, 10),
@@ -80,11 +95,16 @@ def kept_line_memory(df: DataFrame, text: str = "text", memory: int = 5) -> Data
 
 def caption_reason(line: Column) -> Column:
     """Reason of a caption line or a numeric row, null of others."""
-    s = strip(line)
-    words = F.split(s, r"\s+")
-    n = F.size(words)
-    numeric = F.size(F.filter(words, lambda w: w.rlike(P.NUMERIC_WORD)))
-    return F.when(s == "", None).when(s.rlike(P.CAPTION), "figure_table_caption").when(~s.rlike(P.MATH) & n.between(2, 5) & (numeric / n >= 0.6), F.concat(F.lit("numeric_table_data_"), numeric, F.lit("of"), n))
+
+    def rows(s: Column) -> Column:
+        def numbers(words: Column) -> Column:
+            n = F.size(words)
+            numeric = F.size(F.filter(words, lambda w: w.rlike(P.NUMERIC_WORD)))
+            return F.when(n.between(2, 5) & (numeric / n >= 0.6) & ~s.rlike(P.MATH), F.concat(F.lit("numeric_table_data_"), numeric, F.lit("of"), n))
+
+        return F.when(s == "", None).when(s.rlike(P.CAPTION), "figure_table_caption").otherwise(let(F.split(s, r"\s+"), numbers))
+
+    return let(strip(line), rows)
 
 
 def clean_captions(df: DataFrame, text: str = "text") -> DataFrame:

@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from corpusloom.functions import patterns as P
+from corpusloom.runtime import arrow_columns
 
 _START = re.compile(P.SECTION_STARTS.replace("(?i)", ""), re.IGNORECASE)
 _SPECIAL, _GENE, _DECIMAL, _SEPARATOR = re.compile(r"[^\w\s]"), re.compile("^[A-Z]{2,}"), re.compile(r"\d+\.\d+"), re.compile("[:\t]")
@@ -93,11 +91,4 @@ def remove_sections_text(text: str | None, threshold: float = 0.8) -> tuple[str
 
 def remove_sections(df: DataFrame, text: str = "text", threshold: float = 0.8) -> DataFrame:
     """text without appendix sections; adds appendix_sections_removed, appendix_lines_removed, appendix_length_reduction."""
-
-    @F.pandas_udf("text string, sections int, lines int, chars int")
-    def run(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in it:
-            yield pd.DataFrame([remove_sections_text(t, threshold) for t in s], columns=["text", "sections", "lines", "chars"])
-
-    out = df.withColumn("_a", run(F.col(text)))
-    return out.withColumns({text: F.col("_a.text"), "appendix_sections_removed": F.col("_a.sections"), "appendix_lines_removed": F.col("_a.lines"), "appendix_length_reduction": F.col("_a.chars")}).drop("_a")
+    return arrow_columns(df, [text], f"`{text}` string, appendix_sections_removed int, appendix_lines_removed int, appendix_length_reduction int", lambda t: remove_sections_text(t, threshold))

@@ -42,8 +42,10 @@ def line_stats(text: Column, short: tuple[int, ...] = (10, 30), long: tuple[int,
     distinct = F.array_distinct(lines)
     chars = F.aggregate(lines, F.lit(0), lambda a, x: a + F.length(x))
     out = {"n_lines": F.size(lines).cast("double"), "avg_line_length": _mean(lines)}
-    out |= {f"short_line_ratio_chars_{k}": _share(lines, lambda x, k=k: F.length(x) <= k) for k in short}
-    out |= {f"long_line_ratio_chars_{k}": _share(lines, lambda x, k=k: F.length(x) >= k) for k in long}
+    # A lambda with two parameters would be given the index as the second one, so bounds come by closure.
+    at_most, at_least = (lambda k: lambda x: F.length(x) <= k), (lambda k: lambda x: F.length(x) >= k)
+    out |= {f"short_line_ratio_chars_{k}": _share(lines, at_most(k)) for k in short}
+    out |= {f"long_line_ratio_chars_{k}": _share(lines, at_least(k)) for k in long}
     return out | {
         "lines_ending_with_terminal_mark_ratio": _share(lines, lambda x: x.rlike(r"[.!?]\s*$")),
         "bullet_point_lines_ratio": _share(lines, lambda x: x.rlike(r"^\s*[-*•]")),

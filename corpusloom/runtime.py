@@ -5,11 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _OWN: dict[str, str] = {}
 
@@ -66,3 +67,23 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, max_chars: int = 3_00
                 start, total = i, 0
             total += n
         yield batch.slice(start)
+
+
+def arrow_columns(df: DataFrame, inputs: list[str], added: str, rows: Callable[..., tuple]) -> DataFrame:
+    """df with the columns of the DDL string added (or replaced), computed row by row in Python from the inputs.
+
+    One Arrow stage of its own: all other columns pass through untouched, and the optimiser can't copy the work elsewhere.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    new = T.StructType.fromDDL(added)
+    kept = [f for f in df.schema.fields if f.name not in new.names]
+    types = [to_arrow_type(f.dataType) for f in new.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            results = [rows(*r) for r in zip(*(batch.column(c).to_pylist() for c in inputs), strict=True)]
+            columns = list(zip(*results, strict=True)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], [*(f.name for f in kept), *new.names])
+
+    return df.mapInArrow(run, T.StructType(kept + new.fields))
