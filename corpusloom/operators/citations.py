@@ -81,8 +81,7 @@ def match_is_valid(kind: str, text: str, start: int, end: int) -> bool:
             left, right = text[: start + m.start()], text[start + m.end() :]
             if _LETTER.search(left[-15:]) and _LETTER.search(right[:15]):
                 return False
-            line = before.rpartition("\n")[2] + match.lstrip("\n") + after.partition("\n")[0]
-            return line.strip() == match.strip()
+            return (left.rpartition("\n")[2] + m.group() + right.partition("\n")[0]).strip() == match.strip()
         return not structural_reference(before, after)
     return True
 
