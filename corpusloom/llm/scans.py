@@ -548,6 +548,14 @@ def _shape_column(c: Column) -> Column:
     return F.translate(c, "".join(map(chr, _SHAPE)), "".join(_SHAPE.values()))
 
 
+def frequent_misreadings(ordinary: dict[str, int], ratio: float = 40.0) -> set[str]:
+    """Forms that are frequent themselves but far rarer than a word of the same shape: not taken for ordinary words."""
+    by: dict[str, list[str]] = {}
+    for w in ordinary:
+        by.setdefault(shape(w), []).append(w)
+    return {w for ws in by.values() for w in ws if ordinary[w] * ratio <= max(ordinary[x] for x in ws)}
+
+
 def prepare(df: DataFrame, key: str, text: str, sample_docs: int = 400, share: float = 0.0005) -> tuple[Models, DataFrame, DataFrame]:
     """(models, dictionary, frequencies). Ordinary words are those in at least `share` of the documents and in five.
 
@@ -559,6 +567,9 @@ def prepare(df: DataFrame, key: str, text: str, sample_docs: int = 400, share: f
     total = base.count()
     dictionary = frequencies.filter(F.col("df") >= max(5, share * total))
     ordinary = {r.word: r.df for r in dictionary.collect()}
+    common = frequent_misreadings(ordinary)
+    ordinary = {w: n for w, n in ordinary.items() if w not in common}
+    dictionary = dictionary.filter(~F.col("word").isin(sorted(common))) if common else dictionary
     prose = base.filter((F.length("text") > 600) & (F.length("text") < 9000) & F.col("text").rlike(r"[^\n]{200}") & ~F.col("text").rlike(r"\|[^\n]*\||\t[^\n]*\t"))
     sample = [r.text for r in prose.orderBy(F.md5("text"), "key").limit(sample_docs).select("text").collect()]
     return train(sample, ordinary), dictionary, frequencies
