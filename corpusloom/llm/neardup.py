@@ -368,7 +368,7 @@ def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
     shared = blocks.repartition(buckets, F.pmod("bucket", F.lit(buckets))).mapInArrow(_frequencies, _BLOCK)
     chunks = max(24, rows // 10_000)
     alive = cut(shared.repartition(chunks, "chunk").mapInArrow(_records(threshold), "key long, set_key binary, size int, tokens binary, leading binary"), "records")
-    shards = max(16, rows // 20_000)
+    shards = max(8, rows // 25_000)
     routed = alive.mapInArrow(_routes(shards), "shard int, set_key binary, size int, shared int, bits binary, leading binary")
     once = routed.groupBy("shard", "set_key").agg(*[F.first(c).alias(c) for c in ("size", "shared", "bits", "leading")])
     candidates = cut(once.repartition(shards, "shard").select("set_key", "size", "shared", "bits", "leading").mapInArrow(_candidates(threshold), "a binary, b binary").distinct(), "candidates")
