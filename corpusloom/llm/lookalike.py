@@ -98,12 +98,17 @@ def forms(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def look_classes(rows: DataFrame) -> DataFrame:
-    """(look, class_id) of the mapped forms: one class for each group equal under UNICODE; its id is the least digest in it."""
+    """(look, class_id) of the mapped forms that share a class with another one; a class's id is its least digest.
+
+    Classes are groups equal under UNICODE. Members are joined back by the collated form, never collected, so a class may
+    have any number of them; forms alone in their class have no row.
+    """
     distinct = rows.groupBy("look").agg(F.first("seen").alias("seen"))
     return distinct.sparkSession.sql(
         """
-        SELECT explode(members) AS look, class_id FROM (
-            SELECT min(look) AS class_id, collect_set(look) AS members FROM {distinct} GROUP BY collate(seen, 'UNICODE'))
+        SELECT d.look, c.class_id FROM {distinct} d JOIN (
+            SELECT collate(seen, 'UNICODE') AS k, min(look) AS class_id FROM {distinct} GROUP BY collate(seen, 'UNICODE') HAVING count(*) > 1) c
+        ON collate(d.seen, 'UNICODE') = c.k
         """,
         distinct=distinct,
     )
@@ -116,7 +121,7 @@ def lookalike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     rows = cut(forms(df, key, text), "forms")
     merged = look_classes(rows)
-    return rows.drop("seen").join(merged, "look").select("key", "form", "class_id")
+    return rows.drop("seen").join(merged, "look", "left").select("key", "form", F.coalesce("class_id", "look").alias("class_id"))
 
 
 def lookalike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -141,12 +146,14 @@ def canonical_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = base.filter(F.col("text").rlike(VISIBLE)).select("key", F.md5("text").alias("form"), look(F.col("text")).alias("seen"), "text")
     # One row for each distinct string before anything else moves.
     strings = rows.groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.first("seen").alias("seen"), F.first("text").alias("text"), F.min("key").alias("least_key"))
-    picked = strings.sparkSession.sql(
+    strings = cut(strings, "strings")
+    member = strings.sparkSession.sql(
         """
-        SELECT min_by(struct(text, least_key), struct(-n, length(text), form)) AS best, sum(n) AS n_rows, count(*) AS n_forms, collect_list(form) AS members
-        FROM {strings} GROUP BY collate(seen, 'UNICODE')
+        SELECT s.form, p.best.text AS canonical_text, p.best.least_key AS canonical_key, p.n_forms, p.n_rows FROM {strings} s JOIN (
+            SELECT collate(seen, 'UNICODE') AS k, min_by(struct(text, least_key), struct(-n, length(text), form)) AS best, sum(n) AS n_rows, count(*) AS n_forms
+            FROM {strings} GROUP BY collate(seen, 'UNICODE')) p
+        ON collate(s.seen, 'UNICODE') = p.k
         """,
         strings=strings,
     )
-    member = picked.select(F.explode("members").alias("form"), F.col("best.text").alias("canonical_text"), F.col("best.least_key").alias("canonical_key"), "n_forms", "n_rows")
     return base.select("key", "text", F.md5("text").alias("form")).join(member, "form", "left").select("key", "canonical_key", F.coalesce("canonical_text", "text").alias("canonical_text"), "n_forms", "n_rows")
