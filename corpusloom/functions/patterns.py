@@ -74,7 +74,7 @@ SECTION_STARTS = "(?i)" + "|".join(
 )
 # Symbols and what stands for them, in the order of the groups.
 INVISIBLE = "\u2062\u2063\u2061"
-TOC = [r"(?U)\w+[.\s]{5,}\d+", r"^[.\t\s]{10,}$", r"(?U)\w+[.\t]{5,}\w+"]
+TOC = [r"(?U)\w++[.\s]{5,}+\d+", r"^[.\t\s]{10,}$", r"(?U)\w++[.\t]{5,}+\w+"]
 TABULAR = [r"^[\d\t\s.]{20,}$", r"^.*\t.*\t.*\t.*$"]
 DOTS = [(r"\.{4,}", "..."), (r"(?:\. ){3,}", " ... ")]
 CYRILLIC = ("аеорсухАВЕКМНОРСТУХинть", "aeopcyxABEKMHOPCTYXuhtb")
