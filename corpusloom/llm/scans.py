@@ -42,6 +42,7 @@ _BRACKETED = re.compile(r"^\s*[(\[]\s*[\dA-Z]{1,3}(?:[.\d]*[a-z]?)\s*[)\]]\s*$")
 _SIDE_NUMBER = re.compile(r"^\s*\d{1,4}\s{2,}\S|\S(?:\s{2,}|\s*[|·—–]\s*)\d{1,4}\s*$")
 _CITE = re.compile(r"&|·|\bet al\b|\b(?:Bd|Vol|vol|Jg|t|T|т|n)\. ?\d+|\(\d{4}\)|第\d+巻|第\d+卷")
 _SECTION = re.compile(r"^\s*(?:\d+\.)*\d+\.?\s+\S")
+_TITLE_WORD = re.compile(r"[^\W_]*[^\W\d_][^\W_]*")
 _STOP = re.compile(r"[.!?…:。！？।॥][\"'”’»」』)）\]“]*$")
 
 
@@ -102,8 +103,7 @@ class Page:
     @staticmethod
     def key(line: str) -> str:
         """What stays of a running title from page to page, numbers and misreadings aside."""
-        w = [shape(x.lower())[:4] for x in re.findall(r"[^\W_]*[^\W\d_][^\W_]*", line)]
-        return " ".join(w[:2])
+        return " ".join(shape(x.lower())[:4] for x in _TITLE_WORD.findall(line)[:2])
 
     def candidates(self) -> list[int]:
         """Lines shorter than the page that are no rows of a table and no entries of a list."""
@@ -428,51 +428,63 @@ class Damage:
     suspects: list[tuple[int, int, int, str]]
 
 
-def examine(text: str, models: Models) -> Damage | None:
-    """Damage of a text, None if it wasn't laid out on pages. Suspects are the forms that the dictionary lacks."""
-    lines = text.split("\n")
-    width = is_laid_out(lines)
-    if not width:
-        return None
-    page = Page(lines, width, models.ordinary)
-    at = page.candidates()
-    furniture: dict[int, str] = {}
-    if at:
-        x = np.asarray([page.features(i) for i in at])
+def examine(texts: list[str], models: Models) -> list[Damage | None]:
+    """Damage of each text, None if it wasn't laid out on pages. Suspects are the forms that the dictionary lacks.
+
+    The classifiers are asked once for all lines of a batch: first for furniture, then for the joins of what is left.
+    """
+    pages: dict[int, Page] = {}
+    for d, text in enumerate(texts):
+        lines = text.split("\n") if "\n" in text else []
+        if width := is_laid_out(lines):
+            pages[d] = Page(lines, width, models.ordinary)
+    short = [(d, i) for d, page in pages.items() for i in page.candidates()]
+    furniture: dict[int, dict[int, str]] = {d: {} for d in pages}
+    if short:
+        x = np.asarray([pages[d].features(i) for d, i in short])
         run, num = models.running.predict(x), models.pageno.predict(x)
-        for i, r, p, f in zip(at, run.tolist(), num.tolist(), x, strict=True):
+        for (d, i), r, p, f in zip(short, run.tolist(), num.tolist(), x, strict=True):
             if max(r, p) > 0.5 and not f[16]:  # a number in brackets is an equation's
-                furniture[i] = "pageno" if p >= r and f[2] else "running" if r >= 0.5 else "pageno"
-    own = Counter(t for x in lines for t in map(fold_token, x.split()))
-    body = [i for i in page.solid if i not in furniture]
-    joins: dict[int, int] = {}
-    parts = []
-    for i, j in zip(body, body[1:], strict=False):
-        m = _LAST_PART.search(lines[i])
-        if m and (n := _FIRST_PART.match(lines[j])) and not n.group(1)[0].isupper():
-            parts.append((i, j, m, n))
+                furniture[d][i] = "pageno" if p >= r and f[2] else "running" if r >= 0.5 else "pageno"
+    bodies = {d: [i for i in page.solid if i not in furniture[d]] for d, page in pages.items()}
+    parts, features = [], []
+    for d, page in pages.items():
+        own = None
+        for i, j in zip(bodies[d], bodies[d][1:], strict=False):
+            if page.bare[i][-1] not in BREAK_MARKS:
+                continue
+            m, n = _LAST_PART.search(page.lines[i]), _FIRST_PART.match(page.lines[j])
+            if m and n and not n.group(1)[0].isupper():
+                if own is None:
+                    own = Counter(t for x in page.lines for t in map(fold_token, x.split()))
+                parts.append((d, i, j))
+                features.append(join_features(m.group(1).split()[-1].lower(), n.group(1).lower(), m.group(2), models.ordinary, own))
+    joins: dict[int, dict[int, int]] = {d: {} for d in pages}
     if parts:
-        x = np.asarray([join_features(m.group(1).split()[-1].lower(), n.group(1).lower(), m.group(2), models.ordinary, own) for _, _, m, n in parts])
-        joins = {i: j for (i, j, _, _), ok in zip(parts, models.hyphen.predict(x) > 0.5, strict=True) if ok}
-    suspects = []
+        for (d, i, j), ok in zip(parts, (models.hyphen.predict(np.asarray(features)) > 0.5).tolist(), strict=True):
+            if ok:
+                joins[d][i] = j
+    return [Damage(furniture[d], joins[d], _suspects(pages[d], bodies[d], joins[d], models.ordinary)) if d in pages else None for d in range(len(texts))]
+
+
+def _suspects(page: Page, body: list[int], joins: dict[int, int], ordinary: dict[str, int]) -> list[tuple[int, int, int, str]]:
+    out = []
     after = set(joins.values())
     for i in body:
-        words = lines[i].split()
-        skip_first = i in after
+        words = page.lines[i].split()
         for k, w in enumerate(words):
-            if skip_first and k == 0:
+            if k == 0 and i in after or w in ordinary:
                 continue
             if k == len(words) - 1 and i in joins:
                 head = w.rstrip(BREAK_MARKS)
-                tail = lines[joins[i]].split(None, 1)[0]
-                t = fold_token(head + tail)
-                if _suspicious(t, models.ordinary):
-                    suspects.append((i, joins[i], len(head.lstrip(_EDGE_LEFT)), t))
+                t = fold_token(head + page.lines[joins[i]].split(None, 1)[0])
+                if _suspicious(t, ordinary):
+                    out.append((i, joins[i], len(head.lstrip(_EDGE_LEFT)), t))
                 continue
             t = fold_token(w)
-            if _suspicious(t, models.ordinary):
-                suspects.append((i, -1, 0, t))
-    return Damage(furniture, joins, suspects)
+            if _suspicious(t, ordinary):
+                out.append((i, -1, 0, t))
+    return out
 
 
 def _suspicious(t: str, ordinary: dict[str, int]) -> bool:
@@ -560,7 +572,8 @@ def prepare(df: DataFrame, key: str, text: str, sample_docs: int = 400, share: f
     """(models, dictionary, frequencies). Ordinary words are those in at least `share` of the documents and in five.
 
     The dictionary is bounded: a share s of documents of at most m different words each leaves at most m / s words.
-    Training uses `sample_docs` texts, the first by digest among those that are unbroken prose.
+    Training uses `sample_docs` texts, the first by digest of the key among those that are unbroken prose; only keys are
+    sorted, so no task sends more than that many keys.
     """
     base = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).filter("text IS NOT NULL")
     frequencies = cut(word_frequencies(base), "frequencies")
@@ -571,7 +584,8 @@ def prepare(df: DataFrame, key: str, text: str, sample_docs: int = 400, share: f
     ordinary = {w: n for w, n in ordinary.items() if w not in common}
     dictionary = dictionary.filter(~F.col("word").isin(sorted(common))) if common else dictionary
     prose = base.filter((F.length("text") > 600) & (F.length("text") < 9000) & F.col("text").rlike(r"[^\n]{200}") & ~F.col("text").rlike(r"\|[^\n]*\||\t[^\n]*\t"))
-    sample = [r.text for r in prose.orderBy(F.md5("text"), "key").limit(sample_docs).select("text").collect()]
+    chosen = [r.key for r in prose.select("key", F.md5(F.col("key").cast("string")).alias("h")).orderBy("h", "key").limit(sample_docs).collect()]
+    sample = sorted(r.text for r in base.filter(F.col("key").isin(chosen)).select("text").distinct().limit(sample_docs).collect()) if chosen else []
     return train(sample, ordinary), dictionary, frequencies
 
 
@@ -590,8 +604,7 @@ def damaged_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> tup
         for batch in pieces(batches, "text"):
             source: list[int] = []
             rows: list[tuple] = []
-            for r, t in enumerate(batch.column("text").to_pylist()):
-                d = examine(t, sent.value) if "\n" in t else None
+            for r, d in enumerate(examine(batch.column("text").to_pylist(), sent.value)):
                 if d is None:
                     continue
                 new = [(i + 1, 0, 0, k, None) for i, k in d.furniture.items()] + [(i + 1, 0, 0, "hyphen", None) for i in d.joins] + [(i + 1, j + 1, n, "suspect", w) for i, j, n, w in d.suspects]
