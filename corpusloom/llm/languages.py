@@ -206,7 +206,7 @@ def fit_from(samples: DataFrame, lang: str = "lang", text: str = "text", bound:
     by = defaultdict(list)
     for r in rows:
         by[r.lang].append(r.text)
-    return KneserNey.fit(dict(by))
+    return KneserNey.fit(dict(by) or {"und": ["und"]})  # without samples there is one language, which means none
 
 
 class Words:

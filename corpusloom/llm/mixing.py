@@ -41,7 +41,7 @@ def mix(
     """
     t = targets.groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats")).filter("share > 0 AND repeats > 0")
     counted = token_counts(docs.withColumnRenamed(source, "_src") if source != "source" else docs.withColumnRenamed("source", "_src"), key, text, model, estimate=False, keep=("_src",))
-    rows = cut(counted.filter("tokens > 0 AND _src IS NOT NULL").select("key", F.col("_src").alias("source"), "tokens", F.xxhash64("key", F.lit(seed)).alias("h")), "mix")
+    rows = cut(counted.filter("tokens > 0 AND _src IS NOT NULL").select("key", F.col("_src").alias("source"), "tokens", F.xxhash64("key", F.lit(seed), F.monotonically_increasing_id()).alias("h")), "mix")  # the row number keeps a repeated key out of one bucket
     have = rows.groupBy("source").agg(F.sum("tokens").alias("total"), F.count(F.lit(1)).alias("n")).join(t, "source")
     plan = have.collect()  # one row for each target
     if not plan:
