@@ -357,7 +357,7 @@ def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
     """(members: key, set_key; pairs: a, b, similarity) over the sets of word runs; keys are whole numbers.
 
     members has each row whose set some other record may share in part; rows of one set have one set_key. pairs has the
-    sets of at least the threshold, a < b. Null texts and texts of fewer than `length` words have no row.
+    sets of at least the threshold, a < b. Null keys, null texts and texts of fewer than `length` words have no row.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0 and at most 1")

@@ -100,8 +100,17 @@ class DoubleArray:
                 stack.append(to)
         return cls(codes, base, check, cost, byte_cost, max(map(len, names), default=1))
 
+    PART = 2048
+
     def count(self, segments: list[str]) -> np.ndarray:
-        """Number of pieces on the cheapest path of each segment; equal costs take the fewer pieces. Characters no piece has count their bytes."""
+        """Number of pieces on the cheapest path of each segment; equal costs take the fewer pieces. Characters no piece has count their bytes.
+
+        A segment longer than PART is walked in parts of that length, side by side: at most one piece a part more or less.
+        """
+        if any(len(s) > self.PART for s in segments):
+            parts = [[s[i : i + self.PART] for i in range(0, max(1, len(s)), self.PART)] for s in segments]
+            each = self.count([p for ps in parts for p in ps])
+            return np.add.reduceat(each, np.cumsum([0, *map(len, parts[:-1])]))
         out = np.zeros(len(segments), np.int64)
         lengths = np.asarray([len(s) for s in segments], np.int64)
         order = np.argsort(lengths, kind="stable")

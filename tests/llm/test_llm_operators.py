@@ -176,6 +176,8 @@ def test_viterbi_is_brute_force():
 
     words = ["".join(p) for n in range(1, 6) for p in itertools.product("abc▁é", repeat=n)]
     assert trie.count(words).tolist() == [brute(w) for w in words]
+    long = "ab" * 50_000
+    assert trie.count(["", long, "ab"]).tolist()[::2] == [0, 1] and abs(trie.count([long])[0] - 50_000) <= len(long) // trie.PART + 1
 
 
 def test_exact_counts_are_the_librarys(spark):
@@ -276,6 +278,19 @@ def test_dual_traversal_loses_nothing():
             assert (i, j) in found
 
 
+def test_very_long_texts(spark, model):
+    rng = random.Random(1)
+    long = " ".join(rng.choice(WORDS) + ("." if rng.random() < 0.1 else "") for _ in range(60_000))
+    df = spark.createDataFrame([(1, long), (2, "x" * 300_000), (3, long + " end")], "doc_id long, text string")
+    cuts = splitting.split_oversized(df).filter("key < 3").groupBy("key").agg(F.max("end_pos").alias("end"), F.max(F.length("piece")).alias("longest"))
+    assert {(r.key, r.end, r.longest <= 8000) for r in cuts.collect()} == {(1, len(long), True), (2, 300_000, True)}
+    assert sentences.sentences(df, with_text=False).filter("key = 2").first().end_pos == 300_000
+    assert languages.document_languages(df, model).filter("key = 1").count() >= 1
+    assert {r.key for r in tokens.token_counts(df).filter("tokens > 1000").collect()} == {1, 2, 3}
+    assert [(r.a, r.b) for r in neardup.near_duplicate_pairs(df).collect()] == [(1, 3)]
+    assert scans.damaged_lines(df)[0].count() == 0
+
+
 # 1: scanned pages
 def scan_texts(n=60):
     rng = random.Random(9)
