@@ -12,12 +12,12 @@ from corpusloom.operators.normalize import word_count
 from corpusloom.runtime import arrow_columns
 
 
-def remove_patterns(df: DataFrame, table: dict[str, str], text: str = "text", replacement: str = "", count: bool = True, debug: str = "") -> DataFrame:
-    """Removes each pattern in turn; with count: {name}_citations_found. debug names a group whose tag stands in a match's place."""
+def remove_patterns(df: DataFrame, table: dict[str, str], text: str = "text", replacement: str = "", count: bool = True, debug: str = "", placeholders: dict[str, str] | None = None) -> DataFrame:
+    """Removes each pattern in turn; with count: {name}_citations_found. debug names a group whose tag stands in a match's place, placeholders give one by name, such as [EMAIL]."""
     for name, pattern in table.items():
         if count:
             df = df.withColumn(f"{name}_citations_found", F.regexp_count(text, F.lit(pattern)))
-        df = df.withColumn(text, F.regexp_replace(text, pattern, f"[DEBUG:{debug}:{name}]" if debug else replacement))
+        df = df.withColumn(text, F.regexp_replace(text, pattern, f"[DEBUG:{debug}:{name}]" if debug else (placeholders or {}).get(name, replacement)))
     return df
 
 

@@ -25,6 +25,7 @@ def test_artefacts_and_citations(spark):
     out = C.remove_citations(C.remove_artefacts(df))
     assert result(out) == ["mail  now", "see  and ", "", "", "a  b ", "x  y", "z ", "n ", "plain (25 °C)", "", None]
     assert result(out, "urls_citations_found")[1] == 2
+    assert result(C.remove_patterns(df, P.ARTEFACTS, placeholders={"email_addresses": "[EMAIL]"}))[0] == "mail [EMAIL] now"
     assert "[DEBUG:artefakt:urls]" in result(C.remove_artefacts(df, debug=True))[1]
 
 
