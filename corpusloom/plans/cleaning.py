@@ -97,24 +97,17 @@ LINES = f"(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_
 
 @query(f"SELECT doc_id, len(string_split_regex(rtrim(text, chr(10)), '\\r\\n|[\\n\\r\\x0B\\x0C\\x1C\\x1D\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]')) AS n_lines FROM {INJ} WHERE text <> '' AND right(text, 1) NOT IN (chr(10), chr(13), chr(12))")
 def l0_split_lines(s: SparkSession, d: str) -> DataFrame:
-    docs = injected(s, d).filter("text <> ''").filter(~F.right("text", F.lit(1)).isin("\n", "\r", "\f"))
-    return docs.select("doc_id", F.size(L.split_lines(F.col("text"))).alias("n_lines"))
+    return injected(s, d).select("doc_id", F.size(L.split_lines(F.col("text"))).alias("n_lines"))
 
 
 _STRIP = r"regexp_replace(line, '^\s+|\s+$', '', 'g')"
 _PLAIN = f"(SELECT doc_id, {_STRIP} AS st, line, i FROM {LINES} WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE regexp_matches(text, '[\\r\\x0B\\x0C\\x1C-\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]')))"
 
 
-def _plain_lines(s: SparkSession, d: str) -> DataFrame:
-    odd = "[\r\u000b\f\u001c-\u001e\u0085  ]"
-    docs = t(s, d, "documents").filter(F.coalesce(F.col("text").rlike(odd), F.lit(False))).select("doc_id")
-    return injected(s, d).join(docs, "doc_id", "left_anti")
-
-
 @query(f"SELECT doc_id, i FROM (SELECT doc_id, i, st, list(st) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS prev FROM {_PLAIN} WHERE st <> '') WHERE list_contains(prev, st)")
 def l1_repetition(s: SparkSession, d: str) -> DataFrame:
     """Lines equal to one of the five non-blank lines before."""
-    x = L.classify_lines(_plain_lines(s, d)).select("doc_id", F.explode("line_info").alias("x"))
+    x = L.classify_lines(injected(s, d)).select("doc_id", F.explode("line_info").alias("x"))
     return x.filter("x.reason LIKE 'repetition%'").select("doc_id", F.col("x.i").cast("long").alias("i"))
 
 
@@ -128,7 +121,7 @@ _TABS = "length(line) - length(replace(line, chr(9), ''))"
 
 @query(f"SELECT doc_id, i FROM (SELECT doc_id, i, {_TABS} >= 2 AS t, coalesce(lag({_TABS} >= 2) OVER w, false) AS p, coalesce(lead({_TABS} >= 2) OVER w, false) AS n FROM {_PLAIN} WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE t AND (p OR n)")
 def l2_consecutive_tabs(s: SparkSession, d: str) -> DataFrame:
-    lines = _plain_lines(s, d).withColumn("_l", L.split_lines(F.col("text"))).withColumn("_t", F.transform("_l", lambda x: F.length(x) - F.length(F.translate(x, "\t", "")) >= 2))
+    lines = injected(s, d).withColumn("_l", L.split_lines(F.col("text"))).withColumn("_t", F.transform("_l", lambda x: F.length(x) - F.length(F.translate(x, "\t", "")) >= 2))
     near = lambda i: F.coalesce(F.try_element_at("_t", i + 2), F.lit(False)) | (i > 0) & F.coalesce(F.try_element_at("_t", F.greatest(i, F.lit(1))), F.lit(False))
     x = lines.select("doc_id", F.posexplode("_t").alias("p", "t"), "_t").filter(F.col("t") & near(F.col("p")))
     return x.select("doc_id", (F.col("p") + 1).cast("long").alias("i"))
@@ -140,7 +133,7 @@ _SHORT = "CASE " + " ".join(f"WHEN {_W} <= 3 AND length(st) <= 15 AND regexp_mat
 
 @query(f"SELECT doc_id, i, {_SHORT} AS reason FROM {_PLAIN} WHERE st <> '' AND {_SHORT} IS NOT NULL")
 def l3_short_lines(s: SparkSession, d: str) -> DataFrame:
-    x = _plain_lines(s, d).select("doc_id", F.posexplode(L.split_lines(F.col("text"))).alias("p", "line")).withColumn("st", N.strip(F.col("line"))).filter("st <> ''")
+    x = injected(s, d).select("doc_id", F.posexplode(L.split_lines(F.col("text"))).alias("p", "line")).withColumn("st", N.strip(F.col("line"))).filter("st <> ''")
     reason = F.lit(None).cast("string")
     for n, p in reversed(P.SHORT_LINES):
         reason = F.when(F.col("st").rlike(p), n).otherwise(reason)
@@ -153,7 +146,7 @@ _META = f"CASE WHEN regexp_matches(st, {_sql(P.KEYWORD_LINE)}) THEN 'keywords_me
 
 @query(f"SELECT doc_id, i, {_META} AS reason FROM {_PLAIN} WHERE st <> '' AND {_META} IS NOT NULL")
 def l4_l5_metadata_copyright(s: SparkSession, d: str) -> DataFrame:
-    x = _plain_lines(s, d).select("doc_id", F.posexplode(L.split_lines(F.col("text"))).alias("p", "line")).withColumn("st", N.strip(F.col("line"))).filter("st <> ''")
+    x = injected(s, d).select("doc_id", F.posexplode(L.split_lines(F.col("text"))).alias("p", "line")).withColumn("st", N.strip(F.col("line"))).filter("st <> ''")
     c = F.col("st")
     code = (N.word_count(c) <= 8) & c.rlike(P.CODE_START) | c.rlike(P.ALL_CAPS) & (F.length(F.replace(c, F.lit(" "), F.lit(""))) < 8)
     reason = F.when(c.rlike(P.KEYWORD_LINE), "keywords_metadata").when(code, "technical_code_line").when(c.rlike(P.COPYRIGHT), "copyright_line")
@@ -168,7 +161,7 @@ _RANKED = f"""SELECT doc_id, count(reason) AS lines_removed, coalesce(sum(length
 
 @query(_RANKED)
 def l6_fused_line_cleaner(s: SparkSession, d: str) -> DataFrame:
-    return L.clean_lines(_plain_lines(s, d).filter("text <> ''")).select("doc_id", F.col("lines_removed").cast("long").alias("lines_removed"), F.col("line_length_reduction").cast("long").alias("line_length_reduction"))
+    return L.clean_lines(injected(s, d)).select("doc_id", F.col("lines_removed").cast("long").alias("lines_removed"), F.col("line_length_reduction").cast("long").alias("line_length_reduction"))
 
 
 _MATH = f"regexp_matches(st, {_sql(P.MATH)})"
@@ -178,7 +171,7 @@ _CAP = f"CASE WHEN regexp_matches(st, {_sql(P.CAPTION)}) THEN 'figure_table_capt
 
 @query(f"SELECT doc_id, i, {_CAP} AS reason FROM {_PLAIN} WHERE st <> '' AND {_CAP} IS NOT NULL")
 def l7_l9_captions(s: SparkSession, d: str) -> DataFrame:
-    x = _plain_lines(s, d).select("doc_id", F.posexplode(L.split_lines(F.col("text"))).alias("p", "line"))
+    x = injected(s, d).select("doc_id", F.posexplode(L.split_lines(F.col("text"))).alias("p", "line"))
     return x.select("doc_id", (F.col("p") + 1).cast("long").alias("i"), L.caption_reason(F.col("line")).alias("reason")).filter("reason IS NOT NULL")
 
 
