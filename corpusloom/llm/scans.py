@@ -65,23 +65,33 @@ def shape(word: str) -> str:
 _SHAPE = str.maketrans({"c": "e", "ä": "a", "f": "t", "!": "i", "1": "i", "l": "i", "|": "i", "0": "o", "о": "o", "5": "s", "9": "g", "6": "b", "8": "b", "h": "b", "2": "z", "3": "з", "б": "b"})
 
 
-def is_laid_out(lines: list[str]) -> int:
-    """Width of the page if a text's lines were broken by a layout, else 0."""
-    bare = [x.rstrip() for x in lines]
-    width = max(map(len, bare), default=0)
-    if len(lines) < 4 or not 24 <= width <= 130:
-        return 0
+def _breaks_at(bare: list[str], width: int, strict: bool) -> bool:
+    """Whether lines end where the next word would pass the width and go on in the next line. Lines far wider than that say nothing."""
     full = pairs = going_on = 0
     for a, b in zip(bare, bare[1:], strict=False):
-        if a and b and len(a) > 0.5 * width:
+        if a and b and 0.5 * width < len(a) <= 1.1 * width + 2:
             pairs += 1
             head = b.lstrip()
-            if a[-1] in BREAK_MARKS or len(a) + 1 + len(head.split(None, 1)[0]) > width - 1:
+            word = head.split(None, 1)[0]
+            if a[-1] in BREAK_MARKS or len(a) + 1 + len(word) > width - 1 and not (strict and len(word) > 0.5 * width and len(a) <= 0.85 * width):
                 full += 1
                 # Prose goes on in small letters somewhere; where a script has none, its lines are full.
                 going_on += head[0].islower() or not (head[0].isupper() or head[0].isdigit()) and head[0].isalpha() and len(a) > 0.85 * width
-    if full < 3 or full < 0.5 * pairs or going_on < 0.25 * full:
+    return full >= 3 and full >= (0.75 if strict else 0.5) * pairs and going_on >= (0.4 if strict else 0.25) * full
+
+
+def is_laid_out(lines: list[str]) -> int:
+    """Width of the page if a text's lines were broken by a layout, else 0.
+
+    The width is the longest line's or, as running titles and single lines may be wider than the text, that which a tenth of the
+    lines may pass. Entries of lists and rows of tables come near the latter too, so more of the lines must be full there.
+    """
+    bare = [x.rstrip() for x in lines]
+    sizes = sorted(len(x) for x in bare if x)
+    if len(lines) < 4 or not sizes:
         return 0
+    most = sizes[int(0.9 * (len(sizes) - 1))]
+    width = next((w for w, strict in ((sizes[-1], False), (most, True)) if 24 <= w <= 130 and _breaks_at(bare, w, strict)), 0)
     letters = sum(map(str.isalpha, "".join(bare)))
     return width if letters > 0.45 * sum(map(len, bare)) else 0
 

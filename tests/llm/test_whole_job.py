@@ -1,0 +1,30 @@
+"""Training-text operators on cases that were left out before."""
+
+import random
+import textwrap
+
+from corpusloom.llm import scans
+
+
+def prose(rng, n=700):
+    words = "the probe rose over a season while samples of salt were stored before rinsing and results remained stable under dry conditions".split()
+    return " ".join(rng.choice(words) for _ in range(n))
+
+
+def test_pages_with_heads_wider_than_the_text():
+    """Every layout counts: one that is rejected is a miss."""
+    rng = random.Random(5)
+    for width in range(40, 80, 5):
+        body = textwrap.wrap(prose(rng), width)
+        head = f"{rng.randint(100, 400)}  " + "Viste & Zeldenran ".ljust(width + 9, "x")
+        lines = [y for i, x in enumerate(body) for y in ([head, ""] * (i % 30 == 0) + [x])]
+        got = scans.is_laid_out(lines)
+        assert width - 3 <= got <= width, (width, got)
+        # A single line above 130 characters rejects no page either.
+        assert scans.is_laid_out([*body, "y " * 100])
+
+
+def test_lists_with_one_wide_row_are_no_pages():
+    rng = random.Random(6)
+    rows = [", ".join(prose(rng, 1) + str(rng.randint(1, 99)) for _ in range(rng.randint(1, 5))) for _ in range(60)]
+    assert not scans.is_laid_out([*rows, "z" * 90])
