@@ -273,9 +273,13 @@ class Passages:
     lang: np.ndarray
 
 
+def _tokens(line: str) -> list[str]:
+    return (_WIDE_STOP.sub(r"\1 ", line) if "。" in line or "？" in line else line).split()
+
+
 def passages(lines: list[str], line_doc: np.ndarray, words: Words, switch: float = 8.0) -> tuple[Passages, np.ndarray, np.ndarray]:
     """(passages, token indices, number of tokens of each line) of the lines of a batch, documents in order."""
-    split = [(_WIDE_STOP.sub(r"\1 ", x) if "。" in x or "？" in x else x).split() for x in lines]
+    split = [_tokens(x) for x in lines]
     tokens = [t for x in split for t in x]
     count = np.asarray([len(x) for x in split], np.int64)
     index = words.find(tokens)
@@ -397,6 +401,64 @@ def document_languages(df: DataFrame, model: KneserNey, key: str = "doc_id", tex
     return base.mapInArrow(run, f"key {key_type}, lang string, share double, confidence double, chars long, blank boolean, nonprose double")
 
 
+def language_passages(df: DataFrame, model: KneserNey, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, start_pos, end_pos, lang, confidence): each run of sentences of one language, text[start_pos:end_pos] in code points.
+
+    The runs of a text follow each other and hold all its words; lang is null, confidence 0 for those in no language. Null
+    and blank texts have no row; repeated rows come out each on its own.
+    """
+    from corpusloom.llm.quality import nonprose_lines
+
+    base = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    key_type = base.schema["key"].dataType.simpleString()
+    sent = base.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(sent.value)
+        n = len(words.model.langs)
+        names = np.asarray([*words.model.langs, None], object)
+        for batch in pieces(batches, "text", 2_000_000):
+            per = [(t or "").split("\n") for t in batch.column("text").to_pylist()]
+            lines = [x for t in per for x in t]
+            line_doc = np.repeat(np.arange(len(per)), [len(t) for t in per])
+            p, _, count = passages(lines, line_doc, words)
+            if not len(p.doc):
+                continue
+            starts, ends = _places(per)
+            token_line = np.repeat(np.arange(len(lines)), count)
+            other = nonprose_lines(lines, line_doc, p, count) > 0
+            lang = np.where(other[token_line[p.first_token]] | (p.lang < 0), n, p.lang)
+            first = np.flatnonzero(np.append(True, (p.doc[1:] != p.doc[:-1]) | (lang[1:] != lang[:-1])))
+            last = np.append(first[1:], len(lang))
+            own = lang[first]
+            mean = _sums(p.loglik, first, last) / np.maximum(_sums(p.size, first, last), 1)[:, None]
+            z = np.exp((mean - mean.max(1, keepdims=True)) * words.model.scale)
+            conf = np.where(own == n, 0.0, z[np.arange(len(own)), np.minimum(own, n - 1)] / z.sum(1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key").take(pa.array(p.doc[first])), pa.array(starts[p.first_token[first]]), pa.array(ends[p.last_token[last - 1] - 1]), pa.array(names[own].tolist(), pa.string()), pa.array(conf)],
+                ["key", "start_pos", "end_pos", "lang", "confidence"],
+            )
+
+    return base.mapInArrow(run, f"key {key_type}, start_pos long, end_pos long, lang string, confidence double")
+
+
+def _places(per: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Where each token of the texts, given as their lines, begins and ends in its text."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for lines in per:
+        base = 0
+        for x in lines:
+            at = 0
+            for t in _tokens(x):
+                at = x.index(t, at)
+                starts.append(base + at)
+                at += len(t)
+                ends.append(base + at)
+            base += len(x) + 1
+    return np.asarray(starts, np.int64), np.asarray(ends, np.int64)
+
+
 def _line_chars(lines: list[str]) -> np.ndarray:
     return np.asarray([len(x.strip()) for x in lines], np.int64)
 

@@ -80,6 +80,10 @@ def p7_languages(spark: SparkSession, d: str) -> DataFrame:
     return languages.document_languages(table(spark, d, "documents"), _model(spark, d)).withColumnRenamed("key", "doc_id")
 
 
+def p7_passages(spark: SparkSession, d: str) -> DataFrame:
+    return languages.language_passages(table(spark, d, "documents"), _model(spark, d)).withColumnRenamed("key", "doc_id")
+
+
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents")).withColumnRenamed("key", "doc_id")
 

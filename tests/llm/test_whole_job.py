@@ -3,7 +3,7 @@
 import random
 import textwrap
 
-from corpusloom.llm import scans
+from corpusloom.llm import languages, queries, scans
 
 
 def prose(rng, n=700):
@@ -28,3 +28,22 @@ def test_lists_with_one_wide_row_are_no_pages():
     rng = random.Random(6)
     rows = [", ".join(prose(rng, 1) + str(rng.randint(1, 99)) for _ in range(rng.randint(1, 5))) for _ in range(60)]
     assert not scans.is_laid_out([*rows, "z" * 90])
+
+
+EN = ["The membrane potential was compared with the assumed geometry.", "Several independent trials gave a weak signal near the upper limit.", "We tested the salts after careful filtering.", "A long survey was lost before the final rinse."]
+DE = ["Die Proben wurden bei Raumtemperatur gelagert und danach gemischt.", "Der Streuwinkel bestimmt die übrigen Proben während der Saison.", "Das Verfahren wurde auf die untersuchte Gruppe übertragen.", "Die Nervenfaser war nach sorgfältiger Filterung stabil."]
+ZH = ["我们发现表层样品补充了两种竞争假设。", "这表明热梯度与系统的关系是稳定的。", "在每次重复中，温度改变了早期的测量。"]
+
+
+def test_each_passage_in_another_language_has_its_place(spark):
+    model = languages.KneserNey.fit({"en": EN * 3, "de": DE * 3, "zh": ZH * 3})
+    en, de, zh = " ".join(EN), " ".join(DE), "".join(ZH)
+    parts = ["  " + en + "\n\n", de + "\n", en + "\n\n\n", zh + "\n", de + " "]
+    rows = [(1, "".join(parts)), (2, None), (3, " \n "), (4, de)]
+    got = languages.language_passages(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    text = rows[0][1]
+    one = sorted((r for r in got if r.key == 1), key=lambda r: r.start_pos)
+    assert [(r.lang, text[r.start_pos : r.end_pos]) for r in one] == [("en", en), ("de", de), ("en", en), ("zh", zh), ("de", de)]
+    assert all(0.5 < r.confidence <= 1 for r in got)
+    assert [(r.key, r.start_pos, r.end_pos, r.lang) for r in got if r.key != 1] == [(4, 0, len(de), "de")]
+    assert "p7_passages" in queries.queries()
