@@ -108,21 +108,36 @@ class Page:
         self.bare = [x.strip() for x in self.lines]
         self.solid = [i for i, x in enumerate(self.bare) if x]
         self.place = {i: k for k, i in enumerate(self.solid)}
-        self.keys = Counter(self.key(x) for x in self.bare if x and len(x) < 0.95 * self.width)
+        self.heads = Counter(self.head(x) for x in self.bare if len(x) > 0.92 * self.width)
+        self.keys = Counter(self.key(x) for i, x in enumerate(self.bare) if x and (len(x) < 0.95 * self.width or self.titled(i)))
 
     @staticmethod
     def key(line: str) -> str:
         """What stays of a running title from page to page, numbers and misreadings aside."""
         return " ".join(shape(x.lower())[:4] for x in _TITLE_WORD.findall(line)[:2])
 
+    @staticmethod
+    def head(line: str) -> str:
+        """All words of a line, numbers and misreadings aside: what a title as wide as the page has on every one."""
+        return " ".join(shape(x.lower()) for x in _TITLE_WORD.findall(line))
+
+    def at_edge(self, i: int) -> bool:
+        """Whether a line touches a form feed, an empty line or an end of the text."""
+        return "\x0c" in self.lines[i] or i == 0 or not self.bare[i - 1] or "\x0c" in self.lines[i - 1] or i + 1 >= len(self.bare) or not self.bare[i + 1] or "\x0c" in self.lines[i + 1][:1]
+
+    def titled(self, i: int) -> bool:
+        """Whether a line of the page's width has a number at its side or comes again with the same words."""
+        head = self.head(self.bare[i])
+        return bool(_SIDE_NUMBER.search(self.lines[i])) or head != "" and self.heads[head] > 1
+
     def candidates(self) -> list[int]:
-        """Lines shorter than the page that are no rows of a table and no entries of a list."""
+        """Lines that are shorter than the page or may be titles as wide as it, no rows of a table and no entries of a list."""
         row = [(_fields(self.lines[i]), bool(_ENTRY.match(self.lines[i]) or _LEADER.search(self.bare[i]) or _INDEX.match(self.bare[i]))) for i in self.solid]
         out = []
         for k, i in enumerate(self.solid):
             (sep, n), entry = row[k]
             near = row[max(0, k - 1) : k] + row[k + 1 : k + 2]
-            if len(self.bare[i]) > 0.92 * self.width or n >= 3 and any(m >= 3 and s == sep for (s, m), _ in near) or entry and any(e for _, e in near):
+            if len(self.bare[i]) > 0.92 * self.width and not (self.titled(i) or self.at_edge(i)) or n >= 3 and any(m >= 3 and s == sep for (s, m), _ in near) or entry and any(e for _, e in near):
                 continue
             out.append(i)
         return out
@@ -256,6 +271,12 @@ def lay_out(text: str, rng: random.Random, ordinary: dict[str, int]) -> tuple[li
     number = rng.randint(1, 400)
     adorn = rng.choice(["{}", "- {} -", "— {} —", "– {} –", "[{}]", "{} / 480", "Page {}", "S. {}", "~ {} ~", "· {} ·"])
     roman = rng.random() < 0.1
+    wide = random.Random(1000 * width + number)
+    flush = wide.random() < 0.35  # the number stands at the other edge of the page
+    if wide.random() < 0.12:  # a title as wide as the text
+        while len(title) < 0.93 * width:
+            title += " " + (wide.choice(every).upper() if title.isupper() else wide.choice(every))
+        title = title[: width + 6]
     gap = rng.randint(12, 45)
     until = rng.randint(6, gap)
     lines: list[str] = []
@@ -272,7 +293,8 @@ def lay_out(text: str, rng: random.Random, ordinary: dict[str, int]) -> tuple[li
         parts = []
         if both < 0.25:
             t = title if not rng.random() < 0.15 else _misread(title.lower(), rng).capitalize()
-            parts.append((rng.choice([f"{t}{' ' * rng.randint(3, 14)}{n}", f"{n}{' ' * rng.randint(3, 14)}{t}"]), "running"))
+            gaps = [max(3, width - len(t) - len(n)) if flush else g for g in (rng.randint(3, 14), rng.randint(3, 14))]
+            parts.append((rng.choice([f"{t}{' ' * gaps[0]}{n}", f"{n}{' ' * gaps[1]}{t}"]), "running"))
         else:
             if both < 0.75:
                 parts.append((" " * pad + shown, "pageno"))
@@ -454,7 +476,9 @@ def examine(texts: list[str], models: Models) -> list[Damage | None]:
         x = np.asarray([pages[d].features(i) for d, i in short])
         run, num = models.running.predict(x), models.pageno.predict(x)
         for (d, i), r, p, f in zip(short, run.tolist(), num.tolist(), x, strict=True):
-            if max(r, p) > 0.5 and not f[16]:  # a number in brackets is an equation's
+            # A line as wide as the page that has no number and doesn't come again is most often a paragraph's first or last one.
+            sure = 0.9 if f[0] > 0.92 and not pages[d].titled(i) else 0.5
+            if max(r, p) > sure and not f[16]:  # a number in brackets is an equation's
                 furniture[d][i] = "pageno" if p >= r and f[2] else "running" if r >= 0.5 else "pageno"
     bodies = {d: [i for i in page.solid if i not in furniture[d]] for d, page in pages.items()}
     parts, features = [], []

@@ -47,3 +47,26 @@ def test_each_passage_in_another_language_has_its_place(spark):
     assert all(0.5 < r.confidence <= 1 for r in got)
     assert [(r.key, r.start_pos, r.end_pos, r.lang) for r in got if r.key != 1] == [(4, 0, len(de), "de")]
     assert "p7_passages" in queries.queries()
+
+
+def test_titles_as_wide_as_the_page_are_looked_at():
+    rng = random.Random(7)
+    body = textwrap.wrap(prose(rng, 900), 60)
+    for head in ("VISTE AND ZELDENRAN ON THE PROBE IN DRY SEASONS OF STABILITY", "Viste & Zeldenran".ljust(56) + "{}", "{}" + "Viste & Zeldenran".rjust(57)):
+        lines = []
+        for k in range(0, 90, 30):
+            lines += [head.format(100 + k), *body[k : k + 30]]
+        page = scans.Page(lines, 60, {})
+        assert {0, 31, 62} <= set(page.candidates())
+        assert len(page.candidates()) < 0.3 * len(lines)
+        assert all(page.features(i)[13] == 3 for i in (0, 31, 62))
+
+
+def test_layouts_have_numbers_at_the_other_edge():
+    text = prose(random.Random(8), 900)
+    wide = 0
+    for seed in range(40):
+        lines, kinds, _ = scans.lay_out(text, random.Random(seed), {})
+        width = scans.is_laid_out(lines)
+        wide += any(len(lines[i].strip()) > 0.92 * width for i, k in kinds.items() if k == "running" and "  " in lines[i].strip())
+    assert wide >= 3
