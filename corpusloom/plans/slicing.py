@@ -49,8 +49,10 @@ def f4_window_filter(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT doc_id, array_to_string(list_resize(list_transform(w[1:16], lambda x: length(x)), 16, 0), ' ') AS ids FROM {_TOK}")
 def d4_padded_output(s: SparkSession, d: str) -> DataFrame:
-    ids = F.transform(F.slice("w", 1, 16), lambda x: F.length(x))
-    return _tokens(s, d).select("doc_id", F.array_join(S.padded_ids(ids, 16), " ").alias("ids"))
+    """Every window of a text, in steps of half its length, filled up to 16."""
+    w = S.windows(t(s, d, "documents"), "doc_id", length=16)
+    ids = F.transform(F.split("text", " "), lambda x: F.length(x))
+    return w.select(F.col("original_doc_id").alias("doc_id"), "window_idx", "start_pos", F.array_join(S.padded_ids(ids, 16), " ").alias("ids"))
 
 
 @query(f"SELECT id, len(list_filter(string_split({_SQL_NORM}, ' '), lambda w: w <> '')) AS tokens, metadata.actual_tokens AS stated FROM text_windows")

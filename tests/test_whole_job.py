@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from corpusloom.plans import cleaning
+from corpusloom.plans import catalog, cleaning  # noqa: F401  (the catalog registers all queries)
 from corpusloom.plans.registry import ORACLES, QUERIES
 
 _ENDS = "'\\r\\n|[\\n\\r\\x0B\\x0C\\x1C\\x1D\\x1E\\x{85}\\x{2028}\\x{2029}]'"
@@ -33,3 +33,15 @@ def test_line_queries_take_all_documents(spark, tmp_path, name):
     got = sorted((tuple(r) for r in out.select(*[x[0] for x in con.execute(whole(name)).description]).collect()), key=str)
     assert got == want
     assert {r[0] for r in got} >= {0, 7}
+
+
+def test_padded_output_has_every_window(spark, tmp_path):
+    texts = [" ".join("x" * (1 + i % 7) for i in range(n)) for n in (0, 1, 16, 17, 40, 100)] + [None, "  a\n b c "]
+    got = {(r.doc_id, r.window_idx): (r.start_pos, r.ids) for r in QUERIES["d4_padded_output"](spark, documents(spark, tmp_path, texts)).collect()}
+    want = {}
+    for i, x in enumerate(texts):
+        w = [len(y) for y in (x or "").split()]
+        for k in range(1 + max(0, -(-(len(w) - 16) // 8)) if w else 0):
+            own = w[k * 8 : k * 8 + 16]
+            want[i, k] = (k * 8, " ".join(map(str, own + [0] * (16 - len(own)))))
+    assert got == want
