@@ -88,8 +88,13 @@ def c23_debug_tags(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 'artefacts' AS stage, " + ", ".join(f"CAST(sum({_count(p)}) AS BIGINT) AS {n}" for n, p in list(P.ARTEFACTS.items())[:1]) + f" FROM {INJ}")
 def c24_counts(s: SparkSession, d: str) -> DataFrame:
-    out = C.remove_artefacts(injected(s, d))
-    return out.agg(F.lit("artefacts").alias("stage"), F.sum("email_addresses_citations_found").alias("email_addresses"))
+    """Totals of every artefact and citation type: found, removed, rejected. Types without validation have no rejected ones."""
+    out = C.remove_validated(C.remove_citations(C.remove_artefacts(injected(s, d))))
+    stages = {k: stage for stage, names in (("artefacts", P.ARTEFACTS), ("citations", P.CITATIONS), ("validated", P.VALIDATED)) for k in names}
+    sums = [F.sum(f"{k}_citations_{w}" if k in P.VALIDATED else f"{k}_citations_found").alias(f"{k}_{w}") for k in stages for w in ("found", "removed", "rejected") if k in P.VALIDATED or w != "rejected"]
+    one = out.agg(*sums)
+    rows = F.array(*[F.struct(F.lit(stage).alias("stage"), F.lit(k).alias("type"), F.col(f"{k}_found").alias("found"), F.col(f"{k}_removed").alias("removed"), (F.col(f"{k}_rejected") if k in P.VALIDATED else F.lit(0).cast("long")).alias("rejected")) for k, stage in stages.items()])
+    return one.select(F.inline(rows))
 
 
 LINES = f"(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {INJ})"

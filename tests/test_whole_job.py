@@ -3,6 +3,8 @@
 import duckdb
 import pytest
 
+from corpusloom.functions import patterns as P
+from corpusloom.operators import citations as C
 from corpusloom.plans import catalog, cleaning  # noqa: F401  (the catalog registers all queries)
 from corpusloom.plans.registry import ORACLES, QUERIES
 
@@ -45,3 +47,22 @@ def test_padded_output_has_every_window(spark, tmp_path):
             own = w[k * 8 : k * 8 + 16]
             want[i, k] = (k * 8, " ".join(map(str, own + [0] * (16 - len(own)))))
     assert got == want
+
+
+def test_counts_of_all_types(spark, tmp_path):
+    """Artefact, citation and validated types, each against its counts text by text."""
+    texts = ["doi:10.1000/xyz a.b@c.org", "(1) first item", "shown here ( 7 ), again", " Smith; Lee; Kim ", None, "x", "y", "as in ref 12 we saw"]
+    d = documents(spark, tmp_path, texts)
+    got = {r.type: (r.found, r.removed, r.rejected) for r in QUERIES["c24_counts"](spark, d).collect()}
+    assert set(got) == {*P.ARTEFACTS, *P.CITATIONS, *P.VALIDATED}
+    want = dict.fromkeys(got, (0, 0, 0))
+    kinds = list(P.VALIDATED)
+    for r in C.remove_citations(C.remove_artefacts(cleaning.injected(spark, d))).collect():
+        for k in (*P.ARTEFACTS, *P.CITATIONS):
+            n = r[f"{k}_citations_found"]
+            want[k] = (want[k][0] + n, want[k][1] + n, 0)
+        counts = C.remove_validated_text(r.text)[1]
+        for k, f, x in zip(kinds, counts[::2], counts[1::2], strict=True):
+            want[k] = (want[k][0] + f, want[k][1] + x, want[k][2] + f - x)
+    assert got == want
+    assert got["email_addresses"][0] >= 2 and sum(x[2] for x in got.values()) > 0
