@@ -2,7 +2,8 @@
 
 Method: interpolated Kneser-Ney character models, one for each language, fitted on the labelled sentences; all n-grams
 lie in sorted hash arrays with their log-probabilities in every language. A passage goes to the language of the lowest
-length-normalised cross-entropy, or to none where even that is above the bound calibrated on held-out sentences.
+length-normalised cross-entropy, or to none where even that is above the bound of that language, calibrated on held-out
+sentences. A language whose samples are written in other scripts than a passage is no candidate for it.
 Words are scored once per Python worker and looked up afterwards; a document's sentences are smoothed by a Viterbi pass
 that makes each change of language cost something. Nothing is shuffled; the model is bounded by the sample's size.
 """
@@ -30,6 +31,9 @@ _TERMINAL = re.compile(r"[.!?…。！？｡।॥][\"'”’»」』)）\]“]*
 _LATIN = re.compile(r"[A-Za-z]")
 _WIDE_STOP = re.compile(r"([。！？][」』”’）]*)")
 _TO_LATIN = str.maketrans({k: v for k, v in HOMOGLYPHS.items() if len(v) == 1})
+# First code points of the blocks of a script; its number stands beside them (0: any other).
+_BLOCKS = [(0x41, 1), (0x370, 2), (0x400, 3), (0x530, 0), (0x900, 4), (0x980, 0), (0x1E00, 1), (0x1F00, 2), (0x2000, 0), (0x3005, 6), (0x3008, 0), (0x3040, 5), (0x3100, 0), (0x3400, 6), (0xA000, 0), (0xAC00, 7), (0xD7B0, 0), (0xF900, 6), (0xFB00, 0), (0x20000, 6)]
+SCRIPTS = 8
 _UNSEEN = re.compile(r"[\xad​-‏⁠-⁤﻿]")
 
 
@@ -52,6 +56,15 @@ def _hash(codes: np.ndarray) -> np.ndarray:
     return h
 
 
+def script_counts(words: list[str]) -> np.ndarray:
+    """Letters of each word in each script."""
+    size = np.asarray([len(w) for w in words], np.int64)
+    cp = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    block = np.searchsorted([a for a, _ in _BLOCKS], cp, "right") - 1
+    script = np.asarray([k for _, k in _BLOCKS])[block]
+    return np.bincount(np.repeat(np.arange(len(words)), size) * SCRIPTS + script, minlength=len(words) * SCRIPTS).reshape(len(words), SCRIPTS)
+
+
 @dataclass
 class KneserNey:
     """log-probabilities of all n-grams in all languages, by sorted hash arrays; grams[k] and histories[k] are of length k."""
@@ -63,17 +76,23 @@ class KneserNey:
     back: dict[int, np.ndarray] = field(default_factory=dict)
     bound: np.ndarray | None = None
     scale: float = 1.0
+    written: np.ndarray | None = None
 
     @classmethod
-    def fit(cls, sentences: dict[str, list[str]], discount: float = 0.75) -> KneserNey:
-        """Interpolated Kneser-Ney of order 4 within words; every fifth sentence calibrates bound and scale."""
+    def fit(cls, sentences: dict[str, list[str]], discount: float = 0.75, folds: int = 5, least_script: float = 0.05) -> KneserNey:
+        """Interpolated Kneser-Ney of order 4 within words. Bounds and scale are calibrated on every sentence, each scored by
+        the models of the other folds; a language is written in the scripts of at least `least_script` of its letters."""
         langs = sorted(sentences)
-        part = {x: [s for i, s in enumerate(sentences[x]) if i % 5] or sentences[x] for x in langs}
-        held = {x: [s for i, s in enumerate(sentences[x]) if i % 5 == 0] for x in langs}
-        self = cls._count(langs, part, discount)
-        self._calibrate(held)
+        held: dict[str, list[tuple[np.ndarray, int]]] = {x: [] for x in langs}
+        for fold in range(folds):
+            part = {x: [s for i, s in enumerate(sentences[x]) if i % folds != fold] or sentences[x] for x in langs}
+            model = cls._count(langs, part, discount)
+            for x in langs:
+                held[x] += [model.score_sentence(s) for i, s in enumerate(sentences[x]) if i % folds == fold]
         full = cls._count(langs, sentences, discount)
-        full.bound, full.scale = self.bound, self.scale
+        counts = np.stack([script_counts([w for s in sentences[x] for t in s.split() for w in letters(t)]).sum(0) for x in langs])
+        full.written = counts >= least_script * np.maximum(counts.sum(1, keepdims=True), 1)
+        full._calibrate(held)
         return full
 
     @classmethod
@@ -173,30 +192,40 @@ class KneserNey:
         words = [w for t in text.split() for w in letters(t)]
         return self.score_words(words).sum(0), sum(len(w) + 1 for w in words)
 
-    def _calibrate(self, held: dict[str, list[str]]) -> None:
-        """bound: per language, the mean log-probability a letter that held-out sentences reach, less a margin. scale: of the confidence."""
+    def _calibrate(self, held: dict[str, list[tuple[np.ndarray, int]]]) -> None:
+        """bound: per language, the mean log-probability a letter that held-out sentences reach, less four deviations, pooled over the languages. scale: of the confidence."""
         n = len(self.langs)
-        self.bound = np.full(n, -4.0, np.float32)
-        margins = []
+        means, spreads, margins = np.full(n, np.nan), [], []
         for i, x in enumerate(self.langs):
-            scored = [(s / max(1, m), m) for s, m in map(self.score_sentence, held[x]) if m >= 8]
+            scored = [s / m for s, m in held[x] if m >= 8]
             if not scored:
                 continue
-            own = np.asarray([s[i] for s, _ in scored])
-            self.bound[i] = np.mean(own) - max(1.0, 4 * np.std(own))
-            for s, m in scored:
-                margins.append((s[i] - np.max(np.delete(s, i))) if n > 1 else 1.0)
+            own = np.asarray([s[i] for s in scored])
+            means[i] = own.mean()
+            spreads.append(own.var())
+            margins += [(s[i] - np.max(np.delete(s, i))) if n > 1 else 1.0 for s in scored]
+        spread = max(1.0, 4 * float(np.sqrt(np.mean(spreads)))) if spreads else 1.0
+        self.bound = np.where(np.isnan(means), -4.0, means - spread).astype(np.float32)
         low = np.percentile(margins, 5) if margins else 0.1
         self.scale = float(np.clip(4.6 / max(low, 0.05), 2.0, 40.0))  # 0.99 at the fifth percentile of the held-out margins
 
+    def candidates(self, loglik: np.ndarray, scripts: np.ndarray) -> np.ndarray:
+        """loglik, lowered beyond any rival where more than half of the letters stand in scripts that a language isn't written in."""
+        letters_ = scripts.sum(1, keepdims=True)
+        foreign = scripts @ (~self.written).T.astype(np.int64)
+        return loglik + np.where(2 * foreign > letters_, letters_ * 2 * FLOOR, 0).astype(np.float32)
+
+    def probability(self, mean: np.ndarray) -> np.ndarray:
+        """Calibrated probability of each language from the mean log-probabilities a letter."""
+        z = np.exp((mean - mean.max(1, keepdims=True)) * self.scale)
+        return z / z.sum(1, keepdims=True)
+
     def assign(self, loglik: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the language or -1, confidence) of passages with the given totals."""
+        """(index of the language or -1, its confidence) of passages with the given totals; -1 has the best language's."""
         mean = loglik / np.maximum(size, 1)[:, None]
         best = np.argmax(mean, 1)
-        z = (mean - mean.max(1, keepdims=True)) * self.scale
-        conf = 1 / np.exp(z).sum(1)
         rejected = (mean[np.arange(len(best)), best] < self.bound[best]) | (size == 0)
-        return np.where(rejected, -1, best), np.where(size == 0, 0.0, conf)
+        return np.where(rejected, -1, best), np.where(size == 0, 0.0, self.probability(mean).max(1))
 
 
 def fit_from(samples: DataFrame, lang: str = "lang", text: str = "text", bound: int = 20_000) -> KneserNey:
@@ -224,6 +253,7 @@ class Words:
         self.size = np.zeros(1024, np.int32)
         self.stop = np.zeros(1024, bool)
         self.length = np.zeros(1024, np.int32)
+        self.script = np.zeros((1024, SCRIPTS), np.int32)
 
     def find(self, tokens: list[str]) -> np.ndarray:
         """Index of every token in the arrays of this table."""
@@ -237,17 +267,20 @@ class Words:
             need = base + len(new)
             if need > len(self.size):
                 grow = max(need, 2 * len(self.size))
-                self.score = np.concatenate((self.score, np.zeros((grow - len(self.score), self.score.shape[1]), np.float32)))
+                self.score, self.script = (np.concatenate((a, np.zeros((grow - len(a), a.shape[1]), a.dtype))) for a in (self.score, self.script))
                 self.size, self.stop, self.length = (np.concatenate((a, np.zeros(grow - len(a), a.dtype))) for a in (self.size, self.stop, self.length))
             parts = [letters(t) for t in new]
             distinct = list(dict.fromkeys(w for p in parts for w in p))
             known = dict(zip(distinct, range(len(distinct)), strict=True))
-            scores = self.model.score_words(distinct)
+            scores, scripts = self.model.score_words(distinct), script_counts(distinct)
             owner = np.repeat(np.arange(len(new)), [len(p) for p in parts])
             flat = np.asarray([known[w] for p in parts for w in p], np.int64)
             add = np.zeros((len(new), scores.shape[1]), np.float32)
             np.add.at(add, owner, scores[flat])
             self.score[base:need] = add
+            in_script = np.zeros((len(new), SCRIPTS), np.int32)
+            np.add.at(in_script, owner, scripts[flat])
+            self.script[base:need] = in_script
             self.size[base:need] = [sum(map(len, p)) + len(p) for p in parts]
             self.stop[base:need] = [len(t) > 2 and bool(_TERMINAL.search(t)) for t in new]
             self.length[base:need] = [len(t) for t in new]
@@ -292,7 +325,7 @@ def passages(lines: list[str], line_doc: np.ndarray, words: Words, switch: float
     end = np.append(begin[1:], len(tokens)) if len(begin) else begin
     token_doc = np.repeat(line_doc, count)
     doc = token_doc[begin]
-    loglik = _sums(words.score[index], begin, end).astype(np.float32)
+    loglik = words.model.candidates(_sums(words.score[index], begin, end).astype(np.float32), _sums(words.script[index], begin, end).astype(np.int64))
     size = _sums(words.size[index], begin, end).astype(np.int64)
     chars = _sums(words.length[index] + 1, begin, end).astype(np.int64)
     found = Passages(doc, begin, end, loglik, size, chars, np.full(len(begin), -1))
@@ -301,11 +334,12 @@ def passages(lines: list[str], line_doc: np.ndarray, words: Words, switch: float
 
 
 def _smooth(p: Passages, model: KneserNey, switch: float) -> np.ndarray:
-    """Viterbi over each document's passages; the last state is 'none', at the calibrated bound. All documents step together."""
+    """Viterbi over each document's passages. Languages compete by log-probability alone; the last state is 'none', at the
+    calibrated bound of the passage's best language. All documents step together."""
     n = len(model.langs)
-    gain = np.concatenate((p.loglik - p.size[:, None] * model.bound, np.zeros((len(p.doc), 1), np.float32)), 1)
     if not len(p.doc):
         return p.lang
+    gain = np.concatenate((p.loglik, (p.size * model.bound[np.argmax(p.loglik, 1)])[:, None]), 1)
     docs, first, count = np.unique(p.doc, return_index=True, return_counts=True)
     order = np.argsort(-count, kind="stable")
     first, count = first[order], count[order]
@@ -380,7 +414,7 @@ def document_languages(df: DataFrame, model: KneserNey, key: str = "doc_id", tex
             size = np.bincount(cell, p.size, len(texts) * (n + 1)).reshape(len(texts), n + 1)
             loglik = np.zeros((len(texts) * (n + 1), n))
             np.add.at(loglik, cell, p.loglik)
-            _, conf = words.model.assign(loglik, size.ravel())
+            conf = words.model.probability(loglik / np.maximum(size.ravel(), 1)[:, None]).reshape(len(texts), n + 1, n)
             empty = chars.sum(1) == 0
             chars[empty, n] = 1
             d, k = np.nonzero(chars)
@@ -390,7 +424,7 @@ def document_languages(df: DataFrame, model: KneserNey, key: str = "doc_id", tex
                     batch.column("key").take(pa.array(d)),
                     pa.array(names[k].tolist(), pa.string()),
                     pa.array(chars[d, k] / total[d]),
-                    pa.array(np.where(k == n, 0.0, conf.reshape(len(texts), n + 1)[d, k])),
+                    pa.array(np.where(k == n, 0.0, conf[d, k, np.minimum(k, n - 1)])),  # the row's own language
                     pa.array(np.where(empty[d], 0, chars[d, k]).astype(np.int64)),
                     pa.array([bool(x) for x in empty[d]]),
                     pa.array(np.bincount(line_doc, _line_chars(lines) * other, len(texts))[d] / np.maximum(np.bincount(line_doc, _line_chars(lines), len(texts)), 1)[d]),
@@ -432,8 +466,7 @@ def language_passages(df: DataFrame, model: KneserNey, key: str = "doc_id", text
             last = np.append(first[1:], len(lang))
             own = lang[first]
             mean = _sums(p.loglik, first, last) / np.maximum(_sums(p.size, first, last), 1)[:, None]
-            z = np.exp((mean - mean.max(1, keepdims=True)) * words.model.scale)
-            conf = np.where(own == n, 0.0, z[np.arange(len(own)), np.minimum(own, n - 1)] / z.sum(1))
+            conf = np.where(own == n, 0.0, words.model.probability(mean)[np.arange(len(own)), np.minimum(own, n - 1)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key").take(pa.array(p.doc[first])), pa.array(starts[p.first_token[first]]), pa.array(ends[p.last_token[last - 1] - 1]), pa.array(names[own].tolist(), pa.string()), pa.array(conf)],
                 ["key", "start_pos", "end_pos", "lang", "confidence"],
