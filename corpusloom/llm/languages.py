@@ -31,6 +31,11 @@ _TERMINAL = re.compile(r"[.!?…。！？｡।॥][\"'”’»」』)）\]“]*
 _LATIN = re.compile(r"[A-Za-z]")
 _WIDE_STOP = re.compile(r"([。！？][」』”’）]*)")
 _TO_LATIN = str.maketrans({k: v for k, v in HOMOGLYPHS.items() if len(v) == 1})
+_CYRILLIC = re.compile(r"[\u0400-\u04ff]")
+_OF_LATIN = {v: k for k, v in reversed(HOMOGLYPHS.items()) if "а" <= k.lower() <= "я"}
+_TO_CYRILLIC = str.maketrans(_OF_LATIN | {k: _OF_LATIN[v] for k, v in HOMOGLYPHS.items() if v in _OF_LATIN and not "\u0400" <= k <= "\u04ff"})
+_ONLY_CYRILLIC = re.compile("[" + "".join(c for c in map(chr, range(0x410, 0x450)) if c not in HOMOGLYPHS) + "]")
+_ONLY_LATIN = re.compile("[" + "".join(c for c in map(chr, (*range(65, 91), *range(97, 123))) if c not in _OF_LATIN) + "]")
 # First code points of the blocks of a script; its number stands beside them (0: any other).
 _BLOCKS = [(0x41, 1), (0x370, 2), (0x400, 3), (0x530, 0), (0x900, 4), (0x980, 0), (0x1E00, 1), (0x1F00, 2), (0x2000, 0), (0x3005, 6), (0x3008, 0), (0x3040, 5), (0x3100, 0), (0x3400, 6), (0xA000, 0), (0xAC00, 7), (0xD7B0, 0), (0xF900, 6), (0xFB00, 0), (0x20000, 6)]
 SCRIPTS = 8
@@ -38,11 +43,15 @@ _UNSEEN = re.compile(r"[\xad​-‏⁠-⁤﻿]")
 
 
 def letters(token: str) -> list[str]:
-    """The runs of letters in a token, in small letters, look-alikes and width forms folded, marks kept as letters."""
+    """The runs of letters in a token, in small letters, look-alikes and width forms folded, marks kept as letters.
+
+    A token of several scripts is folded into the script of the letters that have no look-alike."""
     if token.isascii():
         return _WORD.findall(token.lower())
     t = unicodedata.normalize("NFKC", _UNSEEN.sub("", token))
-    if _LATIN.search(t) or len(t) == 1:
+    if _CYRILLIC.search(t) and len(_ONLY_CYRILLIC.findall(t)) > len(_ONLY_LATIN.findall(t)):
+        t = t.translate(_TO_CYRILLIC)
+    elif _LATIN.search(t) or len(t) == 1:
         t = t.translate(_TO_LATIN)
     return _WORD.findall(t.lower())
 
@@ -74,7 +83,8 @@ class KneserNey:
     logp: dict[int, np.ndarray] = field(default_factory=dict)
     histories: dict[int, np.ndarray] = field(default_factory=dict)
     back: dict[int, np.ndarray] = field(default_factory=dict)
-    bound: np.ndarray | None = None
+    mean: np.ndarray | None = None
+    spread: np.ndarray | None = None
     scale: float = 1.0
     written: np.ndarray | None = None
 
@@ -192,23 +202,28 @@ class KneserNey:
         words = [w for t in text.split() for w in letters(t)]
         return self.score_words(words).sum(0), sum(len(w) + 1 for w in words)
 
-    def _calibrate(self, held: dict[str, list[tuple[np.ndarray, int]]]) -> None:
-        """bound: per language, the mean log-probability a letter that held-out sentences reach, less four deviations, pooled over the languages. scale: of the confidence."""
+    def _calibrate(self, held: dict[str, list[tuple[np.ndarray, int]]], prior: float = 20.0) -> None:
+        """mean, spread: what held-out sentences of each language reach a letter, and the deviation of one letter (of a
+        passage of m letters it is the m-th root's part); few sentences lean on the pooled spread. scale: of the confidence."""
         n = len(self.langs)
-        means, spreads, margins = np.full(n, np.nan), [], []
+        self.mean = np.full(n, -3.0)
+        squares, count, margins = np.zeros(n), np.zeros(n), []
         for i, x in enumerate(self.langs):
-            scored = [s / m for s, m in held[x] if m >= 8]
-            if not scored:
-                continue
-            own = np.asarray([s[i] for s in scored])
-            means[i] = own.mean()
-            spreads.append(own.var())
-            margins += [(s[i] - np.max(np.delete(s, i))) if n > 1 else 1.0 for s in scored]
-        spread = max(1.0, 4 * float(np.sqrt(np.mean(spreads)))) if spreads else 1.0
-        self.bound = np.where(np.isnan(means), -4.0, means - spread).astype(np.float32)
+            scored = [(s / m, m) for s, m in held[x] if m >= 8]
+            if scored:
+                own, size = np.asarray([s[i] for s, _ in scored]), np.asarray([m for _, m in scored])
+                self.mean[i] = own.mean()
+                squares[i], count[i] = ((own - own.mean()) ** 2 * size).sum(), len(own)
+                margins += [(s[i] - np.max(np.delete(s, i))) if n > 1 else 1.0 for s, _ in scored]
+        pooled = squares.sum() / count.sum() if count.sum() else 6.25
+        self.spread = np.sqrt((squares + prior * pooled) / (count + prior))
         low = np.percentile(margins, 5) if margins else 0.1
         self.scale = float(np.clip(4.6 / max(low, 0.05), 2.0, 40.0))  # 0.99 at the fifth percentile of the held-out margins
 
+    def bound(self, lang: np.ndarray, size: np.ndarray, least: float = 1.0, z: float = 4.0) -> np.ndarray:
+        """The mean log-probability a letter that passages of the given languages and sizes must reach: z deviations below held-out sentences, `least` at least."""
+        return self.mean[lang] - np.maximum(least, z * self.spread[lang] / np.sqrt(np.maximum(size, 1)))
+
     def candidates(self, loglik: np.ndarray, scripts: np.ndarray) -> np.ndarray:
         """loglik, lowered beyond any rival where more than half of the letters stand in scripts that a language isn't written in."""
         letters_ = scripts.sum(1, keepdims=True)
@@ -224,7 +239,7 @@ class KneserNey:
         """(index of the language or -1, its confidence) of passages with the given totals; -1 has the best language's."""
         mean = loglik / np.maximum(size, 1)[:, None]
         best = np.argmax(mean, 1)
-        rejected = (mean[np.arange(len(best)), best] < self.bound[best]) | (size == 0)
+        rejected = (mean[np.arange(len(best)), best] < self.bound(best, size)) | (size == 0)
         return np.where(rejected, -1, best), np.where(size == 0, 0.0, self.probability(mean).max(1))
 
 
@@ -295,7 +310,7 @@ def _sums(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray
 
 @dataclass
 class Passages:
-    """Sentences (or lines) of a batch of texts: text, place, scores, letters, language (-1: none)."""
+    """Sentences (or lines) of a batch of texts: text, place, scores, letters with and without word ends, language (-1: none)."""
 
     doc: np.ndarray
     first_token: np.ndarray
@@ -304,6 +319,7 @@ class Passages:
     size: np.ndarray
     chars: np.ndarray
     lang: np.ndarray
+    letters: np.ndarray
 
 
 def _tokens(line: str) -> list[str]:
@@ -325,10 +341,11 @@ def passages(lines: list[str], line_doc: np.ndarray, words: Words, switch: float
     end = np.append(begin[1:], len(tokens)) if len(begin) else begin
     token_doc = np.repeat(line_doc, count)
     doc = token_doc[begin]
-    loglik = words.model.candidates(_sums(words.score[index], begin, end).astype(np.float32), _sums(words.script[index], begin, end).astype(np.int64))
+    scripts = _sums(words.script[index], begin, end).astype(np.int64)
+    loglik = words.model.candidates(_sums(words.score[index], begin, end).astype(np.float32), scripts)
     size = _sums(words.size[index], begin, end).astype(np.int64)
     chars = _sums(words.length[index] + 1, begin, end).astype(np.int64)
-    found = Passages(doc, begin, end, loglik, size, chars, np.full(len(begin), -1))
+    found = Passages(doc, begin, end, loglik, size, chars, np.full(len(begin), -1), scripts.sum(1))
     found.lang = _smooth(found, words.model, switch)
     return found, index, count
 
@@ -339,7 +356,7 @@ def _smooth(p: Passages, model: KneserNey, switch: float) -> np.ndarray:
     n = len(model.langs)
     if not len(p.doc):
         return p.lang
-    gain = np.concatenate((p.loglik, (p.size * model.bound[np.argmax(p.loglik, 1)])[:, None]), 1)
+    gain = np.concatenate((p.loglik, (p.size * model.bound(np.argmax(p.loglik, 1), p.size))[:, None]), 1)
     docs, first, count = np.unique(p.doc, return_index=True, return_counts=True)
     order = np.argsort(-count, kind="stable")
     first, count = first[order], count[order]

@@ -43,7 +43,7 @@ def p3_statistics(spark: SparkSession, d: str) -> DataFrame:
     s = _quality(spark, d)
     named = [F.col("stats")[i].alias(n) for i, n in enumerate(quality.STATISTICS)]
     parts = [F.col("contributions")[i].alias(f"{n}_contribution") for i, n in enumerate(quality.STATISTICS)]
-    return s.select("doc_id", "lang", *named, "distance", *parts, "outlier", "nonprose_share", "kind")
+    return s.select("doc_id", "lang", *named, "distance", *parts, "outlier_share", "kind")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
