@@ -224,6 +224,11 @@ class KneserNey:
         """The mean log-probability a letter that passages of the given languages and sizes must reach: z deviations below held-out sentences, `least` at least."""
         return self.mean[lang] - np.maximum(least, z * self.spread[lang] / np.sqrt(np.maximum(size, 1)))
 
+    def temper(self, scores: np.ndarray, scripts: np.ndarray, each: float = -4.0) -> np.ndarray:
+        """Word scores, those of words in scripts that a language isn't written in no lower than `each` a letter: a few foreign words don't make a sentence unreadable."""
+        size = scripts.sum(1, keepdims=True)
+        return np.where(2 * (scripts @ (~self.written).T.astype(np.int64)) > size, np.maximum(scores, each * (size + 1)), scores).astype(np.float32)
+
     def candidates(self, loglik: np.ndarray, scripts: np.ndarray) -> np.ndarray:
         """loglik, lowered beyond any rival where more than half of the letters stand in scripts that a language isn't written in."""
         letters_ = scripts.sum(1, keepdims=True)
@@ -287,7 +292,8 @@ class Words:
             parts = [letters(t) for t in new]
             distinct = list(dict.fromkeys(w for p in parts for w in p))
             known = dict(zip(distinct, range(len(distinct)), strict=True))
-            scores, scripts = self.model.score_words(distinct), script_counts(distinct)
+            scripts = script_counts(distinct)
+            scores = self.model.temper(self.model.score_words(distinct), scripts)
             owner = np.repeat(np.arange(len(new)), [len(p) for p in parts])
             flat = np.asarray([known[w] for p in parts for w in p], np.int64)
             add = np.zeros((len(new), scores.shape[1]), np.float32)

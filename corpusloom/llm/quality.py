@@ -32,7 +32,7 @@ FLOOR = (0.8, 0.5, 0.02, 0.03, 0.03, 0.3, 0.08, 0.8, 0.25, 0.25, 0.05, 0.05, 0.0
 #: The statistics whose contributions speak for a table, a list, junk.
 SPEAK = ((10,), (11,), (12, 13))
 
-_ENTRY = re.compile(r"\s*(?:\[\d{1,4}\]|\(?\d{1,3}[).]|\(?[a-z]\)|(?:\d+\.)+\d+\.?|[-–—•*·▪◦‣+])\s+\S")
+_ENTRY = re.compile(r"\s*(?:\[\d{1,4}\]|\(?\d{1,3}[).]|\(?[a-z]\)|(?:\d+\.)+\d+\.?|[-–—•*·▪◦‣+o])\s+\S")
 _LEADER = re.compile(r"(?:\.{4,}|…{2,}|(?:\. ){3,}|·{4,})\s*(?:\d+|[ivxlc]+)\s*$")
 _INDEX = re.compile(r"\D{2,80}?(?:[,;]\s*\d{1,4}(?:[-–]\d{1,4})?)+$")
 _GAP = re.compile(r"\S(?: {2,}|\t)(?=\S)")
@@ -67,7 +67,7 @@ def nonprose_lines(lines: list[str], line_doc: np.ndarray, p: Passages, count: n
     Rows: the same separator in lines that follow each other, three fields or more of at most 3.5 words. Where the fields
     of a run vary in number (key words in wrapped lines), they are entries. Entries: marked ones (numbers, bullets, leaders,
     page numbers at the end), three or more together; or four or more short lines (at most 8 words, 80 signs) without
-    a sentence's end, of which most would have had room for the next word. Junk: what no language explains, hardly any
+    a sentence's end, whose lengths vary or of which most would have had room for the next word. Junk: what no language explains, hardly any
     letters, bare glyph numbers.
     """
     kind = np.zeros(len(lines), np.int8)
@@ -104,7 +104,7 @@ def nonprose_lines(lines: list[str], line_doc: np.ndarray, p: Passages, count: n
     for a, n in zip(first[entry[first] & (length >= 3)].tolist(), length[entry[first] & (length >= 3)].tolist()):
         own = size[solid[a : a + n]]
         room = own[:-1] + 1 + width[a + 1 : a + n] <= own.max()
-        if 2 * marked[a : a + n].sum() >= n or n >= 4 and room.mean() >= 0.5:
+        if 2 * marked[a : a + n].sum() >= n or n >= 4 and (room.mean() >= 0.5 or own[:-1].std() > 0.2 * own[:-1].mean()):
             kind[solid[a : a + n]] = LIST
     # Junk.
     token_line = np.repeat(np.arange(len(lines)), count)
