@@ -40,8 +40,11 @@ def mix(
     null source or with one that has no target are left out; repeated rows count as documents of their own.
     """
     t = targets.groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats")).filter("share > 0 AND repeats > 0")
-    counted = token_counts(docs.withColumnRenamed(source, "_src") if source != "source" else docs.withColumnRenamed("source", "_src"), key, text, model, estimate=False, keep=("_src",))
-    rows = cut(counted.filter("tokens > 0 AND _src IS NOT NULL").select("key", F.col("_src").alias("source"), "tokens", F.xxhash64("key", F.lit(seed), F.monotonically_increasing_id()).alias("h")), "mix")  # the row number keeps a repeated key out of one bucket
+    named = docs.withColumn("_src", F.col(f"`{source}`")).withColumn("_digest", F.xxhash64(F.col(f"`{text}`")))
+    counted = token_counts(named, key, text, model, estimate=False, keep=("_src", "_digest")).filter("tokens > 0 AND _src IS NOT NULL")
+    # Equal rows are numbered: the order depends on the rows alone, and a repeated key is spread over all buckets.
+    once = counted.groupBy("key", "_src", "_digest", "tokens").agg(F.count(F.lit(1)).alias("rows")).select("*", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("twin"))
+    rows = cut(once.select("key", F.col("_src").alias("source"), "tokens", F.xxhash64("key", "_digest", "twin", F.lit(seed)).alias("h")), "mix")
     have = rows.groupBy("source").agg(F.sum("tokens").alias("total"), F.count(F.lit(1)).alias("n")).join(t, "source")
     plan = have.collect()  # one row for each target
     if not plan:
@@ -52,12 +55,12 @@ def mix(
     buckets = max(1, -(-sum(p.n for p in plan) // bucket_rows))
     parts = rows.sparkSession.createDataFrame([(p.source, float(p.share / scale), int(p.total), int(min(p.repeats, -(-budget * p.share / scale // p.total)))) for p in plan], "source string, weight double, total long, copies int")
     placed = rows.join(F.broadcast(parts), "source").withColumn("bucket", F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * buckets))
-    summed = running_sum(placed, ["source"], "bucket", ["h", "key"], "tokens", "cum")
+    summed = running_sum(placed, ["source"], "bucket", ["h", "key", "tokens"], "tokens", "cum")
     copies = summed.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no")).withColumn("finish", (F.col("cum") + (F.col("copy_no") - 1) * F.col("total")) / F.col("weight"))
     # A document whose virtual start lies behind the budget can't be within it.
     near = copies.filter(F.col("finish") - F.col("tokens") / F.col("weight") <= float(budget))
     ranges = max(1, -(-int(sum(p.n * min(p.repeats, budget * p.share / scale / p.total + 1) for p in plan)) // bucket_rows))
-    sorted_ = running_sum(near.withColumn("range", F.floor(F.col("finish") * (ranges / max(1, budget)))), [], "range", ["finish", "source", "h", "key", "copy_no"], "tokens", "running", "position")
+    sorted_ = running_sum(near.withColumn("range", F.floor(F.col("finish") * (ranges / max(1, budget)))), [], "range", ["finish", "source", "h", "key", "tokens", "copy_no"], "tokens", "running", "position")
     return sorted_.filter(F.col("running") <= budget).select("position", "key", "source", "copy_no", "tokens", "finish")
 
 

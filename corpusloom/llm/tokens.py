@@ -100,17 +100,21 @@ class DoubleArray:
                 stack.append(to)
         return cls(codes, base, check, cost, byte_cost, max(map(len, names), default=1))
 
-    PART = 2048
+    LONG = 2048
 
     def count(self, segments: list[str]) -> np.ndarray:
         """Number of pieces on the cheapest path of each segment; equal costs take the fewer pieces. Characters no piece has count their bytes.
 
-        A segment longer than PART is walked in parts of that length, side by side: at most one piece a part more or less.
+        Segments up to LONG characters go side by side, those beyond it one by one; the numbers are the same.
         """
-        if any(len(s) > self.PART for s in segments):
-            parts = [[s[i : i + self.PART] for i in range(0, max(1, len(s)), self.PART)] for s in segments]
-            each = self.count([p for ps in parts for p in ps])
-            return np.add.reduceat(each, np.cumsum([0, *map(len, parts[:-1])]))
+        if any(len(s) > self.LONG for s in segments):
+            whole = np.zeros(len(segments), np.int64)
+            short = [i for i, s in enumerate(segments) if len(s) <= self.LONG]
+            whole[short] = self.count([segments[i] for i in short])
+            for i, s in enumerate(segments):
+                if len(s) > self.LONG:
+                    whole[i] = self._walk(s)
+            return whole
         out = np.zeros(len(segments), np.int64)
         lengths = np.asarray([len(s) for s in segments], np.int64)
         order = np.argsort(lengths, kind="stable")
@@ -160,6 +164,36 @@ class DoubleArray:
                 self._relax(best, number, j + 1, r, best[i, r] + self.cost[node[end]], number[i, r] + 1)
         return number[length, np.arange(n)]
 
+    def _walk(self, segment: str) -> int:
+        """The same for one segment of any length, position by position."""
+        if not hasattr(self, "_lists"):
+            self._lists = (self.base.tolist(), self.check.tolist(), self.cost.tolist())
+        base, check, cost = self._lists
+        codes = [self.codes.get(c, 0) for c in segment]
+        n, limit, inf = len(codes), len(base) - 1, float("inf")
+        best, number = [inf] * (n + 1), [0] * (n + 1)
+        best[0] = 0.0
+        for i in range(n):
+            here, count, node = best[i], number[i], 0
+            for j in range(i, min(n, i + self.longest)):
+                code = codes[j]
+                to = min(base[node] + code, limit)
+                ok = code > 0 and check[to] == node
+                c = cost[to] if ok else inf
+                if j == i and c == inf:  # a character that is no piece by itself
+                    heavy = len(segment[j].encode("utf-8", "surrogatepass")) if code == 0 else 1
+                    x, m = here + self.byte_cost * heavy, count + heavy
+                    if x < best[j + 1] or x == best[j + 1] and m < number[j + 1]:
+                        best[j + 1], number[j + 1] = x, m
+                if not ok:
+                    break
+                if c < inf:
+                    x = here + c
+                    if x < best[j + 1] or x == best[j + 1] and count + 1 < number[j + 1]:
+                        best[j + 1], number[j + 1] = x, count + 1
+                node = to
+        return number[n]
+
     @staticmethod
     def _relax(best: np.ndarray, number: np.ndarray, j: int, rows: np.ndarray, cost: np.ndarray, count: np.ndarray) -> None:
         better = (cost < best[j, rows]) | ((cost == best[j, rows]) & (count < number[j, rows]))

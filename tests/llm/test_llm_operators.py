@@ -177,7 +177,11 @@ def test_viterbi_is_brute_force():
     words = ["".join(p) for n in range(1, 6) for p in itertools.product("abc▁é", repeat=n)]
     assert trie.count(words).tolist() == [brute(w) for w in words]
     long = "ab" * 50_000
-    assert trie.count(["", long, "ab"]).tolist()[::2] == [0, 1] and abs(trie.count([long])[0] - 50_000) <= len(long) // trie.PART + 1
+    assert trie.count(["", long, "ab"]).tolist() == [0, 50_000, 1]
+    rng = random.Random(4)
+    many = ["".join(rng.choice("abc▁éb") for _ in range(n)) for n in (2047, 2048, 2049, 2500, 4096, 4097)]
+    side_by_side = trie._count(many)
+    assert trie.count(many).tolist() == side_by_side.tolist() == [trie._walk(s) for s in many]
 
 
 def test_exact_counts_are_the_librarys(spark):
@@ -212,6 +216,34 @@ def test_packing_keeps_every_capacity():
     assert len(load) <= 1.05 * -(-sizes.sum() // 100)
 
 
+def test_each_capacity_binds_somewhere():
+    weights = (1.0, 0.05, 0.2)
+    small = np.full(200, 3)
+    docs = np.bincount(packing.vector_best_fit(small, 100, 8, 95.0**2, weights))
+    assert docs.tolist() == [8] * 25  # 24 tokens of 100: the number of documents binds
+    large = np.repeat([70, 20], 30)
+    at = packing.vector_best_fit(large, 100, 9, 5000.0, weights)
+    load, cost = np.bincount(at, large), np.bincount(at, large**2)
+    assert cost.max() <= 5000 and sorted(load.tolist()) == [70] * 30 + [100] * 6  # 70 and 20 make 5300: attention binds
+    even = np.repeat([60, 40], 30)
+    assert np.bincount(packing.vector_best_fit(even, 100, 9, 95.0**2, weights), even).tolist() == [100] * 30  # tokens bind
+    alone = packing.vector_best_fit(np.asarray([98, 2, 1]), 100, 9, 95.0**2, weights)
+    assert alone[0] not in alone[1:]  # above the attention capacity by itself: a container of its own, not split
+
+
+def test_partitions_do_not_matter(spark):
+    rng = random.Random(8)
+    rows = [(i if i % 3 else 7, " ".join(rng.choices(WORDS, k=rng.randint(1, 60))), rng.choice(["a", "b"])) for i in range(300)]
+    rows += rows[:20]
+    targets = spark.createDataFrame([("a", 0.7, 2), ("b", 0.3, 2)], "source string, target_share double, max_repeats int")
+    packed, mixed = [], []
+    for n in (1, 4, 16):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(n)
+        packed.append(sorted(map(tuple, packing.pack(df, capacity=64, group_containers=20).collect())))
+        mixed.append(sorted(map(tuple, mixing.mix(df, targets, bucket_rows=50).collect())))
+    assert packed[0] == packed[1] == packed[2] and mixed[0] == mixed[1] == mixed[2]
+
+
 def test_pack_splits_only_what_is_too_long(spark):
     df = clashing(spark, ["word " * 300, "a b", None, "", "word " * 40])
     out = packing.pack(df, capacity=100).collect()
