@@ -5,11 +5,16 @@ sizes; a dual traversal of a tree with itself drops a pair of nodes as soon as t
 too small for their sizes, and the records left in the leaves are compared. One tree over everything would have to look
 at every pair of leaves once, so there is a forest: a tree for each rare token that two records of a similar pair must
 share (in the global order from rare to frequent tokens, both have one among their first ones). An exact intersection
-of the tokens follows. Nothing is approximate: no pair above the threshold is lost.
+of the tokens follows. No pair above the threshold is lost. A run is known by a hash of 37 bits or more (32 and the hash
+range), so two different runs of a pair count as one about once in 10^6 pairs; verify=True compares the pairs' texts.
 
 What moves: the hashed runs of all records once, packed by hash range (frequencies need them all); back from there only
 runs that occur in two records or more; then bitmaps of the records for which enough of those are left. Records with
 the same set of runs are one class from then on; their pairs come from the class, not from comparisons.
+
+Scale: runs go to their hash ranges, and back, in rounds of at most RADIX ranges each, so that the number of blocks
+grows with the data, not with its square. A run that fills a chunk (boilerplate of many records) is counted once a chunk
+and its postings stay at home; trees of such runs are split by the records' sizes.
 """
 
 from __future__ import annotations
@@ -61,12 +66,58 @@ def _join(data: bytes) -> np.ndarray:
     return np.cumsum(halves[:n] | (halves[n:] << np.uint32(16)), dtype=np.uint32)
 
 
-_BLOCK = "bucket int, chunk long, hashes binary, docs binary, extra binary"
-_BLOCK_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("docs", pa.binary()), ("extra", pa.binary())])
+_BLOCK = "kind int, bucket long, grp long, hashes binary, places binary, rest binary, counts binary"
+_BLOCK_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("grp", pa.int64()), *((c, pa.binary()) for c in ("hashes", "places", "rest", "counts"))])
+#: Blocks: POSTINGS of a hash range in a group of chunks; KNOWN ones, whose frequency no other chunk need tell; a chunk's META data.
+POSTINGS, KNOWN, META = range(3)
+MANY = 255
+RADIX = 256
+_ALONE = np.uint32(0xFFFF)  # in place of a document: postings that stayed with their chunk
+
+
+def radices(buckets: int, radix: int = RADIX) -> list[int]:
+    """How many ranges each round splits a range into; their product is `buckets` or a little more, three rounds at most."""
+    rounds = 1
+    while radix**rounds < buckets and rounds < 3:
+        rounds += 1
+    each = int(np.ceil(buckets ** (1 / rounds) - 1e-9))
+    return [max(1, each)] * rounds
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([dict(zip(_BLOCK_ARROW.names, r, strict=True)) for r in rows], _BLOCK_ARROW)
+
 
+def _values(values: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, from, to) of the runs of sorted values."""
+    if not len(values):
+        return []
+    first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    return list(zip(values[first].tolist(), first.tolist(), [*first[1:].tolist(), len(values)], strict=True))
 
-def _blocks(buckets: int, length: int, chunk_chars: int):
-    """Map: texts to blocks of hashed runs by hash range. A block of bucket -1 - b carries a chunk's keys, sizes and set digests past bucket b."""
+
+def _pack_places(places: np.ndarray) -> bytes:
+    """Places (chunk modulo 2^16, document in it) as halves; the chunk's are all alike in a block of one chunk."""
+    return (places & np.uint32(0xFFFF)).astype("<u2").tobytes() + (places >> np.uint32(16)).astype("<u2").tobytes()
+
+
+def _unpack_places(data: bytes) -> np.ndarray:
+    halves = np.frombuffer(data, "<u2").astype(np.uint32)
+    n = len(halves) // 2
+    return halves[:n] | (halves[n:] << np.uint32(16))
+
+
+def _rest(data: bytes, n: int) -> np.ndarray:
+    return _join(data).astype(np.int64) if data else np.zeros(n, np.int64)
+
+
+def _blocks(split: list[int], length: int, chunk_runs: int, parts: int):
+    """Map: texts to blocks of hashed runs by the first digit of their hash range, and a chunk's keys, sizes and set digests.
+
+    A run that MANY records of a chunk or more have goes out once, for all of them; those postings are KNOWN.
+    """
+    buckets = int(np.prod(split))
+    span = buckets // split[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -77,25 +128,40 @@ def _blocks(buckets: int, length: int, chunk_chars: int):
 
         def emit() -> pa.RecordBatch:
             nonlocal number
-            chunk = (part << 24) + number
+            chunk = part + number * parts
             number += 1
             size = np.asarray([len(s) for s in sets], np.int64)
             every = np.concatenate(sets)
-            doc = np.repeat(np.arange(len(sets)), size).astype(np.uint16)
+            place = np.repeat(np.arange(len(sets)), size).astype(np.uint32) | np.uint32((chunk & 0xFFFF) << 16)
             digest = [np.bitwise_xor.reduce(s * _MIX[0]) ^ np.uint64(len(s)) for s in sets]
             digest2 = [np.add.reduce((s ^ (s >> np.uint64(33))) * _MIX[2]) for s in sets]
-            bucket = ((every >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-            low = every.astype(np.uint32)
-            # What the bucket leaves of the upper half goes into the token's identity by mixing it into the lower half.
-            low ^= ((every >> np.uint64(32)) // np.uint64(buckets)).astype(np.uint32) * np.uint32(0x9E3779B1)
+            upper = every >> np.uint64(32)
+            bucket = (upper % np.uint64(buckets)).astype(np.int64)
+            # What the range leaves of the upper half goes into the run's identity by mixing it into the lower half.
+            low = every.astype(np.uint32) ^ (upper // np.uint64(buckets)).astype(np.uint32) * np.uint32(0x9E3779B1)
             order = np.lexsort((low, bucket))
-            bucket, low, doc = bucket[order], low[order], doc[order]
-            edge = np.searchsorted(bucket, np.arange(buckets + 1))
-            rows: list[tuple] = [(-1 - chunk % buckets, chunk, np.asarray(keys, "<i8").tobytes(), size.astype("<i4").tobytes(), np.stack([digest, digest2], 1).astype("<u8").tobytes())]
-            rows += [(b, chunk, _split(low[i:j]), doc[i:j].astype("<u2").tobytes(), b"") for b, (i, j) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)) if j > i]
+            bucket, low, place = bucket[order], low[order], place[order]
+            rows: list[tuple] = [(META, 0, chunk, np.asarray(keys, "<i8").tobytes(), size.astype("<i4").tobytes(), np.stack([digest, digest2], 1).astype("<u8").tobytes(), b"")]
+
+            def add(kind: int, which: slice | np.ndarray) -> None:
+                b, h, d = bucket[which], low[which], place[which]
+                for v, i, j in _values(b // span):
+                    rows.append((kind, v, chunk, _split(h[i:j]), _pack_places(d[i:j]), _split((b[i:j] - v * span).astype(np.uint32)) if span > 1 else b"", b""))
+
+            first = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1])))
+            count = np.diff(np.append(first, len(low)))
+            if (count >= MANY).any():
+                home = np.repeat(count >= MANY, count)
+                add(KNOWN, home)
+                told = first[count >= MANY]
+                place[told] |= _ALONE
+                home[told] = False
+                add(POSTINGS, ~home)
+            else:
+                add(POSTINGS, slice(None))
             keys.clear()
             sets.clear()
-            return pa.RecordBatch.from_pylist([dict(zip(_BLOCK_ARROW.names, r, strict=True)) for r in rows], _BLOCK_ARROW)
+            return _batch(rows)
 
         held = 0
         for batch in pieces(batches, "text"):
@@ -106,7 +172,7 @@ def _blocks(buckets: int, length: int, chunk_chars: int):
                 keys.append(key)
                 sets.append(runs)
                 held += len(runs)
-                if held >= chunk_chars or len(sets) >= 65_000:
+                if held >= chunk_runs or len(sets) >= 65_000:
                     yield emit()
                     held = 0
             if len(hashes) > 1_000_000:
@@ -117,62 +183,126 @@ def _blocks(buckets: int, length: int, chunk_chars: int):
     return run
 
 
+def _by_key(batches: Iterator[pa.RecordBatch], digits: int = 1, group: int = 0) -> Iterator[tuple[tuple[int, int] | None, list[dict]]]:
+    """The postings of each (bucket // digits, grp >> group) of blocks sorted by it; other blocks come alone, with None."""
+    at, held = None, []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["kind"] != POSTINGS:
+                yield None, [r]
+                continue
+            key = (r["bucket"] // digits, r["grp"] >> group)
+            if key != at and held:
+                yield at, held
+                held = []
+            at = key
+            held.append(r)
+    if held:
+        yield at, held
+
+
+def _down(digits: int, span: int):
+    """Reduce: the blocks of a range in a group of chunks, merged and cut into the range's `digits` parts of `span` buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, blocks in _by_key(batches, group=8):
+            if key is None:
+                yield _batch([tuple(r.values()) for r in blocks])
+                continue
+            low = [_join(r["hashes"]) for r in blocks]
+            rest = np.concatenate([_rest(r["rest"], len(h)) for r, h in zip(blocks, low, strict=True)])
+            low, place = np.concatenate(low), np.concatenate([_unpack_places(r["places"]) for r in blocks])
+            order = np.lexsort((low, rest))
+            low, place, rest = low[order], place[order], rest[order]
+            yield _batch([(POSTINGS, key[0] * digits + v, key[1], _split(low[i:j]), _pack_places(place[i:j]), _split((rest[i:j] - v * span).astype(np.uint32)) if span > 1 else b"", b"") for v, i, j in _values(rest // span)])
+
+    return run
+
+
+def _up(digits: int, span: int, level: int):
+    """Reduce: the other way: the parts of a range in a group of chunks, merged and cut by the smaller groups of the level below."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, blocks in _by_key(batches, digits):
+            if key is None:
+                yield _batch([tuple(r.values()) for r in blocks])
+                continue
+            low = [_join(r["hashes"]) for r in blocks]
+            rest = np.concatenate([_rest(r["rest"], len(h)) + (r["bucket"] % digits) * span for r, h in zip(blocks, low, strict=True)])
+            place = np.concatenate([_unpack_places(r["places"]) for r in blocks])
+            count = np.concatenate([np.frombuffer(r["counts"], np.uint8) for r in blocks])
+            low = np.concatenate(low)
+            chunk = ((key[1] << (8 * level)) & ~0xFFFF) | (place >> np.uint32(16)).astype(np.int64)
+            group = chunk >> (8 * (level - 1))
+            order = np.lexsort((low, rest, group))
+            low, place, rest, count, group = low[order], place[order], rest[order], count[order], group[order]
+            yield _batch([(POSTINGS, key[0], v, _split(low[i:j]), _pack_places(place[i:j]), _split(rest[i:j].astype(np.uint32)), count[i:j].tobytes()) for v, i, j in _values(group)])
+
+    return run
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reduce: all blocks of some hash ranges to blocks of the runs in two records or more, with their frequency up to 255."""
+    """Reduce: all blocks of some hash ranges to blocks of the runs in two records or more, with their frequency up to MANY."""
     by: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
-    out = []
     for batch in batches:
+        out = []
         for r in batch.to_pylist():
-            if r["bucket"] < 0:
-                out.append(r)
+            if r["kind"] != POSTINGS:
+                out.append(tuple(r.values()))
             else:
-                by.setdefault(r["bucket"], []).append((r["chunk"], _join(r["hashes"]), np.frombuffer(r["docs"], "<u2")))
-    if out:
-        yield pa.RecordBatch.from_pylist(out, _BLOCK_ARROW)
+                by.setdefault(r["bucket"], []).append((r["grp"], _join(r["hashes"]), _unpack_places(r["places"])))
+        if out:
+            yield _batch(out)
     for bucket, blocks in by.items():
-        every = np.sort(np.concatenate([h for _, h, _ in blocks]))
+        every = np.concatenate([h for _, h, _ in blocks])
+        order = np.argsort(every, kind="stable")
+        weight = np.where((np.concatenate([d for _, _, d in blocks]) & _ALONE) == _ALONE, MANY, 1)[order]
+        every = every[order]
         first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
-        count = np.diff(np.append(first, len(every)))
-        shared, count = every[first][count > 1], np.minimum(count[count > 1], 255).astype(np.uint8)
+        count = np.add.reduceat(weight, first)
+        shared, count = every[first][count > 1], np.minimum(count[count > 1], MANY).astype(np.uint8)
         out = []
-        for chunk, h, doc in blocks:
+        for grp, h, place in blocks:
             at = np.minimum(np.searchsorted(shared, h), max(0, len(shared) - 1))
-            ok = shared[at] == h if len(shared) else np.zeros(len(h), bool)
+            ok = (shared[at] == h if len(shared) else np.zeros(len(h), bool)) & ((place & _ALONE) != _ALONE)
             if ok.any():
-                out.append({"bucket": bucket, "chunk": chunk, "hashes": _split(h[ok]), "docs": doc[ok].tobytes(), "extra": count[at[ok]].tobytes()})
+                out.append((POSTINGS, bucket, grp, _split(h[ok]), _pack_places(place[ok]), b"", count[at[ok]].tobytes()))
         if out:
-            yield pa.RecordBatch.from_pylist(out, _BLOCK_ARROW)
+            yield _batch(out)
 
 
-def _records(threshold: float):
-    """Reduce: a chunk's blocks to its records that could have a partner: (key, set digest, size, tokens, the leading ones of which any partner shares one)."""
-    schema = pa.schema([("key", pa.int64()), ("set_key", pa.binary()), ("size", pa.int32()), ("tokens", pa.binary()), ("leading", pa.binary())])
+def _records(threshold: float, span: int):
+    """Reduce: a chunk's blocks to its records that could have a partner: (key, set digest, size, tokens, the leading ones of
+    which any partner shares one, how many of these, the last ones, are in MANY records or more)."""
+    schema = pa.schema([("key", pa.int64()), ("set_key", pa.binary()), ("size", pa.int32()), ("tokens", pa.binary()), ("leading", pa.binary()), ("hot", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meta: dict[int, tuple] = {}
         parts: dict[int, list[tuple]] = {}
         for batch in batches:
             for r in batch.to_pylist():
-                if r["bucket"] < 0:
-                    meta[r["chunk"]] = (np.frombuffer(r["hashes"], "<i8"), np.frombuffer(r["docs"], "<i4"), r["extra"])
+                if r["kind"] == META:
+                    meta[r["grp"]] = (np.frombuffer(r["hashes"], "<i8"), np.frombuffer(r["places"], "<i4"), r["rest"])
                 else:
-                    parts.setdefault(r["chunk"], []).append((r["bucket"], _join(r["hashes"]), np.frombuffer(r["docs"], "<u2"), np.frombuffer(r["extra"], np.uint8)))
+                    h = _join(r["hashes"])
+                    count = np.frombuffer(r["counts"], np.uint8) if r["kind"] == POSTINGS else np.full(len(h), MANY, np.uint8)
+                    parts.setdefault(r["grp"], []).append(((np.uint64(1) * (r["bucket"] * span + _rest(r["rest"], len(h))).astype(np.uint64) << np.uint64(32)) | h.astype(np.uint64), _unpack_places(r["places"]) & _ALONE, count))
         for chunk, blocks in parts.items():
             keys, sizes, digests = meta[chunk]
-            doc = np.concatenate([d for _, _, d, _ in blocks]).astype(np.int64)
-            token = np.concatenate([(np.uint64(b) << np.uint64(32)) | h.astype(np.uint64) for b, h, _, _ in blocks])
-            count = np.concatenate([c for _, _, _, c in blocks])
+            token, doc, count = (np.concatenate(x) for x in zip(*blocks, strict=True))
+            doc = doc.astype(np.int64)
             shared = np.bincount(doc, minlength=len(keys))
             need = np.ceil(threshold * sizes - 1e-9).astype(np.int64)
             alive = shared >= np.maximum(need, 1)
             keep = alive[doc]
             order = np.lexsort((token[keep], count[keep], doc[keep]))
-            doc, token = doc[keep][order], token[keep][order]
+            doc, token, count = doc[keep][order], token[keep][order], count[keep][order]
             edge = np.searchsorted(doc, np.arange(len(keys) + 1))
             rows = []
             for i in np.flatnonzero(alive).tolist():
                 own = token[edge[i] : edge[i + 1]]  # rare ones first
-                rows.append({"key": int(keys[i]), "set_key": digests[16 * i : 16 * i + 16], "size": int(sizes[i]), "tokens": pack_tokens(own), "leading": own[: int(shared[i] - need[i] + 1)].astype("<u8").tobytes()})
+                lead = int(shared[i] - need[i] + 1)
+                rows.append({"key": int(keys[i]), "set_key": digests[16 * i : 16 * i + 16], "size": int(sizes[i]), "tokens": pack_tokens(own), "leading": own[:lead].astype("<u8").tobytes(), "hot": int((count[edge[i] : edge[i] + lead] >= MANY).sum())})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -199,8 +329,13 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
     return out
 
 
-def _routes(trees: int):
-    """Map: each record once for each shard of the forest that holds one of its leading tokens."""
+def _routes(trees: int, threshold: float):
+    """Map: each record once for each shard of the forest that holds one of its leading tokens.
+
+    Trees of tokens in MANY records or more are one for each band of sizes; a record goes into its own band's and the next
+    one's, as the sizes of a similar pair lie in one band or in two that touch.
+    """
+    width = max(float(np.log(1 / threshold)), 0.05)
     schema = pa.schema([("shard", pa.int32()), ("set_key", pa.binary()), ("size", pa.int32()), ("shared", pa.int32()), ("bits", pa.binary()), ("leading", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,6 +349,10 @@ def _routes(trees: int):
                 tokens = unpack_tokens(r["tokens"])
                 bits = bitmap(tokens).tobytes()
                 lead = np.frombuffer(r["leading"], "<u8")
+                if r["hot"]:
+                    own = np.int64(np.log(r["size"]) / width + 1e-9)
+                    often = lead[len(lead) - r["hot"] :] * _MIX[4]
+                    lead = np.concatenate((lead[: len(lead) - r["hot"]], *(often ^ (np.uint64(band + 1) * _MIX[5]) for band in (own, own + 1))))
                 shard = ((lead * _MIX[3]) >> np.uint64(32)) % np.uint64(trees)
                 for s in np.unique(shard):
                     rows.append({"shard": int(s), "set_key": r["set_key"], "size": r["size"], "shared": len(tokens), "bits": bits, "leading": lead[shard == s].tobytes()})
@@ -353,23 +492,37 @@ def _exact(threshold: float):
     return run
 
 
-def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.6, length: int = 5) -> tuple[DataFrame, DataFrame]:
+def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.6, length: int = 5, radix: int = RADIX, chunk_runs: int = 4_000_000, range_runs: int = 3_500_000) -> tuple[DataFrame, DataFrame]:
     """(members: key, set_key; pairs: a, b, similarity) over the sets of word runs; keys are whole numbers.
 
     members has each row whose set some other record may share in part; rows of one set have one set_key. pairs has the
     sets of at least the threshold, a < b. Null keys, null texts and texts of fewer than `length` words have no row.
+    Keys of another type raise: number them first and join the numbers back.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0 and at most 1")
+    if df.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"keys of near duplicates are whole numbers, `{key}` is {df.schema[key].dataType.simpleString()}")
     base = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text")).filter("text IS NOT NULL AND key IS NOT NULL")
-    rows = base.select("key").count()
-    buckets = max(48, rows // 10_000)
-    blocks = base.mapInArrow(_blocks(buckets, length, 4_000_000), _BLOCK)
-    shared = blocks.repartition(buckets, F.pmod("bucket", F.lit(buckets))).mapInArrow(_frequencies, _BLOCK)
-    chunks = max(24, rows // 10_000)
-    alive = cut(shared.repartition(chunks, "chunk").mapInArrow(_records(threshold), "key long, set_key binary, size int, tokens binary, leading binary"), "records")
+    # About a run for each six characters: everything is sized by runs, so that long texts count for more.
+    rows, chars = base.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()
+    split = radices(max(48, chars // 6 // range_runs), radix)
+    buckets = int(np.prod(split))
+    spans = [int(np.prod(split[k + 1 :])) for k in range(len(split))]
+    parts = base.rdd.getNumPartitions()
+    blocks = base.mapInArrow(_blocks(split, length, chunk_runs, parts), _BLOCK)
+    home = F.when(F.col("kind") == POSTINGS, F.col("bucket"))
+    for k in range(1, len(split)):
+        there = [F.coalesce(home, F.lit(-1)), F.shiftright(F.col("grp"), 8)]
+        blocks = blocks.repartition(buckets, *there).sortWithinPartitions(*there).mapInArrow(_down(split[k], spans[k]), _BLOCK)
+    shared = blocks.repartition(buckets, F.pmod(F.coalesce(home, F.col("grp")), F.lit(buckets))).mapInArrow(_frequencies, _BLOCK)
+    for k in range(len(split) - 1, 0, -1):
+        back = [F.coalesce(F.expr(f"CASE WHEN kind = {POSTINGS} THEN bucket DIV {split[k]} END"), F.lit(-1)), F.col("grp")]
+        shared = shared.repartition(buckets, *back).sortWithinPartitions(*back).mapInArrow(_up(split[k], spans[k], k), _BLOCK)
+    chunks = max(24, chars // 6 // range_runs)
+    alive = cut(shared.repartition(chunks, "grp").mapInArrow(_records(threshold, spans[0]), "key long, set_key binary, size int, tokens binary, leading binary, hot int"), "records")
     shards = max(8, rows // 25_000)
-    routed = alive.mapInArrow(_routes(shards), "shard int, set_key binary, size int, shared int, bits binary, leading binary")
+    routed = alive.mapInArrow(_routes(shards, threshold), "shard int, set_key binary, size int, shared int, bits binary, leading binary")
     once = routed.groupBy("shard", "set_key").agg(*[F.first(c).alias(c) for c in ("size", "shared", "bits", "leading")])
     candidates = cut(once.repartition(shards, "shard").select("set_key", "size", "shared", "bits", "leading").mapInArrow(_candidates(threshold), "a binary, b binary").distinct(), "candidates")
     ends = candidates.select(F.col("a").alias("set_key")).union(candidates.select("b")).distinct()
@@ -380,16 +533,33 @@ def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
     return alive.select("key", "set_key"), pairs
 
 
-def near_duplicate_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.6, length: int = 5) -> DataFrame:
-    """(a, b, similarity), a < b: all pairs of rows at least as similar as the threshold, copies included."""
-    members, pairs = similar_sets(df, key, text, threshold, length)
+def near_duplicate_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.6, length: int = 5, verify: bool = False, **sizes: int) -> DataFrame:
+    """(a, b, similarity), a < b: all pairs of rows at least as similar as the threshold, copies included.
+
+    verify: compare the pairs' texts once more, run by run, so that no two runs count as one by their hashes.
+    """
+    members, pairs = similar_sets(df, key, text, threshold, length, **sizes)
     a, b = members.toDF("a", "sa"), members.toDF("b", "sb")
     sets = cut(pairs, "pairs")
     across = sets.withColumnsRenamed({"a": "sa", "b": "sb"}).join(a, "sa").join(b, "sb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
     several = members.groupBy("set_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("set_key")
     m = members.join(several, "set_key", "left_semi")
     within = m.select("set_key", F.col("key").alias("a")).join(m.select("set_key", F.col("key").alias("b")), "set_key").filter("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
-    return across.filter("a < b").unionByName(within).distinct()
+    found = across.filter("a < b").unionByName(within).distinct()
+    if not verify:
+        return found
+    texts = df.select(F.col(f"`{key}`").cast("long").alias("a"), F.col(f"`{text}`").alias("text_a")).filter("text_a IS NOT NULL")
+    both = found.join(texts, "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = []
+            for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
+                p, q = ({tuple(w[i : i + length]) for i in range(len(w) - length + 1)} for w in (x.lower().split(), y.lower().split()))
+                values.append(len(p & q) / max(1, len(p | q)))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(values, pa.float64())], ["a", "b", "similarity"])
+
+    return both.mapInArrow(compare, "a long, b long, similarity double").filter(F.col("similarity") >= threshold - 1e-12).distinct()
 
 
 def near_duplicate_groups(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.6, length: int = 5) -> DataFrame:

@@ -69,7 +69,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_groups(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.near_duplicate_groups(table(spark, d, "documents"), threshold=0.8).withColumnRenamed("key", "doc_id")
+    return neardup.near_duplicate_groups(table(spark, d, "documents")).withColumnRenamed("key", "doc_id")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
