@@ -4,8 +4,10 @@ Method: each value is mapped onto look-alike representatives with built-in strin
 grouped in SQL under the accent-sensitive, case-sensitive ``UNICODE`` collation (it equates composed and decomposed
 accents and ignores invisible characters), every class gets a deterministic canonical member, and that is joined back.
 
-Only classes and members move: texts are hashed after mapping, equal mapped values are pre-aggregated before the
-shuffle, and the joins run on 16-byte digests. A class that holds a third of all rows is one row per distinct form.
+What moves: 16-byte digests of every row, and the mapped values of those rows alone whose skeleton (accents and other
+combining parts taken off, which no collation class can differ in) stands for several mapped values. Equal mapped values
+are pre-aggregated before each shuffle. Pairs meet as distinct (class, string) pairs first, so a class that holds a
+third of all rows costs as much as it has different strings, not as it has rows.
 """
 
 from __future__ import annotations
@@ -51,7 +53,12 @@ def mapping() -> tuple[dict[str, str], dict[str, str]]:
         if not kind or ch in one or kind.startswith(("<super>", "<sub>", "<fraction>", "<circle>", "<square>", "<vertical>", "<initial>", "<medial>", "<final>", "<isolated>")):
             continue
         if not kind.startswith("<") and len(kind.split()) > 1:
-            continue  # composed letters: the collation equates them with their decompositions
+            # Composed letters: the collation equates them with their decompositions, but for letters that look like another one without their marks.
+            base, *marks = unicodedata.normalize("NFD", ch)
+            to = unicodedata.normalize("NFC", "".join([one.get(base, base), *marks]))
+            if base in HOMOGLYPHS and len(to) == 1:
+                one[ch] = to
+            continue
         to = unicodedata.normalize("NFKC", ch)
         to = "".join(one.get(x, x) for x in to)
         if to == ch or to.startswith(" ") or not to:
@@ -76,6 +83,27 @@ def _translation() -> tuple[str, str]:
     return "".join([*one, *blank, *unseen]), "".join(one.values()) + " " * len(blank)
 
 
+@cache
+def _bare() -> tuple[str, str]:
+    """Arguments of translate(): composed signs onto their first part, then combining marks and all of Hangul, whose syllables decompose, onto nothing."""
+    one, none = {}, []
+    for c in map(chr, range(0xA0, 0x110000)):
+        if 0xD800 <= ord(c) <= 0xDFFF:
+            continue
+        if unicodedata.category(c)[0] == "M" or "\u1100" <= c <= "\u11ff" or "\ua960" <= c <= "\ua97f" or "\uac00" <= c <= "\ud7ff":
+            none.append(c)
+        elif unicodedata.decomposition(c)[:1] not in ("", "<"):
+            one[c] = unicodedata.normalize("NFD", c)[0]
+    none += [c for c, to in one.items() if unicodedata.category(to)[0] == "M"]
+    one = {c: to for c, to in one.items() if unicodedata.category(to)[0] != "M"}
+    return "".join([*one, *none]), "".join(one.values())
+
+
+def skeleton(seen: Column) -> Column:
+    """Digest of a mapped form that all forms equal to it under UNICODE share."""
+    return F.unhex(F.md5(F.translate(seen, *_bare())))
+
+
 def look(text: Column) -> Column:
     """The mapped form of text: equal under the collation UNICODE where two texts look the same. Null stays null.
 
@@ -91,10 +119,10 @@ def look(text: Column) -> Column:
 
 
 def forms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, form, look, seen): digest of the string itself, digest of its mapped form, and that form. Null and blank texts have no row."""
+    """(key, form, look, skel, size, seen): digests of the string itself, of its mapped form and of that form's skeleton, the string's length, the mapped form. Null and blank texts have no row."""
     shown = df.filter(F.col(f"`{text}`").rlike(VISIBLE))
-    seen = shown.select(F.col(f"`{key}`").alias("key"), F.md5(f"`{text}`").alias("form"), look(F.col(f"`{text}`")).alias("seen"))
-    return seen.select("key", "form", F.md5("seen").alias("look"), "seen")
+    seen = shown.select(F.col(f"`{key}`").alias("key"), F.unhex(F.md5(f"`{text}`")).alias("form"), look(F.col(f"`{text}`")).alias("seen"), F.length(F.col(f"`{text}`")).alias("size"))
+    return seen.select("key", "form", F.unhex(F.md5("seen")).alias("look"), skeleton(F.col("seen")).alias("skel"), "size", "seen")
 
 
 def look_classes(rows: DataFrame) -> DataFrame:
@@ -103,7 +131,10 @@ def look_classes(rows: DataFrame) -> DataFrame:
     Classes are groups equal under UNICODE. Members are joined back by the collated form, never collected, so a class may
     have any number of them; forms alone in their class have no row.
     """
-    distinct = rows.groupBy("look").agg(F.first("seen").alias("seen"))
+    looks = rows.select("skel", "look").distinct()
+    several = looks.groupBy("skel").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("skel")
+    near = looks.join(several, "skel", "left_semi").select("look")
+    distinct = rows.select("look", "seen").join(near, "look", "left_semi").groupBy("look").agg(F.first("seen").alias("seen"))
     return distinct.sparkSession.sql(
         """
         SELECT d.look, c.class_id FROM {distinct} d JOIN (
@@ -121,19 +152,35 @@ def lookalike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     rows = cut(forms(df, key, text), "forms")
     merged = look_classes(rows)
-    return rows.drop("seen").join(merged, "look", "left").select("key", "form", F.coalesce("class_id", "look").alias("class_id"))
+    return rows.select("key", "form", "look").join(merged, "look", "left").select("key", "form", F.coalesce("class_id", "look").alias("class_id"))
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """(class_id, form, n, forms, class_rows): the distinct strings of the classes that have several, with the rows of each and of all."""
+    strings = rows.groupBy("class_id", "form").agg(F.count(F.lit(1)).alias("n"))
+    classes = strings.groupBy("class_id").agg(F.count(F.lit(1)).alias("forms"), F.sum("n").alias("class_rows")).filter("forms > 1")
+    return strings.join(classes, "class_id")
 
 
 def lookalike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """(a, b), a < b: keys of rows that look the same but are not the same string.
 
-    Only classes of several forms take part; partners meet on (class, form) pairs, never inside one form.
+    Distinct strings of a class meet first; then each side's rows join their string. Rows of one string never meet.
     """
     rows = cut(lookalike_classes(df, key, text), "classes")
-    several = rows.groupBy("class_id").agg(F.min("form").alias("lo"), F.max("form").alias("hi")).filter("lo < hi").select("class_id")
-    rows = rows.join(several, "class_id", "left_semi")
-    a, b = rows.select(F.col("key").alias("a"), F.col("form").alias("form_a"), "class_id"), rows.select(F.col("key").alias("b"), F.col("form").alias("form_b"), "class_id")
-    return a.join(b, "class_id").filter("form_a <> form_b and a < b").select("a", "b").distinct()
+    strings = cut(_several(rows).select("class_id", "form"), "strings")
+    both = strings.select("class_id", F.col("form").alias("form_a")).join(strings.select("class_id", F.col("form").alias("form_b")), "class_id").filter("form_a < form_b")
+    one = rows.join(strings.select("form"), "form", "left_semi").select("form", "key").distinct()
+    met = both.select("form_a", "form_b").join(one.toDF("form_a", "a"), "form_a").join(one.toDF("form_b", "b"), "form_b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
+
+
+def lookalike_members(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, class_id, forms, class_rows, links): one row for each row of a class of several strings, with the number of its
+    partners, that is, the class's rows of another string. A class with a third of all rows has as many rows here."""
+    rows = cut(lookalike_classes(df, key, text), "classes")
+    strings = _several(rows)
+    return rows.select("key", "form").join(strings, "form").select("key", F.lower(F.hex("class_id")).alias("class_id"), "forms", "class_rows", (F.col("class_rows") - F.col("n")).alias("links"))
 
 
 def canonical_texts(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -143,17 +190,14 @@ def canonical_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     joined back to every row. Null or blank texts come back as they are, with nulls for the rest.
     """
     base = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    rows = base.filter(F.col("text").rlike(VISIBLE)).select("key", F.md5("text").alias("form"), look(F.col("text")).alias("seen"), "text")
-    # One row for each distinct string before anything else moves.
-    strings = rows.groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.first("seen").alias("seen"), F.first("text").alias("text"), F.min("key").alias("least_key"))
-    strings = cut(strings, "strings")
-    member = strings.sparkSession.sql(
-        """
-        SELECT s.form, p.best.text AS canonical_text, p.best.least_key AS canonical_key, p.n_forms, p.n_rows FROM {strings} s JOIN (
-            SELECT collate(seen, 'UNICODE') AS k, min_by(struct(text, least_key), struct(-n, length(text), form)) AS best, sum(n) AS n_rows, count(*) AS n_forms
-            FROM {strings} GROUP BY collate(seen, 'UNICODE')) p
-        ON collate(s.seen, 'UNICODE') = p.k
-        """,
-        strings=strings,
-    )
-    return base.select("key", "text", F.md5("text").alias("form")).join(member, "form", "left").select("key", "canonical_key", F.coalesce("canonical_text", "text").alias("canonical_text"), "n_forms", "n_rows")
+    rows = cut(forms(base, "key", "text"), "forms")
+    strings = rows.groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.first("look").alias("look"), F.first("size").alias("size"), F.min("key").alias("least_key"))
+    strings = cut(strings.join(look_classes(rows), "look", "left").withColumn("class_id", F.coalesce("class_id", "look")), "strings")
+    best = F.min_by(F.struct("form", "least_key"), F.struct(-F.col("n"), "size", "form"))
+    classes = strings.groupBy("class_id").agg(best.alias("best"), F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_forms"))
+    member = strings.select("form", "class_id").join(classes, "class_id").select("form", F.col("best.form").alias("best_form"), F.col("best.least_key").alias("canonical_key"), "n_forms", "n_rows")
+    # Texts move for the canonical members of classes of several strings, and with each row to its class.
+    named = base.filter("text IS NOT NULL").select(F.unhex(F.md5("text")).alias("best_form"), F.col("text").alias("canonical_text"))
+    chosen = named.join(member.filter("n_forms > 1").select("best_form").distinct(), "best_form", "left_semi").groupBy("best_form").agg(F.first("canonical_text").alias("canonical_text"))
+    told = member.join(chosen, "best_form", "left").drop("best_form")
+    return base.select("key", "text", F.unhex(F.md5("text")).alias("form")).join(told, "form", "left").select("key", "canonical_key", F.coalesce("canonical_text", "text").alias("canonical_text"), "n_forms", "n_rows")

@@ -50,6 +50,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, d, "raw_corpus"), "row_id", "text").select(F.col("a").alias("row_id_a"), F.col("b").alias("row_id_b"))
 
 
+def p4_members(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.lookalike_members(table(spark, d, "raw_corpus"), "row_id", "text").withColumnRenamed("key", "row_id")
+
+
 def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
     """Passages and documents in one consistent form; keys of documents stand below zero."""
     both = table(spark, d, "raw_corpus").select(F.col("row_id").alias("key"), "text").unionByName(table(spark, d, "documents").select((-F.col("doc_id")).alias("key"), "text"))
