@@ -71,7 +71,7 @@ _BLOCK_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("grp",
 #: Blocks: POSTINGS of a hash range in a group of chunks; KNOWN ones, whose frequency no other chunk need tell; a chunk's META data.
 POSTINGS, KNOWN, META = range(3)
 MANY = 255
-RADIX = 256
+RADIX = 2048
 _ALONE = np.uint32(0xFFFF)  # in place of a document: postings that stayed with their chunk
 
 

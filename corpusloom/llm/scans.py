@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.gbdt import GradientBoosting
+from corpusloom.llm.gbdt import GradientBoosting
 from corpusloom.llm.languages import _TO_LATIN, _UNSEEN
 from corpusloom.llm.quality import _ENTRY, _INDEX, _LEADER, _fields
 from corpusloom.runtime import cut, pieces
@@ -522,7 +522,8 @@ def _suspects(page: Page, body: list[int], joins: dict[int, int], ordinary: dict
 
 
 def _suspicious(t: str, ordinary: dict[str, int]) -> bool:
-    return len(t) >= 3 and t not in ordinary and len(t) <= 40 and bool(_LETTER.search(t)) and not _NUMBER.match(t)
+    """Whether a folded form may be a misread word. Of two signs (`0f`, `5s`) nothing tells it from a number with a unit."""
+    return len(t) >= 3 and t not in ordinary and bool(_LETTER.search(t)) and not _NUMBER.match(t)
 
 
 def word_frequencies(df: DataFrame, text: str = "text") -> DataFrame:
@@ -544,7 +545,7 @@ def word_frequencies(df: DataFrame, text: str = "text") -> DataFrame:
                 for w in forms:
                     if w not in folded:
                         f = fold_token(w)
-                        folded[w] = f if 3 <= len(f) <= 40 and _LETTER.search(f) and not _NUMBER.match(f) else ""
+                        folded[w] = f if len(f) >= 3 and _LETTER.search(f) and not _NUMBER.match(f) else ""
                 count.update({folded[w] for w in forms})
             if len(folded) > 400_000:
                 folded.clear()
@@ -557,22 +558,25 @@ def word_frequencies(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def qgrams(column: str, q: int = 3) -> Column:
+    """The q-grams of a form with its ends marked; of forms of q + 1 signs or fewer also the shorter ones, as an edit in their middle may leave no q-gram whole."""
     padded = F.concat(F.lit("^"), F.col(column), F.lit("$"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - (q - 1)), lambda i: F.substr(padded, i, F.lit(q))))
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i: F.substr(padded, i, F.lit(n)))
+    return F.array_distinct(F.when(F.length(column) <= q + 1, F.concat(grams(q), grams(q - 1))).otherwise(grams(q)))
 
 
 def corrections(suspects: DataFrame, dictionary: DataFrame, frequencies: DataFrame, models: Models, least: float = 0.5) -> DataFrame:
     """(word, right, score): the replacement of each suspicious form that has one.
 
     suspects: (word); dictionary: (word, df) of ordinary words. Folded forms within one edit share at least one of any
-    four of a word's 3-grams; the four with the shortest inverted lists are looked up.
+    four of a word's 3-grams; the four with the shortest inverted lists are looked up, of forms of up to four signs all.
+    A form that stands only broken over two lines has no frequency of its own and counts as seen once.
     """
     lists = cut(dictionary.select(F.col("word").alias("right"), F.col("df").alias("df_right"), _shape_column(F.col("word")).alias("shape_right")), "dictionary")
     postings = lists.select("right", "df_right", "shape_right", F.explode(qgrams("shape_right")).alias("gram"))
     rarity = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    asked = cut(suspects.select("word").distinct().join(frequencies, "word").filter(F.length("word").between(3, 40)).select("word", "df", _shape_column(F.col("word")).alias("shape")), "asked")
+    asked = cut(suspects.select("word").distinct().join(frequencies, "word", "left").select("word", F.coalesce("df", F.lit(1)).alias("df"), _shape_column(F.col("word")).alias("shape")), "asked")
     grams = asked.select("word", "df", "shape", F.explode(qgrams("shape")).alias("gram")).join(rarity, "gram", "left").fillna(0, ["n"])
-    four = grams.groupBy("word", "df", "shape").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "gram"))), 1, 4).alias("g")).select("word", "df", "shape", F.explode("g.gram").alias("gram"))
+    four = grams.groupBy("word", "df", "shape").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("g")).withColumn("g", F.when(F.length("shape") <= 4, F.col("g")).otherwise(F.slice("g", 1, 4))).select("word", "df", "shape", F.explode("g.gram").alias("gram"))
     near = four.join(postings, "gram").filter((F.abs(F.length("shape") - F.length("shape_right")) <= 1) & (F.col("word") != F.col("right")) & (F.levenshtein("shape", "shape_right", 1) >= 0)).select("word", "df", "right", "df_right").distinct()
     sent = suspects.sparkSession.sparkContext.broadcast(models.ranker)
 
@@ -602,10 +606,11 @@ def frequent_misreadings(ordinary: dict[str, int], ratio: float = 40.0) -> set[s
     return {w for ws in by.values() for w in ws if ordinary[w] * ratio <= max(ordinary[x] for x in ws)}
 
 
-def prepare(df: DataFrame, key: str, text: str, sample_docs: int = 400, share: float = 0.0005) -> tuple[Models, DataFrame, DataFrame]:
+def prepare(df: DataFrame, key: str, text: str, sample_docs: int = 400, share: float = 0.0005, max_words: int = 2_000_000) -> tuple[Models, DataFrame, DataFrame]:
     """(models, dictionary, frequencies). Ordinary words are those in at least `share` of the documents and in five.
 
-    The dictionary is bounded: a share s of documents of at most m different words each leaves at most m / s words.
+    The dictionary is bounded: a share s of documents of at most m different words each leaves at most m / s words; more
+    than `max_words` raise.
     Training uses `sample_docs` texts, the first by digest of the key among those that are unbroken prose; only keys are
     sorted, so no task sends more than that many keys.
     """
@@ -613,10 +618,13 @@ def prepare(df: DataFrame, key: str, text: str, sample_docs: int = 400, share: f
     frequencies = cut(word_frequencies(base), "frequencies")
     total = base.count()
     dictionary = frequencies.filter(F.col("df") >= max(5, share * total))
+    if (size := dictionary.count()) > max_words:
+        raise ValueError(f"{size} ordinary words are more than the {max_words} that every worker may hold: raise share")
     ordinary = {r.word: r.df for r in dictionary.collect()}
     common = frequent_misreadings(ordinary)
     ordinary = {w: n for w, n in ordinary.items() if w not in common}
-    dictionary = dictionary.filter(~F.col("word").isin(sorted(common))) if common else dictionary
+    if common:
+        dictionary = dictionary.join(F.broadcast(df.sparkSession.createDataFrame([(w,) for w in sorted(common)], "word string")), "word", "left_anti")
     prose = base.filter((F.length("text") > 600) & (F.length("text") < 9000) & F.col("text").rlike(r"[^\n]{200}") & ~F.col("text").rlike(r"\|[^\n]*\||\t[^\n]*\t"))
     chosen = [r.key for r in prose.select("key", F.md5(F.col("key").cast("string")).alias("h")).orderBy("h", "key").limit(sample_docs).collect()]
     sample = sorted(r.text for r in base.filter(F.col("key").isin(chosen)).select("text").distinct().limit(sample_docs).collect()) if chosen else []

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusloom.llm import languages, lookalike, mixing, neardup, packing, quality, scans, sentences, splitting, tokens
+from corpusloom.llm.gbdt import GradientBoosting
 
 WORDS = "the membrane potential was compared with assumed geometry near upper limit after careful filtering several independent trials gave weak signal".split()
 EN = ["The membrane potential was compared with the assumed geometry.", "Several independent trials gave a weak signal near the upper limit.", "We tested the salts after careful filtering.", "A long survey was lost before the final rinse.", "The crystal lattice confirms the local temperature."] * 3
@@ -365,3 +366,22 @@ def test_own_session_uses_the_named_folder(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert shared_dir(spark) == named.rstrip("/") if named else shared_dir(spark).startswith("file:")
     assert spark.createDataFrame([(1,)], "a int").select(F.lit(1)).count() == 1
+
+
+def test_boosting_learns_an_interaction():
+    rng = np.random.default_rng(0)
+    x = rng.random((2000, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
+    g = GradientBoosting().fit(x[:1500], y[:1500])
+    assert ((g.predict(x[1500:]) > 0.5) == y[1500:]).mean() > 0.95
+
+
+def test_short_forms_meet_their_candidates(spark):
+    """A change in the middle of a three-letter form leaves no 3-gram whole; forms of any length are looked up."""
+    long = "x" * 30 + "membranepotential" * 2
+    words = [("cat", 900), ("fox", 800), (long, 700), ("other", 600)]
+    dictionary = spark.createDataFrame(words, "word string, df long")
+    wrong = [("cxt",), ("f0x",), (long.replace("membrane", "mernbrane", 1),)]
+    models = scans.train([], dict(words))
+    got = scans.corrections(spark.createDataFrame(wrong, "word string"), dictionary, dictionary, models, least=0.0)
+    assert {(r.word, r.right) for r in got.collect()} == {("cxt", "cat"), ("f0x", "fox"), (wrong[2][0], long)}
