@@ -27,22 +27,36 @@ VALIDATED = {
     "page_references": r"(?i)(?:^|\s)(?:p|pp|page|pages)\.?\s*\d+(?:-\d+)?(?:,\s*\d+(?:-\d+)?)*(?=\s|$)",
 }
 # Words that no author list has.
-STOPWORDS = """
-the and or but in on at to for of with by from up about into through during before after above below between among this that these those a an as
-be is are was were been being have has had do does did will would could should may might must can form however therefore thus also only just even
-still yet already now then here there where when why how what which who whom whose very much more most many some any each every all both either neither
-""".split()
+STOPWORDS = [
+    "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "up", "about", "into", "through", "during", "before", "after",
+    "above", "below", "between", "among", "this", "that", "these", "those", "a", "an", "as", "be", "is", "are", "was", "were", "been", "being", "have",
+    "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "must", "can", "form", "however", "therefore", "thus", "also",
+    "only", "just", "even", "still", "yet", "already", "now", "then", "here", "there", "where", "when", "why", "how", "what", "which", "who", "whom",
+    "whose", "very", "much", "more", "most", "many", "some", "any", "each", "every", "all", "both", "either", "neither",
+]
 # Signs that no author's name has.
 NO_NAME = r"^\d+$|[()\[\]{}+=<>|\\/@#$%^&*]"
 # Words near a page reference. The first mark a citation, the second the text's own structure, the third running prose.
 CITATION_MARKS = ["see", "cf.", "compare", "according to", "as shown in", "following", "refer to", "shown in", "presented in", "detailed in"]
-STRUCTURE_MARKS = "presents shows reports estimates demonstrates columns panel specification regression model analysis results findings outcome".split()
-PROSE_MARKS = "the that this which where when how what we our using with for from on in at".split()
+STRUCTURE_MARKS = ["presents", "shows", "reports", "estimates", "demonstrates", "columns", "panel", "specification", "regression", "model", "analysis", "results", "findings", "outcome"]
+PROSE_MARKS = ["the", "that", "this", "which", "where", "when", "how", "what", "we", "our", "using", "with", "for", "from", "on", "in", "at"]
 # Verbs of which a cited author is the subject.
-ACADEMIC_VERBS = """
-defined explored investigated studied analyzed examined found showed demonstrated reported concluded suggested proposed argued claimed stated noted observed
-discovered revealed indicated pointed emphasized discussed described explained identified established conducted performed collected measured compared developed created designed implemented tested
-""".split()
+ACADEMIC_VERBS = [
+    "defined", "explored", "investigated", "studied", "analyzed", "examined", "found", "showed", "demonstrated", "reported", "concluded", "suggested",
+    "proposed", "argued", "claimed", "stated", "noted", "observed", "discovered", "revealed", "indicated", "pointed", "emphasized", "discussed",
+    "described", "explained", "identified", "established", "conducted", "performed", "collected", "measured", "compared", "developed", "created",
+    "designed", "implemented", "tested",
+]
+# Nouns before and connectives behind a citation that is part of its sentence.
+RESEARCH_NOUNS = ["research", "study", "work", "findings", "analysis"]
+CONNECTIVES = ["also", "further", "additionally", "moreover"]
+# What ends a sentence before a citation, and words that only point at one.
+SENTENCE_ENDS = [". ", "! ", "? ", "\n\n", "\n "]
+POINTING = r"\b(?:see|cf\.|according to|as noted by|as shown by)\s*$"
+# A list item's number, a simple page reference, an author's name (the first two without regard to case).
+LIST_ITEM = r"^\s*(\([a-zA-Z0-9]+\)|[a-zA-Z0-9]+\)|[a-zA-Z0-9]+\.|\([ivxlcdm]+\)|[ivxlcdm]+\.)\s*$"
+SIMPLE_PAGE = r"p\.?\s*\d+"
+AUTHOR_NAME = r"^[A-Za-z0-9\-'\.\s]+$"
 # Short lines.
 SHORT_LINES = [
     ("keywords_metadata", r"(?i)^KEYWORDS?:\s+"),
@@ -72,6 +86,8 @@ SECTION_STARTS = "(?i)" + "|".join(
         "^supplementary", r"^gene\s+symbol", r"^protein\s+name", r"^antibody\s+supplier", r"^[A-Z][A-Z0-9]+\s+[A-Z][A-Z0-9]+\s+[A-Z][A-Z0-9]+",
     ]
 )
+# Type of an appendix section, the share that must be exceeded, its weight.
+SECTION_INDICATORS = [("technical_table", 0.35, 0.3), ("gene_list", 0.4, 0.25), ("tabular_data", 0.7, 0.2), ("formatted_table", 0.3, 0.3), ("gene_table", 0.3, 0.35), ("numeric_data", 0.8, 0.25)]
 # Symbols and what stands for them, in the order of the groups.
 INVISIBLE = "\u2062\u2063\u2061"
 TOC = [r"(?U)\w++[.\s]{5,}+\d+", r"^[.\t\s]{10,}$", r"(?U)\w++[.\t]{5,}+\w+"]

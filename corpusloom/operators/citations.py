@@ -36,11 +36,13 @@ def change_metrics(df: DataFrame, before: str, after: str) -> DataFrame:
 
 
 _TECHNICAL = re.compile(P.NO_NAME)
-_NAME = re.compile(r"^[A-Za-z0-9\-'.\s]+$")
+_NAME = re.compile(P.AUTHOR_NAME)
 _STOP = frozenset(P.STOPWORDS)
-_LIST_ITEM = re.compile(r"^\s*(\([a-z0-9]+\)|[a-z0-9]+\)|[a-z0-9]+\.|\([ivxlcdm]+\)|[ivxlcdm]+\.)\s*$", re.IGNORECASE)
+_LIST_ITEM = re.compile(P.LIST_ITEM, re.IGNORECASE)
 _LETTER = re.compile("[a-zA-Z]")
-_SIMPLE_PAGE = re.compile(r"p\.?\s*\d+", re.IGNORECASE)
+_SIMPLE_PAGE = re.compile(P.SIMPLE_PAGE, re.IGNORECASE)
+
+
 def semicolon_block_is_citation(match: str, least: int = 2, most: int = 12, threshold: float = 0.3) -> bool:
     """Names parted by semicolons: no stopword, no bare number or formula, enough parts of a single word."""
     parts = [p for p in re.split(r"\s*;\s*", match.strip()) if p.strip()]
@@ -69,19 +71,20 @@ def structural_reference(before: str, after: str) -> bool:
 
 def match_is_valid(kind: str, text: str, start: int, end: int) -> bool:
     """Whether a match at text[start:end] is a citation to remove. Positions are those of the text the match comes from."""
-    match, before, after = text[start:end], text[:start], text[end:]
+    match, before, after = text[start:end], text[max(0, start - 200) : start], text[end : end + 200]  # the widest that any rule looks at
     if kind == "semicolon_blocks":
         return semicolon_block_is_citation(match)
     if kind == "isolated_numeric_citations":
-        return not is_list_item(before[-200:], match)
+        return not is_list_item(before, match)
     if kind == "ref_nummer":
         return not (_LETTER.search(before[-10:]) and _LETTER.search(after[:10]))
     if kind == "page_references":
         if m := _SIMPLE_PAGE.search(match):
-            left, right = text[: start + m.start()], text[start + m.end() :]
-            if _LETTER.search(left[-15:]) and _LETTER.search(right[:15]):
+            a, b = start + m.start(), start + m.end()
+            if _LETTER.search(text[max(0, a - 15) : a]) and _LETTER.search(text[b : b + 15]):
                 return False
-            return (left.rpartition("\n")[2] + m.group() + right.partition("\n")[0]).strip() == match.strip()
+            line_end = text.find("\n", b)
+            return text[text.rfind("\n", 0, a) + 1 : line_end if line_end >= 0 else len(text)].strip() == match.strip()
         return not structural_reference(before, after)
     return True
 
@@ -122,13 +125,50 @@ def remove_validated(df: DataFrame, text: str = "text", replacement: str = "", d
 
 
 def sentence_integration_score(before: str, after: str) -> float:
-    """How much an author-year citation is part of its sentence, 0 to 1; optional, not part of the default cleaning."""
-    b, a = before[-200:].lower(), after[:200].lower()
+    """How much a citation is part of its sentence, 0 to 1, by the word before it, the word after it and brackets around it."""
     score = 0.5
-    if not b.strip() or b.rstrip().endswith((".", "!", "?")):
-        score += 0.2
-    if any(a.lstrip().startswith(v) for v in P.ACADEMIC_VERBS):
-        score += 0.3
-    if a.lstrip()[:1] in (".", ",", ";", ")"):
-        score -= 0.3
+    if left := before.lower().split():
+        score += 0.2 if left[-1] in P.RESEARCH_NOUNS else 0.1 if _GERUND.match(left[-1]) else 0.0
+    if right := after.lower().split():
+        word = _NO_WORD.sub("", right[0])
+        score += 0.4 if word in _VERBS else 0.2 if word in P.CONNECTIVES else 0.1 if word == "and" else 0.0
+    score -= 0.3 * before.strip().endswith("(") + 0.3 * after.strip().startswith(")")
     return max(0.0, min(1.0, score))
+
+
+def author_year_decision(text: str, start: int, end: int) -> tuple[bool, str, float]:
+    """(remove, reason, score) of the author-year citation at text[start:end].
+
+    Kept near its sentence's start, where its authors are the subject; removed behind a pointing word or in a list of
+    references; else by the score: above 0.6 it is part of the sentence and kept, below 0.3 removed, between them kept.
+    """
+    before, after = text[max(0, start - 200) : start], text[end : end + 200]
+    score = sentence_integration_score(before, after)
+    reach = max(0, start - 300)
+    ends = [at + len(mark) for mark in P.SENTENCE_ENDS if (at := text.rfind(mark, reach, start)) >= 0]
+    if start - max([reach, *ends]) < 50:
+        verb = next((w for w in (_NO_WORD.sub("", x) for x in after.lower().split()[:5]) if w in _VERBS), None)
+        return False, f"author_as_subject_with_verb_{verb}" if verb else "author_at_sentence_start", score
+    if _POINTER.search(before.lower()):
+        return True, "disruptive_reference_indicator", score
+    if before.rstrip().endswith(";") or after.lstrip().startswith(";"):
+        return True, "part_of_reference_list", score
+    kind = "well_integrated" if score > 0.6 else "poorly_integrated" if score < 0.3 else "uncertain_keep_for_training"
+    return kind == "poorly_integrated", f"{kind}_score_{score:.2f}", score
+
+
+_GERUND, _NO_WORD, _POINTER = re.compile(r"\w+ing$"), re.compile(r"[^\w]"), re.compile(P.POINTING)
+_VERBS = frozenset(P.ACADEMIC_VERBS)
+
+
+def author_year_decisions(df: DataFrame, key: str, text: str = "text", pattern: str = P.CITATIONS["autor_jahr_klammer_einzel"]) -> DataFrame:
+    """(key, start_pos, match, remove, reason, score): every author-year citation with its decision. Optional; the default
+    cleaning removes them all. Null texts have no row."""
+    found = re.compile(pattern)
+
+    def rows(t: str | None) -> tuple[list[dict]]:
+        names = ("remove", "reason", "score")
+        return ([{"start_pos": m.start(), "match": m.group()} | dict(zip(names, author_year_decision(t, m.start(), m.end()), strict=True)) for m in found.finditer(t or "")],)
+
+    out = arrow_columns(df.select(F.col(key).alias(key), F.col(text).alias("_text")), ["_text"], "_d array<struct<start_pos: int, match: string, remove: boolean, reason: string, score: double>>", rows)
+    return out.select(key, F.inline("_d"))

@@ -107,10 +107,15 @@ def caption_reason(line: Column) -> Column:
     return let(strip(line), rows)
 
 
-def clean_captions(df: DataFrame, text: str = "text") -> DataFrame:
-    """text without caption lines and numeric rows; adds figure_lines_removed and figure_length_reduction."""
-    info = F.transform(split_lines(F.col(text)), lambda x: F.struct(x.alias("line"), caption_reason(x).alias("reason")))
+def clean_captions(df: DataFrame, text: str = "text", debug: bool = False) -> DataFrame:
+    """text without caption lines and numeric rows; adds figure_lines_removed, figure_length_reduction and removed_figure_lines (the first ten).
+
+    With debug a tag stands in each line's place and no length counts as removed."""
+    info = F.transform(split_lines(F.col(text)), lambda x, i: F.struct(x.alias("line"), (i + 1).alias("i"), caption_reason(x).alias("reason")))
     out = df.withColumn("_i", info)
     gone = F.filter("_i", lambda x: x["reason"].isNotNull())
-    kept = F.transform(F.filter("_i", lambda x: x["reason"].isNull()), lambda x: x["line"])
-    return out.withColumns({"figure_lines_removed": F.size(gone), "figure_length_reduction": F.aggregate(gone, F.lit(0), lambda a, x: a + F.length(strip(x["line"])))}).withColumn(text, F.array_join(kept, "\n")).drop("_i")
+    tagged = F.transform("_i", lambda x: F.when(x["reason"].isNull(), x["line"]).otherwise(F.concat(F.lit("[DEBUG:figure_line:"), x["reason"], F.lit("]"))))
+    shown = tagged if debug else F.transform(F.filter("_i", lambda x: x["reason"].isNull()), lambda x: x["line"])
+    sample = F.transform(F.slice(gone, 1, 10), lambda x: F.struct(F.substring(strip(x["line"]), 1, 100).alias("line_content"), x["i"].alias("line_number"), F.length(strip(x["line"])).alias("length"), x["reason"].alias("reason")))
+    stats = {"figure_lines_removed": F.size(gone), "figure_length_reduction": F.lit(0) if debug else F.aggregate(gone, F.lit(0), lambda a, x: a + F.length(strip(x["line"]))), "removed_figure_lines": sample}
+    return out.withColumns(stats).withColumn(text, F.array_join(shown, "\n")).drop("_i")

@@ -32,7 +32,49 @@ INJ = "(SELECT doc_id, coalesce(text, '') || CASE doc_id % 7 " + " ".join(f"WHEN
 
 def _re2(pattern: str) -> str:
     """The pattern for an engine without possessive, atomic and look-around parts; ASCII classes as they are."""
-    return pattern.replace("*+", "*").replace("++", "+").replace("(?>", "(?:").replace("(?U)", "")
+    return pattern.replace("*+", "*").replace("++", "+").replace("}+", "}").replace("(?>", "(?:").replace("(?U)", "")
+
+
+# Java's classes under (?U), for an engine whose classes are ASCII ones.
+_WIDE = {"w": r"\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}\x{200C}\x{200D}", "s": r"\t-\r \x{85}\p{Z}", "d": r"\p{Nd}"}
+
+
+def _re2_wide(pattern: str) -> str:
+    """_re2() of a pattern under (?U): its classes spelled out, inside brackets and outside them."""
+    out, inside, i = [], False, 0
+    p = _re2(pattern)
+    while i < len(p):
+        c = p[i]
+        if c == "\\" and p[i + 1] in _WIDE:
+            out.append(_WIDE[p[i + 1]] if inside else f"[{_WIDE[p[i + 1]]}]")
+            i += 2
+        elif c == "\\" and p[i + 1] == "u":
+            out.append(f"\\x{{{p[i + 2 : i + 6]}}}")
+            i += 6
+        elif c == "\\":
+            out.append(p[i : i + 2])
+            i += 2
+        else:
+            inside = c == "[" or inside and c != "]"
+            out.append(c)
+            i += 1
+    return "".join(out)
+
+
+def _sql_pattern(pattern: str) -> str:
+    return _re2_wide(pattern) if pattern.startswith("(?U)") else _re2(pattern)
+
+
+def _chain(source: str, steps: list[tuple[str, str, str]]) -> str:
+    """CTEs that apply the steps (name, SQL of a count, SQL of the change, both of {t}) one after the other; the last is `done`, with counts c_{name} and the text."""
+    ctes = [f"s0 AS (SELECT *, text AS t FROM {source})"]
+    for i, (name, count, change) in enumerate(steps, 1):
+        ctes.append(f"s{i} AS (SELECT * EXCLUDE (t), CAST({count.replace('{t}', 't')} AS BIGINT) AS c_{name}, {change.replace('{t}', 't')} AS t FROM s{i - 1})")
+    return ", ".join([*ctes, f"done AS (SELECT * FROM s{len(steps)})"])
+
+
+def _removals(table: dict[str, str]) -> list[tuple[str, str, str]]:
+    return [(n, f"len(regexp_extract_all({{t}}, {_sql(_sql_pattern(p))}))", f"regexp_replace({{t}}, {_sql(_sql_pattern(p))}, '', 'g')") for n, p in table.items()]
 
 
 def _count(pattern: str, column: str = "text") -> str:
@@ -54,7 +96,10 @@ for _i, _k in ((7, "eckige_klammern_numerisch"), (8, "consecutive_numeric_citati
     _removal(f"c{_i}_{_k}", P.CITATIONS[_k])
 
 
-@query()
+_SQUARE = ("autor_jahr_eckig_einzel", "autor_jahr_eckig_multi")
+
+
+@query(f"WITH {_chain(INJ, _removals({k: P.CITATIONS[k] for k in _SQUARE}))} SELECT doc_id, " + ", ".join(f"CAST(c_{k} AS INT) AS {k}_citations_found" for k in _SQUARE) + ", md5(t) AS digest FROM done")
 def c12_c13_author_year_square(s: SparkSession, d: str) -> DataFrame:
     out = C.remove_patterns(injected(s, d), {k: P.CITATIONS[k] for k in ("autor_jahr_eckig_einzel", "autor_jahr_eckig_multi")})
     return out.select("doc_id", "autor_jahr_eckig_einzel_citations_found", "autor_jahr_eckig_multi_citations_found", F.md5("text").alias("digest"))
@@ -74,11 +119,14 @@ for _n, _p in P.ARTEFACTS.items():
     _DBG = f"regexp_replace({_DBG}, {_sql(_re2(_p))}, '[DEBUG:artefakt:{_n}]', 'g')"
 
 
-@query(f"SELECT doc_id, md5({_ART}) AS digest, text <> {_ART} AS citation_text_changed, length(text) - length({_ART}) AS citation_length_reduction FROM {INJ}")
+_WORDS = "len(regexp_extract_all({0}, '[^ \\t\\n\\x0B\\f\\r]+'))"
+
+
+@query(f"SELECT doc_id, md5({_ART}) AS digest, text <> {_ART} AS citation_text_changed, length(text) - length({_ART}) AS citation_length_reduction, CAST({_WORDS.format('text')} - {_WORDS.format(_ART)} AS INT) AS citation_word_reduction FROM {INJ}")
 def c22_c25_artefacts_and_changes(s: SparkSession, d: str) -> DataFrame:
     docs = injected(s, d).withColumn("before", F.col("text"))
     out = C.change_metrics(C.remove_artefacts(docs, count=False), "before", "text")
-    return out.select("doc_id", F.md5("text").alias("digest"), "citation_text_changed", "citation_length_reduction")
+    return out.select("doc_id", F.md5("text").alias("digest"), "citation_text_changed", "citation_length_reduction", "citation_word_reduction")
 
 
 @query(f"SELECT doc_id, md5({_DBG}) AS digest FROM {INJ}")
@@ -86,27 +134,57 @@ def c23_debug_tags(s: SparkSession, d: str) -> DataFrame:
     return C.remove_artefacts(injected(s, d), count=False, debug=True).select("doc_id", F.md5("text").alias("digest"))
 
 
-@query("SELECT 'artefacts' AS stage, " + ", ".join(f"CAST(sum({_count(p)}) AS BIGINT) AS {n}" for n, p in list(P.ARTEFACTS.items())[:1]) + f" FROM {INJ}")
-def c24_counts(s: SparkSession, d: str) -> DataFrame:
-    """Totals of every artefact and citation type: found, removed, rejected. Types without validation have no rejected ones."""
-    out = C.remove_validated(C.remove_citations(C.remove_artefacts(injected(s, d))))
-    stages = {k: stage for stage, names in (("artefacts", P.ARTEFACTS), ("citations", P.CITATIONS), ("validated", P.VALIDATED)) for k in names}
+_TYPES = [(n, "artefacts") for n in P.ARTEFACTS] + [(n, "citations") for n in P.CITATIONS]
+
+
+def _totals(found: DataFrame, stages: dict[str, str]) -> DataFrame:
+    """(stage, type, found, removed, rejected): one aggregation for all types; those without validation have no rejected ones."""
     sums = [F.sum(f"{k}_citations_{w}" if k in P.VALIDATED else f"{k}_citations_found").alias(f"{k}_{w}") for k in stages for w in ("found", "removed", "rejected") if k in P.VALIDATED or w != "rejected"]
-    one = out.agg(*sums)
     rows = F.array(*[F.struct(F.lit(stage).alias("stage"), F.lit(k).alias("type"), F.col(f"{k}_found").alias("found"), F.col(f"{k}_removed").alias("removed"), (F.col(f"{k}_rejected") if k in P.VALIDATED else F.lit(0).cast("long")).alias("rejected")) for k, stage in stages.items()])
-    return one.select(F.inline(rows))
+    return found.agg(*sums).select(F.inline(rows))
+
+
+@query(f"WITH {_chain(INJ, _removals(P.ARTEFACTS | P.CITATIONS))} " + " UNION ALL ".join(f"SELECT '{stage}' AS stage, '{n}' AS type, CAST(sum(c_{n}) AS BIGINT) AS found, CAST(sum(c_{n}) AS BIGINT) AS removed, CAST(0 AS BIGINT) AS rejected FROM done" for n, stage in _TYPES))
+def c24_counts(s: SparkSession, d: str) -> DataFrame:
+    """Totals of every artefact and citation type that needs no validation."""
+    return _totals(C.remove_citations(C.remove_artefacts(injected(s, d))), dict(_TYPES))
+
+
+@query()
+def c24_validated_counts(s: SparkSession, d: str) -> DataFrame:
+    """Totals of the validated types on what the others leave: found, removed, rejected."""
+    out = C.remove_validated(C.remove_citations(C.remove_artefacts(injected(s, d), count=False), count=False))
+    return _totals(out, dict.fromkeys(P.VALIDATED, "validated"))
+
+
+@query()
+def c17_author_year_decisions(s: SparkSession, d: str) -> DataFrame:
+    """The optional rule: each author-year citation in round brackets with its decision, its reason and how far it is part of its sentence."""
+    return C.author_year_decisions(injected(s, d), "doc_id")
+
+
+_ENDS = "'\\r\\n|[\\n\\r\\x0B\\x0C\\x1C\\x1D\\x1E\\x{85}\\x{2028}\\x{2029}]'"
+
 
+def _split(source: str, text: str = "text") -> str:
+    """(doc_id, l): the lines of each text at every kind of line end, an ending one adding none."""
+    return f"(SELECT doc_id, CASE WHEN x[len(x)] = '' THEN x[1 : len(x) - 1] ELSE x END AS l FROM (SELECT doc_id, string_split_regex({text}, {_ENDS}) AS x FROM {source}))"
 
-LINES = f"(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {INJ})"
 
+def _lines(source: str, text: str = "text") -> str:
+    return f"(SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM {_split(source, text)})"
 
-@query(f"SELECT doc_id, len(string_split_regex(rtrim(text, chr(10)), '\\r\\n|[\\n\\r\\x0B\\x0C\\x1C\\x1D\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]')) AS n_lines FROM {INJ} WHERE text <> '' AND right(text, 1) NOT IN (chr(10), chr(13), chr(12))")
+
+LINES = _lines(INJ)
+
+
+@query(f"SELECT doc_id, CAST(len(l) AS INT) AS n_lines FROM {_split(INJ)}")
 def l0_split_lines(s: SparkSession, d: str) -> DataFrame:
     return injected(s, d).select("doc_id", F.size(L.split_lines(F.col("text"))).alias("n_lines"))
 
 
-_STRIP = r"regexp_replace(line, '^\s+|\s+$', '', 'g')"
-_PLAIN = f"(SELECT doc_id, {_STRIP} AS st, line, i FROM {LINES} WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE regexp_matches(text, '[\\r\\x0B\\x0C\\x1C-\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]')))"
+_STRIP = r"regexp_replace(line, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')"
+_PLAIN = f"(SELECT doc_id, {_STRIP} AS st, line, i FROM {LINES})"
 
 
 @query(f"SELECT doc_id, i FROM (SELECT doc_id, i, st, list(st) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS prev FROM {_PLAIN} WHERE st <> '') WHERE list_contains(prev, st)")
@@ -116,7 +194,15 @@ def l1_repetition(s: SparkSession, d: str) -> DataFrame:
     return x.filter("x.reason LIKE 'repetition%'").select("doc_id", F.col("x.i").cast("long").alias("i"))
 
 
-@query()
+_SPACES = " || ".join(f"chr({c})" for c in (32, 9, 10, 11, 12, 13))
+_MEMORY = f"""SELECT doc_id, CAST(a.n AS INT) AS repeated_lines_removed, md5(array_to_string(a.kept, chr(10))) AS digest FROM (
+ SELECT doc_id, list_reduce(list_transform(l, lambda x: {{'x': x, 's': trim(x, {_SPACES}), 'last': []::VARCHAR[], 'kept': []::VARCHAR[], 'n': 0}}),
+ lambda a, x: {{'x': '', 's': '', 'last': CASE WHEN x.s = '' OR list_contains(a.last, x.s) THEN a.last ELSE list_append(a.last, x.s)[-5:] END,
+ 'kept': CASE WHEN x.s <> '' AND list_contains(a.last, x.s) THEN a.kept ELSE list_append(a.kept, x.x) END, 'n': a.n + CASE WHEN x.s <> '' AND list_contains(a.last, x.s) THEN 1 ELSE 0 END}},
+ {{'x': '', 's': '', 'last': []::VARCHAR[], 'kept': []::VARCHAR[], 'n': 0}}) AS a FROM {_split(INJ)})"""
+
+
+@query(_MEMORY)
 def l1b_kept_line_memory(s: SparkSession, d: str) -> DataFrame:
     return L.kept_line_memory(injected(s, d)).select("doc_id", "repeated_lines_removed", F.md5("text").alias("digest"))
 
@@ -158,13 +244,14 @@ def l4_l5_metadata_copyright(s: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", (F.col("p") + 1).cast("long").alias("i"), reason.alias("reason")).filter("reason IS NOT NULL")
 
 
-_RANKED = f"""SELECT doc_id, count(reason) AS lines_removed, coalesce(sum(length(line)) FILTER (WHERE reason IS NOT NULL), 0) AS line_length_reduction FROM (
- SELECT doc_id, line, CASE WHEN st = '' THEN NULL WHEN list_contains(prev, st) THEN 'r' WHEN t AND (p OR n) THEN 't' ELSE coalesce({_SHORT}, {_META}) END AS reason FROM (
+def _ranked(plain: str) -> str:
+    """(doc_id, i, line, reason): the fused cleaner's lines."""
+    return f"""(SELECT doc_id, i, line, CASE WHEN st = '' THEN NULL WHEN list_contains(prev, st) THEN 'r' WHEN t AND (p OR n) THEN 't' ELSE coalesce({_SHORT}, {_META}) END AS reason FROM (
  SELECT doc_id, i, st, line, {_TABS} >= 2 AS t, coalesce(lag({_TABS} >= 2) OVER w, false) AS p, coalesce(lead({_TABS} >= 2) OVER w, false) AS n,
- list(st) FILTER (WHERE st <> '') OVER (PARTITION BY doc_id, st = '' ORDER BY i ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS prev FROM {_PLAIN} WINDOW w AS (PARTITION BY doc_id ORDER BY i))) GROUP BY 1"""
+ list(st) FILTER (WHERE st <> '') OVER (PARTITION BY doc_id, st = '' ORDER BY i ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS prev FROM {plain} WINDOW w AS (PARTITION BY doc_id ORDER BY i)))"""
 
 
-@query(_RANKED)
+@query(f"SELECT doc_id, count(reason) AS lines_removed, coalesce(sum(length(line)) FILTER (WHERE reason IS NOT NULL), 0) AS line_length_reduction FROM {_ranked(_PLAIN)} GROUP BY 1")
 def l6_fused_line_cleaner(s: SparkSession, d: str) -> DataFrame:
     return L.clean_lines(injected(s, d)).select("doc_id", F.col("lines_removed").cast("long").alias("lines_removed"), F.col("line_length_reduction").cast("long").alias("line_length_reduction"))
 
@@ -180,7 +267,45 @@ def l7_l9_captions(s: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", (F.col("p") + 1).cast("long").alias("i"), L.caption_reason(F.col("line")).alias("reason")).filter("reason IS NOT NULL")
 
 
-@query()
+_BLANK = r"\t-\r\x1C-\x20\x{85}\p{Z}"  # white space as split() and strip() see it
+_STARTED = "{'o': false, 'c': false, 'held': 0, 'id': 0, 'ids': []::INT[]}"
+
+
+def _ratio(pattern: str, among: str) -> str:
+    return f"CASE WHEN {among} > 0 THEN len(regexp_extract_all(st, {_sql(pattern)})) / {among} ELSE 0 END"
+
+
+def _indicator(k: int, share: str) -> str:
+    """The weight of a section's k-th indicator if its share is exceeded."""
+    _, least, weight = P.SECTION_INDICATORS[k]
+    return f"CASE WHEN avg({share}) FILTER (WHERE st <> '') > {least} THEN {weight} ELSE 0 END"
+
+
+_SECTION_LINES = (
+    f"SELECT doc_id, i, line, st, len(regexp_extract_all(st, {_sql(f'[^{_BLANK}]+')})) AS words, {_ratio(rf'[^\pL\pN_{_BLANK}]', "length(replace(st, ' ', ''))")} AS special, {_ratio(r'\p{Lu}', "length(regexp_replace(st, '[^\\pL]', '', 'g'))")} AS upper"
+    f" FROM (SELECT doc_id, i, line, regexp_replace(line, {_sql(f'^[{_BLANK}]+|[{_BLANK}]+$')}, '', 'g') AS st FROM {LINES})"
+)
+_SECTION_SCORE = " + ".join(
+    [
+        _indicator(0, "special"), _indicator(1, "upper"), _indicator(2, "(words < 5)::INT"), _indicator(3, rf"regexp_matches(st, '\t|[{_BLANK}]{{3,}}')::INT"), _indicator(4, r"regexp_matches(st, '^[A-Z0-9]{2,}\s+[A-Z0-9]{2,}')::INT"),
+        _indicator(5, r"regexp_matches(st, '\d+\.\d+|\d+%')::INT"), "CASE WHEN avg(words) FILTER (WHERE st <> '') < 5 THEN 0.15 ELSE 0 END",
+    ]
+)
+_SECTIONS = rf"""WITH f AS ({_SECTION_LINES}),
+m AS (SELECT *, st <> '' AND regexp_matches(st, {_sql(P.SECTION_STARTS)}) AS opens, st <> '' AND words > 15 AND special < 0.15 AND upper < 0.3 AND NOT regexp_matches(st, '^[A-Z]{{2,}}|\d+\.\d+|[:\t]') AS shuts FROM f),
+n AS (SELECT doc_id, list_reduce(list_prepend({_STARTED}, list({{'o': opens, 'c': shuts, 'held': 0, 'id': 0, 'ids': []::INT[]}} ORDER BY i)), lambda a, x: CASE
+ WHEN a.held = 0 AND x.o THEN {{'o': false, 'c': false, 'held': 1, 'id': a.id + 1, 'ids': list_append(a.ids, a.id + 1)}}
+ WHEN a.held = 0 OR a.held >= 5 AND x.c THEN {{'o': false, 'c': false, 'held': 0, 'id': a.id, 'ids': list_append(a.ids, 0)}}
+ ELSE {{'o': false, 'c': false, 'held': a.held + 1, 'id': a.id, 'ids': list_append(a.ids, a.id)}} END).ids AS ids FROM m GROUP BY doc_id),
+w AS (SELECT m.*, n.ids[m.i] AS sec FROM m JOIN n USING (doc_id)),
+c AS (SELECT doc_id, sec, count(*) AS n_lines, sum(length(line)) AS n_chars, least(1, {_SECTION_SCORE}) > 0.8 AS gone FROM w WHERE sec > 0 GROUP BY 1, 2),
+g AS (SELECT doc_id, count(*) AS n, sum(n_lines) AS l, sum(n_chars) AS c FROM c WHERE gone GROUP BY 1),
+k AS (SELECT w.doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM w LEFT JOIN c ON w.doc_id = c.doc_id AND w.sec = c.sec WHERE NOT coalesce(c.gone, false) GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(g.n, 0) AS INT) AS appendix_sections_removed, CAST(coalesce(g.l, 0) AS INT) AS appendix_lines_removed, CAST(coalesce(g.c, 0) AS INT) AS appendix_length_reduction, md5(coalesce(k.t, '')) AS digest
+FROM documents d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
+
+@query(_SECTIONS)
 def l10_l12_appendix_sections(s: SparkSession, d: str) -> DataFrame:
     return S.remove_sections(injected(s, d)).select("doc_id", "appendix_sections_removed", "appendix_lines_removed", "appendix_length_reduction", F.md5("text").alias("digest"))
 
@@ -208,12 +333,39 @@ _symbols("n10_legal", ("legal",), _nested(P.LEGAL))
 _symbols("n11_primes_ellipses", ("primes", "ellipses"), _nested(P.ELLIPSES, _nested(P.PRIMES)))
 
 
-@query()
+_TERMINATOR = r"(\r\n|[\n\r\x{85}\x{2028}\x{2029}])?$"  # where an end may stand before one that ends the text
+
+
+def _symbol_steps(only: tuple[str, ...] = ()) -> list[tuple[str, str, str]]:
+    """The symbol rules in their order as steps of _chain()."""
+    regex = lambda p, to="": (f"len(regexp_extract_all({{t}}, {_sql(_sql_pattern(p))}))", f"regexp_replace({{t}}, {_sql(_sql_pattern(p))}, {_sql(to)}, 'g')")
+    gone = lambda signs: f"length({{t}}) - length(translate({{t}}, {_sql(signs)}, ''))"
+
+    def table(t: dict[str, str]) -> tuple[str, str]:
+        return gone("".join(t)), _nested(t, "{t}")
+
+    row = P.TABULAR[1].replace(".*", r"[^\n\r\x{85}\x{2028}\x{2029}]*").removesuffix("$") + _TERMINATOR
+    steps = [("invisible", gone(P.INVISIBLE), f"translate({{t}}, {_sql(P.INVISIBLE)}, '')")]
+    steps += [(f"toc_{i}", *regex(p)) for i, p in enumerate(P.TOC)]
+    steps += [("tabular_0", *regex(P.TABULAR[0])), ("tabular_1", f"CASE WHEN regexp_matches({{t}}, {_sql(row)}) THEN 1 ELSE 0 END", f"regexp_replace({{t}}, {_sql(row)}, '\\1')")]
+    steps += [(f"dots_{i}", *regex(p, to)) for i, (p, to) in enumerate(P.DOTS)]
+    steps += [("cyrillic", gone(P.CYRILLIC[0]), f"translate({{t}}, {_sql(P.CYRILLIC[0])}, {_sql(P.CYRILLIC[1])})")]
+    steps += [(n, *table(t)) for n, t in (("dashes", dict.fromkeys(P.DASHES, "-")), ("quotes", P.QUOTES), ("bullets", dict.fromkeys(P.BULLETS, "*")), ("arrows", P.ARROWS), ("legal", P.LEGAL), ("primes", P.PRIMES), ("ellipses", P.ELLIPSES))]
+    return [x for x in steps if not only or x[0].startswith(only)]
+
+
+def _symbol_sql(only: tuple[str, ...] = (), changed: str = "") -> str:
+    steps = _symbol_steps(only)
+    total = " + ".join(f"c_{n}" for n, _, _ in steps)
+    return f"WITH {_chain(INJ, steps)} SELECT doc_id, {changed}CAST(CASE WHEN t <> text THEN {total} ELSE 0 END AS INT) AS symbol_normalizations, md5(t) AS digest FROM done"
+
+
+@query(_symbol_sql(("toc", "tabular")))
 def n2_n3_contents_and_tables(s: SparkSession, d: str) -> DataFrame:
     return N.normalize_symbols(injected(s, d), only=("toc", "tabular")).select("doc_id", "symbol_normalizations", F.md5("text").alias("digest"))
 
 
-@query()
+@query(_symbol_sql((), "t <> text AS symbol_text_changed, "))
 def n13_symbols_in_order(s: SparkSession, d: str) -> DataFrame:
     return N.normalize_symbols(injected(s, d)).select("doc_id", "symbol_text_changed", "symbol_normalizations", F.md5("text").alias("digest"))
 
@@ -224,10 +376,10 @@ _N16 = f"regexp_replace(regexp_replace({_N15}, '(^|\\.) {{2,}}([A-Z])', '\\1 \\2
 _N17 = f"regexp_replace({_N16}, '^\\s+|\\s+$', '', 'g')"
 
 
-@query(f"SELECT doc_id, md5({_N17}) AS digest, {_N17} <> text AS norm_text_changed, length(text) - length({_N17}) AS norm_length_reduction, {_N14} <> text AS spaces, {_N15} <> {_N14} AS newlines, {_N17} <> {_N16} AS strip FROM {INJ}")
+@query(f"SELECT doc_id, md5({_N17}) AS digest, {_N17} <> text AS norm_text_changed, length(text) - length({_N17}) AS norm_length_reduction, {_N14} <> text AS spaces, {_N15} <> {_N14} AS newlines, {_N16} <> {_N15} AS sentence_spacing_fixes, {_N17} <> {_N16} AS strip, CAST({_WORDS.format('text')} - {_WORDS.format(_N17)} AS INT) AS norm_word_reduction FROM {INJ}")
 def n14_n18_whitespace(s: SparkSession, d: str) -> DataFrame:
     out = N.normalize_whitespace(injected(s, d))
-    return out.select("doc_id", F.md5("text").alias("digest"), "norm_text_changed", "norm_length_reduction", F.col("norm_changes_made.spaces").alias("spaces"), F.col("norm_changes_made.newlines").alias("newlines"), F.col("norm_changes_made.strip").alias("strip"))
+    return out.select("doc_id", F.md5("text").alias("digest"), "norm_text_changed", "norm_length_reduction", F.col("norm_changes_made.spaces").alias("spaces"), F.col("norm_changes_made.newlines").alias("newlines"), F.col("norm_changes_made.sentence_spacing_fixes").alias("sentence_spacing_fixes"), F.col("norm_changes_made.strip").alias("strip"), "norm_word_reduction")
 
 
 @query(f"SELECT doc_id, length(text) - length({_N17}) AS reduction FROM {INJ} ORDER BY reduction DESC, doc_id LIMIT 20")
@@ -250,3 +402,20 @@ def clean_corpus(s: SparkSession, d: str) -> DataFrame:
     out = out.withColumns({"language_document_kept": kept, "text": F.when(kept, F.col("text")).otherwise("")})
     out = C.change_metrics(N.normalize_whitespace(N.normalize_symbols(out)), "before", "text")
     return out.filter(F.col("text").rlike(r"\S")).drop("before", "removed_lines")
+
+
+_PIPE = _chain("documents", _removals(P.ARTEFACTS | P.CITATIONS))
+_PIPE_LINES = f"(SELECT doc_id, {_STRIP} AS st, line, i FROM {_lines('done', 't')})"
+_PIPE_TEXT = _N17.replace("text", "kept")
+
+
+@query(
+    f"WITH {_PIPE}, marked AS (SELECT * FROM {_ranked(_PIPE_LINES)}), j AS (SELECT doc_id, count(reason) AS removed, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE reason IS NULL), '') AS kept FROM marked GROUP BY 1), "
+    f"n AS (SELECT doc_id, removed, {_PIPE_TEXT} AS clean FROM j) SELECT doc_id, CAST(removed AS INT) AS lines_removed, md5(clean) AS digest FROM n WHERE regexp_matches(clean, '[^ \\t\\n\\x0B\\f\\r]')"
+)
+def x13_pipeline_registry(s: SparkSession, d: str) -> DataFrame:
+    """The registry of named steps, run as a pipeline of DataFrame -> DataFrame functions."""
+    from corpusloom.plans.pipeline import run_pipeline
+
+    out = run_pipeline(t(s, d, "documents").select("doc_id", "text"), ["artefacts", "citations", "lines", "whitespace", "non_empty"])
+    return out.select("doc_id", "lines_removed", F.md5("text").alias("digest"))

@@ -99,7 +99,10 @@ def j11_full_matrix(s: SparkSession, d: str) -> DataFrame:
     return grid.join(e.groupBy("model", "subject").agg(F.round(F.avg("acc"), 6).alias("acc")), ["model", "subject"], "left")
 
 
-@query()
+_STEPS = "(SELECT DISTINCT language, CAST(publication_year AS BIGINT) AS step FROM raw_corpus WHERE publication_year IS NOT NULL)"
+
+
+@query(f"WITH RECURSIVE taken AS (SELECT language, min(step) AS step FROM {_STEPS} GROUP BY 1 UNION ALL SELECT language, step FROM (SELECT s.language, min(s.step) AS step FROM taken t JOIN {_STEPS} s ON s.language IS NOT DISTINCT FROM t.language AND s.step >= t.step + 10 GROUP BY 1)) SELECT language, step FROM taken")
 def w9_greedy_intervals(s: SparkSession, d: str) -> DataFrame:
     steps = t(s, d, "raw_corpus").select("language", F.col("publication_year").cast("long").alias("step"))
     return C.greedy_intervals(steps, "language", "step", 10)
@@ -134,9 +137,14 @@ def w15_thirds(s: SparkSession, d: str) -> DataFrame:
     return C.thirds(m, "model", "subject").groupBy("model", "third").agg(F.round(F.avg("a"), 6).alias("mean"))
 
 
-@query(f"SELECT benchmark, model, rank, round(gap, 6) AS gap FROM (SELECT benchmark, model, row_number() OVER w AS rank, score - lag(score) OVER w AS gap, count(*) OVER (PARTITION BY benchmark) AS n FROM {_M} WINDOW w AS (PARTITION BY benchmark ORDER BY score DESC NULLS LAST, model)) WHERE n > 1")
+_ROUND = f"(SELECT model, benchmark, round(score, 9) AS score FROM {_M})"
+
+
+@query(f"SELECT benchmark, model, rank, round(gap, 7) AS gap FROM (SELECT benchmark, model, row_number() OVER w AS rank, score - lag(score) OVER w AS gap, count(*) OVER (PARTITION BY benchmark) AS n FROM {_ROUND} WINDOW w AS (PARTITION BY benchmark ORDER BY score DESC NULLS LAST, model)) WHERE n > 1")
 def w19_rank_and_gap(s: SparkSession, d: str) -> DataFrame:
-    return C.ranked(by_benchmark(s, d), "benchmark", "score", "model").select("benchmark", "model", F.col("rank").cast("long").alias("rank"), F.round("gap", 6).alias("gap"))
+    """Scores are rounded first, so that averages summed in another order rank and differ alike."""
+    rounded = by_benchmark(s, d).withColumn("score", F.round("score", 9))
+    return C.ranked(rounded, "benchmark", "score", "model").select("benchmark", "model", F.col("rank").cast("long").alias("rank"), F.round("gap", 7).alias("gap"))
 
 
 def cleaned_pairs(s: SparkSession, d: str) -> DataFrame:
@@ -219,11 +227,3 @@ def x12_ids_of_tables(s: SparkSession, d: str) -> DataFrame:
     """Ids out of logged tables {columns, data}, made from the log's own rows, one table for each run and hash bucket."""
     rows = t(s, d, "cleaning_log").groupBy("run_id", F.pmod(F.xxhash64("id"), F.lit(64)).alias("b")).agg(F.collect_list(F.array(F.col("log_id").cast("string"), "id")).alias("data"))
     return C.ids_of_table(rows.select(F.to_json(F.struct(F.array(F.lit("log"), F.lit("Doc ID")).alias("columns"), "data")).alias("json")))
-
-
-@query()
-def x13_pipeline_registry(s: SparkSession, d: str) -> DataFrame:
-    """The registry of named steps, run as a pipeline of DataFrame -> DataFrame functions."""
-    from corpusloom.plans.pipeline import run_pipeline
-
-    return run_pipeline(t(s, d, "documents").select("doc_id", "text"), ["artefacts", "citations", "lines", "whitespace", "non_empty"])

@@ -36,7 +36,12 @@ def d3_windows(s: SparkSession, d: str) -> DataFrame:
     return S.windows(t(s, d, "documents"), length=128).select("id", "window_idx", "start_pos", "end_pos", F.md5("text").alias("digest"))
 
 
-@query()
+_SPREAD = f"""SELECT id || '_window_' || lpad(CAST(i AS VARCHAR), 4, '0') AS id, CAST(p AS INT) AS start_pos, CAST(least(p + 128, n) AS INT) AS end_pos FROM (
+ SELECT id, n, i, CASE WHEN k > 1 AND n - (k - 1) * 64 < 48 THEN round_even(i * (n - 128) / greatest(k - 1, 1), 0) ELSE i * 64 END AS p FROM (
+ SELECT id, n, k, unnest(range(0, k)) AS i FROM (SELECT id, len(w) AS n, CASE WHEN len(w) <= 128 THEN 1 ELSE 1 + CAST(ceil((len(w) - 128) / 64.0) AS INT) END AS k FROM {_TOK} WHERE len(w) > 0)))"""
+
+
+@query(_SPREAD)
 def d2_d3_rebalanced_windows(s: SparkSession, d: str) -> DataFrame:
     return S.windows(t(s, d, "documents"), length=128, min_last=48).select("id", "start_pos", "end_pos")
 
@@ -47,7 +52,7 @@ def f4_window_filter(s: SparkSession, d: str) -> DataFrame:
     return S.filter_windows(w, min_tokens=64, min_chars=100, max_punct=0.2).select("id", F.md5("text").alias("digest"))
 
 
-@query(f"SELECT doc_id, array_to_string(list_resize(list_transform(w[1:16], lambda x: length(x)), 16, 0), ' ') AS ids FROM {_TOK}")
+@query(f"SELECT doc_id, CAST(i AS INT) AS window_idx, CAST(i * 8 AS INT) AS start_pos, array_to_string(list_resize(list_transform(w[i * 8 + 1 : i * 8 + 16], lambda x: length(x)), 16, 0), ' ') AS ids FROM (SELECT doc_id, w, unnest(range(0, CASE WHEN len(w) <= 16 THEN 1 ELSE 1 + CAST(ceil((len(w) - 16) / 8.0) AS INT) END)) AS i FROM {_TOK} WHERE len(w) > 0)")
 def d4_padded_output(s: SparkSession, d: str) -> DataFrame:
     """Every window of a text, in steps of half its length, filled up to 16."""
     w = S.windows(t(s, d, "documents"), "doc_id", length=16)

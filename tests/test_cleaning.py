@@ -76,10 +76,40 @@ def test_captions(spark):
 
 def test_sections():
     table = "\n".join(["TABLE 1", *["ABC1 XYZ2 KLM3"] * 8])
-    assert S.remove_sections_text("prose first\n" + table) == ("prose first", 1, 9, len("TABLE 1") + 8 * 14)
-    assert S.remove_sections_text("References\nshort") == ("References\nshort", 0, 0, 0)
-    assert S.remove_sections_text("") == ("", 0, 0, 0)
+    assert S.remove_sections_text("prose first\n" + table) [:4] == ("prose first", 1, 9, len("TABLE 1") + 8 * 14)
+    assert S.remove_sections_text("References\nshort") == ("References\nshort", 0, 0, 0, [])
+    assert S.remove_sections_text("") == ("", 0, 0, 0, [])
     assert S.remove_sections_text(None)[0] is None
+    tagged, n, lines, chars, samples = S.remove_sections_text("prose first\n" + table, debug=True)
+    assert (tagged, n, lines, chars) == ("prose first\n[DEBUG:appendix_end:gene_table]", 1, 9, 0)
+    assert samples[0] | {"confidence": 1.0} == {"start_line": 1, "end_line": 10, "lines_count": 9, "total_length": 119, "section_type": "gene_table", "confidence": 1.0, "sample_lines": ["TABLE 1", "ABC1 XYZ2 KLM3", "ABC1 XYZ2 KLM3"]}
+
+
+def test_caption_tags_and_samples(spark):
+    out = L.clean_captions(texts(spark, "Figure 2.1: x\nkept\n 1 2 3", None), debug=True).orderBy("i").collect()
+    assert out[0].text == "[DEBUG:figure_line:figure_table_caption]\nkept\n[DEBUG:figure_line:numeric_table_data_3of3]"
+    assert [tuple(r) for r in out[0].removed_figure_lines] == [("Figure 2.1: x", 1, 13, "figure_table_caption"), ("1 2 3", 3, 5, "numeric_table_data_3of3")]
+    assert out[0].figure_lines_removed == 2 and out[0].figure_length_reduction == 0 and out[1].text is None
+
+
+@pytest.mark.parametrize(
+    "text,remove,reason",
+    [
+        ("X. " + "word " * 15 + "(Lee, 2019) shows it", False, "well_integrated_score_0.50"),
+        ("Start. (Lee, 2019) showed that", False, "author_as_subject_with_verb_showed"),
+        ("Start. (Lee, 2019) is", False, "author_at_sentence_start"),
+        ("word " * 20 + "see (Lee, 2019) there", True, "disruptive_reference_indicator"),
+        ("word " * 20 + "x; (Lee, 2019) there", True, "part_of_reference_list"),
+        ("word " * 20 + "research (Lee, 2019) showed it", False, "well_integrated_score_1.00"),
+        ("word " * 20 + "((Lee, 2019)) here", True, "poorly_integrated_score_0.00"),
+        ("word " * 20 + "going (Lee, 2019) and on", False, "well_integrated_score_0.70"),
+        ("word " * 20 + "x (Lee, 2019) here", False, "uncertain_keep_for_training_score_0.50"),
+    ],
+)
+def test_author_year_decisions(text, remove, reason):
+    start = text.index("(Lee")
+    got = C.author_year_decision(text, start, start + len("(Lee, 2019)"))
+    assert got[0] == remove and (got[1] == reason or "uncertain" in got[1] and reason.endswith("0.50"))
 
 
 def test_symbols_and_whitespace(spark):
