@@ -64,9 +64,9 @@ def side_by_side_rows(pairs: DataFrame, key: str, before: str, after: str) -> Da
     return source.mapInPandas(run, f"key {source.schema['key'].dataType.simpleString()}, row_no long, kind string, left_no long, right_no long, left string, right string")
 
 
-def against_baseline(scores: DataFrame, baseline: str, model: str = "model", by: str = "benchmark", score: str = "score") -> DataFrame:
-    """scores with baseline_score, delta and percent; percent is null where the baseline is null or not above 0."""
-    base = scores.filter(F.col(model) == baseline).groupBy(by).agg(F.max(score).alias("baseline_score"))
+def against_baseline(scores: DataFrame, baseline: DataFrame, model: str = "model", by: str = "benchmark", score: str = "score") -> DataFrame:
+    """scores with baseline_score, delta and percent; percent is null where the baseline is null or not above 0. baseline: one row, the model's name."""
+    base = scores.join(F.broadcast(baseline.toDF(model)), model, "left_semi").groupBy(by).agg(F.max(score).alias("baseline_score"))
     out = scores.join(base, by, "left").withColumn("delta", F.col(score) - F.col("baseline_score"))
     return out.withColumn("percent", F.when(F.col("baseline_score") > 0, F.col("delta") / F.col("baseline_score") * 100))
 
@@ -93,10 +93,14 @@ def thirds(df: DataFrame, group: str, order: str) -> DataFrame:
 
 
 def greedy_intervals(df: DataFrame, group: str, step: str, interval: int) -> DataFrame:
-    """(group, step): from each group's ordered steps those at least `interval` after the last one taken, the first included."""
+    """(group, step): from each group's ordered steps those at least `interval` after the last one taken, the first included.
+
+    Steps are made distinct before the shuffle; a group's array holds its different steps, not its rows.
+    """
+    df = df.filter(F.col(step).isNotNull()).select(group, F.col(step).cast("bigint").alias(step)).distinct()
     empty = F.array().cast("array<bigint>")
-    taken = F.aggregate(F.sort_array(F.collect_set(F.col(step).cast("bigint"))), empty, lambda a, x: F.when((F.size(a) == 0) | (x - F.element_at(a, -1) >= interval), F.concat(a, F.array(x))).otherwise(a))
-    return df.filter(F.col(step).isNotNull()).groupBy(group).agg(taken.alias("t")).select(group, F.explode("t").alias(step))
+    taken = F.aggregate(F.sort_array(F.collect_list(step)), empty, lambda a, x: F.when((F.size(a) == 0) | (x - F.element_at(a, -1) >= interval), F.concat(a, F.array(x))).otherwise(a))
+    return df.groupBy(group).agg(taken.alias("t")).select(group, F.explode("t").alias(step))
 
 
 def parse_results(df: DataFrame, column: str = "json") -> DataFrame:
@@ -122,6 +126,15 @@ def parse_model_name(name: Column) -> dict[str, Column]:
     }
 
 
+def parse_path(path: Column) -> dict[str, Column]:
+    """run_type and step from a result file's path. Types by the first of their marks in any case; steps as step-N, Nk (in
+    thousands) or a number of whole thousands, else 0."""
+    low = F.lower(path)
+    number = lambda pattern: F.nullif(F.regexp_extract(path, pattern, 1), F.lit("")).try_cast("bigint")
+    kind = F.when(low.contains("baseline") | low.contains("t5_base"), "baseline").when(low.contains("clean_restart"), "clean_restart").when(low.contains("green"), "green_run").otherwise("unknown")
+    return {"run_type": kind, "step": F.coalesce(number(r"step-(\d+)"), number(r"(\d+)k") * 1000, number(r"(\d+)000") * 1000, F.lit(0).cast("bigint"))}
+
+
 def ids_of_table(df: DataFrame, column: str = "json", header: str = "Doc ID") -> DataFrame:
     """(doc_id): distinct values of a column of logged tables {columns: [...], data: [[...]]}."""
     t = df.select(F.from_json(column, "columns ARRAY<STRING>, data ARRAY<ARRAY<STRING>>").alias("t")).select("t.*", F.array_position("t.columns", header).cast("int").alias("at")).filter("at > 0")

@@ -77,9 +77,64 @@ def top_k(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataF
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("_r") <= k).drop("_r")
 
 
+def exact_percentiles(df: DataFrame, value: str, shares: dict[str, float], by: list[str] | None = None, cells: int = 4096) -> DataFrame:
+    """(by, one column for each share): exact percentiles, between two values in proportion, as percentile() gives them.
+
+    Equal values are counted first. Approximate quantiles cut the range of a group into cells; a percentile's two
+    neighbours are found by counts of cells, then by running counts within their cells alone, so no task gets all
+    different values of a group. Groups without values have no row.
+    """
+    by = by or []
+    named = [f"_g{i}" for i in range(len(by))]
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*[F.col(c).alias(n) for c, n in zip(by, named, strict=True)], F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    ends = counts.groupBy(*named).agg(F.percentile_approx("_v", [i / cells for i in range(1, cells)], cells * 4).alias("_cuts"), F.sum("_n").alias("_total"))
+    a, e = counts.alias("a"), ends.alias("e")
+    # The number of cuts below a value is its cell; cells rise with the values.
+    placed = a.join(F.broadcast(e), reduce(lambda x, y: x & y, [F.col(f"a.{n}").eqNullSafe(F.col(f"e.{n}")) for n in named], F.lit(True))).select(*[F.col(f"a.{n}").alias(n) for n in named], "_v", "_n", "_total", F.expr("CAST(array_size(filter(_cuts, c -> c < _v)) AS INT)").alias("_cell"))
+    cell = placed.groupBy(*named, "_cell").agg(F.sum("_n").alias("_in"))
+    before = cell.select(*named, "_cell", F.coalesce(F.sum("_in").over(Window.partitionBy(*named).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    p, b = placed.alias("p"), before.alias("b")
+    both = p.join(b, reduce(lambda x, y: x & y, [F.col(f"p.{n}").eqNullSafe(F.col(f"b.{n}")) for n in named], F.col("p._cell") == F.col("b._cell"))).select(*[F.col(f"p.{n}").alias(n) for n in named], "_v", "_n", "_total", "p._cell", "_before")
+    run = both.withColumn("_upto", F.col("_before") + F.sum("_n").over(Window.partitionBy(*named, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    out = []
+    for name, share in shares.items():
+        at = F.lit(share) * (F.col("_total") - 1)
+        low = F.min(F.when(F.col("_upto") > F.floor(at), F.col("_v")))
+        high = F.min(F.when(F.col("_upto") > F.ceil(at), F.col("_v")))
+        out.append((low + (high - low) * (F.max(at) - F.floor(F.max(at)))).alias(name))
+    return run.groupBy(*named).agg(*out).select(*[F.col(n).alias(c) for c, n in zip(by, named, strict=True)], *shares)
+
+
+def three_digits(score: Column) -> Column:
+    """A number from 0 to below 2 with three decimals, rounded by its exact binary value, ties to even (as C does; Java rounds the shortest decimal)."""
+    whole = F.lit(2**62).cast("decimal(20,0)")
+    scaled = (score * float(2**62)).cast("bigint").cast("decimal(20,0)") * F.lit(1000).cast("decimal(4,0)")
+    down = F.floor(scaled / whole).cast("decimal(4,0)")
+    down = F.when(down * whole > scaled, down - 1).otherwise(down).cast("decimal(4,0)")
+    rest = (scaled - down * whole) * 2
+    k = (down + F.when((rest > whole) | (rest == whole) & (down % 2 == 1), 1).otherwise(0)).cast("int")
+    return F.concat(F.floor(k / 1000).cast("string"), F.lit("."), F.lpad((k % 1000).cast("string"), 3, "0"))
+
+
+def language_threshold(df: DataFrame, text: str = "text", score: str = "fasttext_en", least: float = 0.75) -> DataFrame:
+    """df with the text of documents below the score blanked, and language_document_kept, fasttext_score_used, language_length_reduction, language_reason; a null score counts as 1."""
+    s = F.coalesce(F.col(score), F.lit(1.0))
+    keep = s >= least
+    added = {"language_document_kept": keep, "fasttext_score_used": s, "language_length_reduction": F.when(keep, 0).otherwise(F.coalesce(F.length(text), F.lit(0))), "language_reason": F.when(~keep, F.concat(F.lit("low_fasttext_en_score_"), three_digits(s)))}
+    return df.withColumns(added).withColumn(text, F.when(F.col("language_document_kept"), F.col(text)).otherwise(""))
+
+
+def recover_band(df: DataFrame, score: str = "fasttext_en", new: float = 0.7, old: float = 0.75) -> tuple[DataFrame, DataFrame]:
+    """(documents whose score lies in [new, old), marked as recovered with a reason; one row of counts: docs, recovered, too_high, too_low)."""
+    s = F.coalesce(F.col(score), F.lit(1.0))
+    within = (s >= new) & (s < old)
+    marks = {"recovered_by_fasttext": F.lit(True), "recovery_reason": F.concat(F.lit("fasttext_score_"), three_digits(s), F.lit(f"_between_{new}_and_{old}")), "original_fasttext_score": s}
+    return df.filter(within).withColumns(marks), df.agg(F.count(F.lit(1)).alias("docs"), F.count_if(within).alias("recovered"), F.count_if(s >= old).alias("too_high"), F.count_if(s < new).alias("too_low"))
+
+
 def iqr_outliers(df: DataFrame, value: str, k: float = 1.5) -> DataFrame:
-    """(q1, q3, lower, upper, outliers, total): one pass for the quartiles, one for the counts."""
-    q = df.agg(F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.75).alias("q3"))
+    """(q1, q3, lower, upper, outliers, total): quartiles first, then one pass for the counts."""
+    q = exact_percentiles(df, value, {"q1": 0.25, "q3": 0.75})
     b = q.withColumns({"lower": F.col("q1") - k * (F.col("q3") - F.col("q1")), "upper": F.col("q3") + k * (F.col("q3") - F.col("q1"))})
     return df.select(value).crossJoin(F.broadcast(b)).groupBy("q1", "q3", "lower", "upper").agg(F.count_if((F.col(value) < F.col("lower")) | (F.col(value) > F.col("upper"))).alias("outliers"), F.count(value).alias("total"))
 

@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PUNCTUATION = r"[!-/:-@\[-`{-~]"
 # English words that carry no content.
 STOP_WORDS = "a an and are as at be by for from has he in is it its of on that the to was were will with".split()
 
@@ -16,6 +15,15 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+_SPACE, _DIGITS, _UPPER = " \t\n\x0b\f\r", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+
+
+def _signs(text: Column, signs: str) -> Column:
+    """How many characters of text are among the signs, without a regular expression."""
+    return F.length(text) - F.length(F.translate(text, signs, ""))
+
+
 def _mean(a: Column) -> Column:
     return F.when(F.size(a) > 0, F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x)) / F.size(a)).otherwise(0.0)
 
@@ -28,11 +36,11 @@ def doc_stats(text: Column) -> dict[str, Column]:
     n = F.greatest(F.length(text), F.lit(1))
     return {
         "length": F.length(text).cast("double"),
-        "white_space_ratio": _count(text, r"\s") / n,
-        "digit_ratio": _count(text, "[0-9]") / n,
-        "uppercase_ratio": _count(text, "[A-Z]") / n,
-        "punctuation_ratio": _count(text, PUNCTUATION) / n,
-        "non_alpha_digit_ratio": _count(text, "[^A-Za-z0-9]") / n,
+        "white_space_ratio": _signs(text, _SPACE) / n,
+        "digit_ratio": _signs(text, _DIGITS) / n,
+        "uppercase_ratio": _signs(text, _UPPER) / n,
+        "punctuation_ratio": _signs(text, _PUNCTUATION) / n,
+        "non_alpha_digit_ratio": (F.length(text) - _signs(text, _UPPER + _UPPER.lower() + _DIGITS)) / n,
         "elipsis_ratio": _count(text, r"\.\.\.|…") / n,
     }
 
@@ -92,21 +100,28 @@ def word_stats(text: Column) -> dict[str, Column]:
 def window_quality(text: Column) -> dict[str, Column]:
     """Ratios for windows: capitals among letters, punctuation and others among all characters."""
     n = F.greatest(F.length(text), F.lit(1))
-    letters = _count(text, "[A-Za-z]")
-    return {"length": n, "punct_ratio": _count(text, PUNCTUATION) / n, "non_alnum_ratio": _count(text, r"[^A-Za-z0-9\s]") / n, "uppercase_ratio": F.when(letters > 0, _count(text, "[A-Z]") / letters).otherwise(0.0)}
+    letters = _signs(text, _UPPER + _UPPER.lower())
+    others = F.length(text) - _signs(text, _UPPER + _UPPER.lower() + _DIGITS + _SPACE)
+    return {"length": n, "punct_ratio": _signs(text, _PUNCTUATION) / n, "non_alnum_ratio": others / n, "uppercase_ratio": F.when(letters > 0, _signs(text, _UPPER) / letters).otherwise(0.0)}
 
 
 GROUPS = {"doc": doc_stats, "line": line_stats, "paragraph": paragraph_stats, "sentence": sentence_stats, "word": word_stats}
 
 
+def _metrics_of(group: str, text: str) -> dict[str, Column]:
+    """The metrics of a group; null for a null text."""
+    c = F.col(text)
+    return {n: F.when(c.isNotNull(), m) for n, m in GROUPS[group](c).items()}
+
+
 def with_stats(df: DataFrame, text: str = "text", groups: tuple[str, ...] = ("doc", "line", "paragraph")) -> DataFrame:
     """df with the metrics of the groups as columns: enrichment. Null texts get nulls."""
-    return df.withColumns(reduce(lambda a, g: a | GROUPS[g](F.col(text)), groups, {}))
+    return df.withColumns(reduce(lambda a, g: a | _metrics_of(g, text), groups, {}))
 
 
 def long_metrics(df: DataFrame, key: list[str], groups: tuple[str, ...] = ("doc", "line", "paragraph"), text: str = "text") -> DataFrame:
     """(key, stat_type, metric, value): one pass over the texts; nulls are left out."""
-    entries = [F.struct(F.lit(g).alias("stat_type"), F.lit(m).alias("metric"), c.cast("double").alias("value")) for g in groups for m, c in GROUPS[g](F.col(text)).items()]
+    entries = [F.struct(F.lit(g).alias("stat_type"), F.lit(m).alias("metric"), c.cast("double").alias("value")) for g in groups for m, c in _metrics_of(g, text).items()]
     return df.select(*key, F.explode(F.array(*entries)).alias("m")).select(*key, "m.*").filter("value IS NOT NULL")
 
 

@@ -9,6 +9,7 @@ from corpusloom.operators import compare as C
 from corpusloom.operators import normalize as N
 from corpusloom.plans.registry import query
 from corpusloom.runtime import table as t
+from corpusloom.sources import io
 
 _E = "(SELECT DISTINCT model, language, subject, acc, acc_stderr, source_file FROM eval_subtasks)"
 _M = f"(SELECT model, language AS benchmark, avg(acc) AS score FROM {_E} GROUP BY 1, 2)"
@@ -57,7 +58,7 @@ _BASE = f"(SELECT benchmark, score AS b FROM {_M} WHERE model = (SELECT min(mode
 
 @query(f"SELECT model, benchmark, round(score - b, 10) AS delta, round(CASE WHEN b > 0 THEN (score - b) / b * 100 END, 8) AS percent FROM {_M} LEFT JOIN {_BASE} USING (benchmark)")
 def j6_baseline(s: SparkSession, d: str) -> DataFrame:
-    first = t(s, d, "eval_subtasks").agg(F.min("model")).first()[0]
+    first = t(s, d, "eval_subtasks").agg(F.min("model"))
     return C.against_baseline(by_benchmark(s, d), first).select("model", "benchmark", F.round("delta", 10).alias("delta"), F.round("percent", 8).alias("percent"))
 
 
@@ -67,7 +68,7 @@ _SUBJ = f"(SELECT model, subject, avg(acc) AS a FROM {_E} GROUP BY 1, 2)"
 @query(f"SELECT x.model, x.subject, round((x.a - y.a) / y.a * 100, 4) AS improvement FROM {_SUBJ} x JOIN {_SUBJ} y ON x.subject = y.subject AND y.model = (SELECT min(model) FROM eval_subtasks) WHERE y.a <> 0 AND x.a IS NOT NULL")
 def j7_subject_improvement(s: SparkSession, d: str) -> DataFrame:
     m = scores(s, d).groupBy("model", "subject").agg(F.avg("acc").alias("score"))
-    first = t(s, d, "eval_subtasks").agg(F.min("model")).first()[0]
+    first = t(s, d, "eval_subtasks").agg(F.min("model"))
     out = C.against_baseline(m, first, by="subject").filter("baseline_score <> 0 AND score IS NOT NULL")
     return out.select("model", "subject", F.round("percent", 4).alias("improvement"))
 
@@ -114,10 +115,11 @@ def w10_rank_nulls_last(s: SparkSession, d: str) -> DataFrame:
     return by_benchmark(s, d).select("benchmark", "model", F.row_number().over(w).cast("long").alias("rank"))
 
 
-_LANGS = ("en", "de")
+_LANGS = ("en", "de", "fr", "es", "pt", "it", "ru", "zh", "ja", "hi")
+_BY_LANG = ", ".join(f"round(avg(acc) FILTER (WHERE lower(language) = '{x}'), {{0}}) AS {x}" for x in _LANGS)
 
 
-@query(f"SELECT subject, round(avg(acc) FILTER (WHERE lower(language) = 'en'), 6) AS en, round(avg(acc) FILTER (WHERE lower(language) = 'de'), 6) AS de, round(avg(acc), 6) AS row_mean FROM {_E} GROUP BY 1")
+@query(f"SELECT subject, {_BY_LANG.format(6)}, round(avg(acc), 6) AS row_mean FROM {_E} GROUP BY 1")
 def w13_matrix(s: SparkSession, d: str) -> DataFrame:
     e = scores(s, d).withColumn("l", F.lower("language"))
     return e.groupBy("subject").agg(*[F.round(F.avg(F.when(F.col("l") == x, F.col("acc"))), 6).alias(x) for x in _LANGS], F.round(F.avg("acc"), 6).alias("row_mean"))
@@ -200,10 +202,12 @@ def x7_x10_subtasks(s: SparkSession, d: str) -> DataFrame:
     return C.parse_results(as_json(s, d)).filter("metric = 'acc,none' AND length(task) > 8").select("model", "task", F.round("value", 6).alias("value"))
 
 
-@query(f"SELECT model, round(avg(acc) FILTER (WHERE lower(language) = 'en'), 10) AS en, round(avg(acc) FILTER (WHERE lower(language) = 'de'), 10) AS de FROM {_E} GROUP BY 1")
+@query(f"SELECT model, {_BY_LANG.format(10)} FROM {_E} GROUP BY 1")
 def x8_wide_export(s: SparkSession, d: str) -> DataFrame:
-    p = scores(s, d).withColumn("l", F.lower("language")).groupBy("model").pivot("l", list(_LANGS)).agg(F.avg("acc"))
-    return p.select("model", *[F.round(x, 10).alias(x) for x in _LANGS])
+    """One row for each model with a column for each language, written as CSV and read back."""
+    wide = scores(s, d).withColumn("l", F.lower("language")).groupBy("model").pivot("l", list(_LANGS)).agg(F.avg("acc"))
+    columns = wide.select("model", *[F.round(x, 10).alias(x) for x in _LANGS])
+    return io.csv_round_trip(columns, ["model"], digits=10)
 
 
 _NAMES = "(SELECT DISTINCT 'run-' || length(model) || '/clean/' || model || '/step-' || (length(model) * 1000) || '_ppl-12.5' AS name FROM eval_subtasks)"
@@ -216,6 +220,19 @@ def x9_model_names(s: SparkSession, d: str) -> DataFrame:
     return names.select(F.col("_name").alias("name"), *[c.alias(k) for k, c in C.parse_model_name(F.col("_name")).items()])
 
 
+_PATHS = "(SELECT DISTINCT 'results/' || CASE length(model || subject) % 5 WHEN 0 THEN 'Baseline/step-' || length(subject) WHEN 1 THEN 'green_v' || length(model) || '/' || length(subject) || 'k_mmlu' WHEN 2 THEN 'clean_restart/checkpoint-' || length(subject) || '000' WHEN 3 THEN 't5_base/final' ELSE 'kept/' || 'step-' || (length(subject) * 7) END || '.json' AS path FROM eval_subtasks)"
+
+
+@query(f"SELECT path, CASE WHEN contains(lower(path), 'baseline') OR contains(lower(path), 't5_base') THEN 'baseline' WHEN contains(lower(path), 'clean_restart') THEN 'clean_restart' WHEN contains(lower(path), 'green') THEN 'green_run' ELSE 'unknown' END AS run_type, coalesce(TRY_CAST(nullif(regexp_extract(path, 'step-(\\d+)', 1), '') AS BIGINT), TRY_CAST(nullif(regexp_extract(path, '(\\d+)k', 1), '') AS BIGINT) * 1000, TRY_CAST(nullif(regexp_extract(path, '(\\d+)000', 1), '') AS BIGINT) * 1000, 0) AS step FROM {_PATHS}")
+def x9b_paths(s: SparkSession, d: str) -> DataFrame:
+    """Steps and run types from paths of five shapes."""
+    n, m = F.length("subject").cast("string"), F.length("model").cast("string")
+    shape = F.length(F.concat("model", "subject")) % 5
+    named = F.when(shape == 0, F.concat(F.lit("Baseline/step-"), n)).when(shape == 1, F.concat(F.lit("green_v"), m, F.lit("/"), n, F.lit("k_mmlu"))).when(shape == 2, F.concat(F.lit("clean_restart/checkpoint-"), n, F.lit("000"))).when(shape == 3, F.lit("t5_base/final"))
+    paths = t(s, d, "eval_subtasks").select(F.concat(F.lit("results/"), named.otherwise(F.concat(F.lit("kept/step-"), F.length("subject") * 7)), F.lit(".json")).alias("path")).distinct()
+    return paths.select("path", *[c.alias(k) for k, c in C.parse_path(F.col("path")).items()])
+
+
 @query(f"SELECT model, count(*) AS results, round(max(acc), 6) AS best, max_by(subject, struct_pack(a := acc, s := subject)) AS best_subject FROM {_ACC} GROUP BY 1")
 def x11_run_report(s: SparkSession, d: str) -> DataFrame:
     a = scores(s, d).filter("acc IS NOT NULL").groupBy("model", "subject").agg(F.avg("acc").alias("acc"))
@@ -224,6 +241,6 @@ def x11_run_report(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT id AS doc_id FROM cleaning_log WHERE id IS NOT NULL")
 def x12_ids_of_tables(s: SparkSession, d: str) -> DataFrame:
-    """Ids out of logged tables {columns, data}, made from the log's own rows, one table for each run and hash bucket."""
-    rows = t(s, d, "cleaning_log").groupBy("run_id", F.pmod(F.xxhash64("id"), F.lit(64)).alias("b")).agg(F.collect_list(F.array(F.col("log_id").cast("string"), "id")).alias("data"))
+    """Ids out of logged tables {columns, data}, made from the log's own rows, one table for each run and thousand log rows."""
+    rows = t(s, d, "cleaning_log").groupBy("run_id", F.floor(F.col("log_id") / 1000).alias("b")).agg(F.collect_list(F.array(F.col("log_id").cast("string"), "id")).alias("data"))
     return C.ids_of_table(rows.select(F.to_json(F.struct(F.array(F.lit("log"), F.lit("Doc ID")).alias("columns"), "data")).alias("json")))

@@ -25,7 +25,10 @@ def io2_limit_per_shard(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT CASE WHEN coalesce(regexp_matches(text, '\\S'), false) THEN 'kept' ELSE 'rejected' END AS sink, count(*) AS n FROM documents GROUP BY 1")
 def io4_rejected_sink(s: SparkSession, d: str) -> DataFrame:
-    return t(s, d, "documents").groupBy(F.when(F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)), "kept").otherwise("rejected").alias("sink")).agg(F.count(F.lit(1)).alias("n"))
+    """Both sinks are written, then read back and counted."""
+    kept, rejected = io.write_split_temp(t(s, d, "documents"), r"text RLIKE '\\S'")
+    count = lambda df, sink: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(sink).alias("sink"), "n")
+    return count(kept, "kept").unionByName(count(rejected, "rejected"))
 
 
 @query("SELECT count(*) AS n, sum(length(text)) AS chars FROM documents")
@@ -50,7 +53,12 @@ def io13_validate(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT count(*) AS docs_processed, count(*) FILTER (WHERE text IS NULL OR trim(text) = '') AS docs_empty, coalesce(sum(length(text)), 0) AS chars FROM documents")
 def io16_counters(s: SparkSession, d: str) -> DataFrame:
-    return t(s, d, "documents").agg(F.count(F.lit(1)).alias("docs_processed"), F.count_if(F.col("text").isNull() | (F.trim("text") == "")).alias("docs_empty"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
+    """Counters that a pass over the documents fills on its way, without a job of their own."""
+    empty = F.col("text").isNull() | (F.trim("text") == "")
+    seen, counters = io.observed(t(s, d, "documents"), "counters", docs_processed=F.count(F.lit(1)), docs_empty=F.count_if(empty), chars=F.coalesce(F.sum(F.length("text")), F.lit(0)))
+    seen.write.format("noop").mode("overwrite").save()
+    c = counters.get
+    return s.createDataFrame([(c["docs_processed"], c["docs_empty"], c["chars"])], "docs_processed long, docs_empty long, chars long")
 
 
 @query("SELECT doc_id FROM documents WHERE regexp_matches(text, '\\S')")
@@ -58,16 +66,22 @@ def f1_non_empty(s: SparkSession, d: str) -> DataFrame:
     return t(s, d, "documents").filter(F.col("text").rlike(r"\S")).select("doc_id")
 
 
-@query("SELECT doc_id, coalesce(fasttext_en, 1.0) >= 0.75 AS kept, CASE WHEN coalesce(fasttext_en, 1.0) >= 0.75 THEN 0 ELSE length(text) END AS length_reduction, CASE WHEN coalesce(fasttext_en, 1.0) < 0.75 THEN 'low_fasttext_en_score' END AS reason FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, coalesce(fasttext_en, 1.0) >= 0.75 AS language_document_kept, coalesce(fasttext_en, 1.0) AS fasttext_score_used, CASE WHEN coalesce(fasttext_en, 1.0) >= 0.75 THEN 0 ELSE coalesce(length(text), 0) END AS language_length_reduction, CASE WHEN coalesce(fasttext_en, 1.0) < 0.75 THEN printf('low_fasttext_en_score_%.3f', coalesce(fasttext_en, 1.0)) END AS language_reason, md5(CASE WHEN coalesce(fasttext_en, 1.0) >= 0.75 THEN text ELSE '' END) AS digest FROM documents")
 def f2_language_threshold(s: SparkSession, d: str) -> DataFrame:
-    keep = F.coalesce("fasttext_en", F.lit(1.0)) >= 0.75
-    return t(s, d, "documents").filter("text IS NOT NULL").select("doc_id", keep.alias("kept"), F.when(keep, 0).otherwise(F.length("text")).alias("length_reduction"), F.when(~keep, "low_fasttext_en_score").alias("reason"))
+    return P.language_threshold(t(s, d, "documents")).select("doc_id", "language_document_kept", "fasttext_score_used", "language_length_reduction", "language_reason", F.md5("text").alias("digest"))
 
 
-@query("SELECT doc_id, true AS recovered_by_fasttext, fasttext_en AS original_fasttext_score FROM documents WHERE coalesce(fasttext_en, 1.0) >= 0.70 AND coalesce(fasttext_en, 1.0) < 0.75")
+_BAND = "coalesce(fasttext_en, 1.0) >= 0.70 AND coalesce(fasttext_en, 1.0) < 0.75"
+
+
+@query(f"SELECT doc_id, true AS recovered_by_fasttext, printf('fasttext_score_%.3f_between_0.7_and_0.75', coalesce(fasttext_en, 1.0)) AS recovery_reason, coalesce(fasttext_en, 1.0) AS original_fasttext_score FROM documents WHERE {_BAND}")
 def f3_score_band(s: SparkSession, d: str) -> DataFrame:
-    sc = F.coalesce("fasttext_en", F.lit(1.0))
-    return t(s, d, "documents").filter((sc >= 0.70) & (sc < 0.75)).select("doc_id", F.lit(True).alias("recovered_by_fasttext"), F.col("fasttext_en").alias("original_fasttext_score"))
+    return P.recover_band(t(s, d, "documents"))[0].select("doc_id", "recovered_by_fasttext", "recovery_reason", "original_fasttext_score")
+
+
+@query(f"SELECT count(*) AS docs, count(*) FILTER (WHERE {_BAND}) AS recovered, count(*) FILTER (WHERE coalesce(fasttext_en, 1.0) >= 0.75) AS too_high, count(*) FILTER (WHERE coalesce(fasttext_en, 1.0) < 0.70) AS too_low FROM documents")
+def f3_recovery_counts(s: SparkSession, d: str) -> DataFrame:
+    return P.recover_band(t(s, d, "documents"))[1]
 
 
 @query("SELECT row_id FROM raw_corpus WHERE title IS NOT NULL AND trim(title) <> ''")
@@ -107,9 +121,12 @@ def f10_in_list(s: SparkSession, d: str) -> DataFrame:
     return listed.filter("hit OR title = 'Introduction'").select("row_id", "source_zip_content_path")
 
 
-@query("SELECT id FROM documents WHERE contains(lower(id), 'x00001') ORDER BY id LIMIT 20")
+@query("SELECT id FROM documents WHERE contains(lower(id), lower((SELECT right(max(id), 2) FROM documents))) ORDER BY id LIMIT 20")
 def f11_id_search(s: SparkSession, d: str) -> DataFrame:
-    return t(s, d, "documents").filter(F.contains(F.lower("id"), F.lit("x00001"))).select("id").orderBy("id").limit(20)
+    """The first 20 ids that hold a term in any case; the term is the end of the last id."""
+    docs = t(s, d, "documents").select("id")
+    term = F.broadcast(docs.agg(F.lower(F.substring(F.max("id"), -2, 2)).alias("term")))
+    return docs.join(term, F.contains(F.lower("id"), F.col("term"))).select("id").orderBy("id").limit(20)
 
 
 @query("SELECT row_id FROM raw_corpus WHERE lower(replace(id, ' ', '')) = (SELECT lower(min(id)) FROM documents)")
@@ -138,9 +155,9 @@ def a3_group_count(s: SparkSession, d: str) -> DataFrame:
     return t(s, d, "raw_corpus").groupBy("publisher").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doi, count(*) AS n FROM raw_corpus WHERE doi IS NOT NULL AND trim(doi) <> '' GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT id, count(*) AS n FROM raw_corpus WHERE id IS NOT NULL AND trim(id) <> '' GROUP BY 1 HAVING count(*) > 1")
 def a4_duplicates(s: SparkSession, d: str) -> DataFrame:
-    return P.duplicates(t(s, d, "raw_corpus"), ["doi"])
+    return P.duplicates(t(s, d, "raw_corpus"), ["id"])
 
 
 @query("SELECT count(DISTINCT id) AS ids, count(DISTINCT publisher) AS publishers FROM raw_corpus")
@@ -153,22 +170,27 @@ def a6_distinct(s: SparkSession, d: str) -> DataFrame:
     return t(s, d, "raw_corpus").select("language", "journal").distinct()
 
 
-@query("SELECT round(quantile_cont(v, 0), 6) AS q0, round(quantile_cont(v, 0.25), 6) AS q25, round(quantile_cont(v, 0.5), 6) AS q50, round(quantile_cont(v, 0.75), 6) AS q75, round(quantile_cont(v, 1), 6) AS q100 FROM (SELECT TRY_CAST(language_score AS DOUBLE) AS v FROM raw_corpus) WHERE v IS NOT NULL")
+@query("SELECT min(v) AS q0, max(v) AS q100, true AS q25_near, true AS q50_near, true AS q75_near FROM (SELECT TRY_CAST(language_score AS DOUBLE) AS v FROM raw_corpus) WHERE v IS NOT NULL")
 def a7_quantiles(s: SparkSession, d: str) -> DataFrame:
-    v = t(s, d, "raw_corpus").select(F.expr("try_cast(language_score AS DOUBLE)").alias("v"))
-    return v.agg(*[F.round(F.percentile("v", p), 6).alias(n) for n, p in (("q0", 0.0), ("q25", 0.25), ("q50", 0.5), ("q75", 0.75), ("q100", 1.0))])
+    """Approximate quantiles from mergeable sketches; each must lie within a thousandth of its rank."""
+    v = t(s, d, "raw_corpus").select(F.expr("try_cast(language_score AS DOUBLE)").alias("v")).filter("v IS NOT NULL")
+    q = v.agg(F.min("v").alias("q0"), F.percentile_approx("v", [0.25, 0.5, 0.75], 10_000).alias("q"), F.max("v").alias("q100"))
+    ranks = v.join(F.broadcast(q)).groupBy("q0", "q100").agg(*[(F.count_if(F.col("v") < F.col("q")[i]) <= F.count("v") * (p + 0.001)).alias(f"lo{i}") for i, p in enumerate((0.25, 0.5, 0.75))], *[(F.count_if(F.col("v") <= F.col("q")[i]) >= F.count("v") * (p - 0.001)).alias(f"hi{i}") for i, p in enumerate((0.25, 0.5, 0.75))])
+    return ranks.select("q0", "q100", *[(F.col(f"lo{i}") & F.col(f"hi{i}")).alias(f"q{p}_near") for i, p in enumerate((25, 50, 75))])
 
 
 @query("SELECT source, round(quantile_cont(length(text), 0.25), 4) AS p25, round(quantile_cont(length(text), 0.5), 4) AS p50, round(quantile_cont(length(text), 0.75), 4) AS p75, round(quantile_cont(length(text), 0.95), 4) AS p95, min(length(text)) AS lo, max(length(text)) AS hi, round(avg(length(text)), 4) AS mean FROM documents GROUP BY 1")
 def a8_percentiles(s: SparkSession, d: str) -> DataFrame:
-    n = F.length("text")
-    return t(s, d, "documents").groupBy("source").agg(*[F.round(F.percentile(n, p / 100), 4).alias(f"p{p}") for p in (25, 50, 75, 95)], F.min(n).alias("lo"), F.max(n).alias("hi"), F.round(F.avg(n), 4).alias("mean"))
+    docs = t(s, d, "documents").select("source", F.length("text").alias("n"))
+    p = P.exact_percentiles(docs, "n", {f"p{p}": p / 100 for p in (25, 50, 75, 95)}, ["source"])
+    ends = docs.groupBy("source").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.round(F.avg("n"), 4).alias("mean"))
+    return ends.join(p, ends["source"].eqNullSafe(p["source"]), "left").select(ends["source"], *[F.round(f"p{x}", 4).alias(f"p{x}") for x in (25, 50, 75, 95)], "lo", "hi", "mean")
 
 
 @query("WITH c AS (SELECT quantile_cont(length(text), 0.95) AS cap FROM documents) SELECT count(*) FILTER (WHERE length(text) <= cap) AS kept, round(100.0 * count(*) FILTER (WHERE length(text) > cap) / count(text), 4) AS outlier_percent FROM documents, c")
 def a9_capped(s: SparkSession, d: str) -> DataFrame:
     docs = t(s, d, "documents").select(F.length("text").alias("n"))
-    cap = docs.agg(F.percentile("n", 0.95).alias("cap"))
+    cap = P.exact_percentiles(docs, "n", {"cap": 0.95})
     return docs.crossJoin(F.broadcast(cap)).agg(F.count_if(F.col("n") <= F.col("cap")).alias("kept"), F.round(F.count_if(F.col("n") > F.col("cap")) * 100.0 / F.count("n"), 4).alias("outlier_percent"))
 
 
@@ -323,10 +345,13 @@ def w11_multi_sort(s: SparkSession, d: str) -> DataFrame:
     return t(s, d, "documents").select("doc_id", "source", "subject_area").orderBy(F.desc("source"), F.asc_nulls_last("subject_area"), "doc_id")
 
 
-@query("SELECT source, count(*) FILTER (WHERE lang = 'en') AS en, count(*) FILTER (WHERE lang = 'de') AS de, count(*) FILTER (WHERE lang = 'fr') AS fr FROM documents GROUP BY 1")
+LANGUAGES = ["en", "de", "fr", "es", "pt", "it", "ru", "zh", "ja", "hi"]
+
+
+@query("SELECT source, " + ", ".join(f"count(*) FILTER (WHERE lang = '{x}') AS {x}" for x in LANGUAGES) + " FROM documents GROUP BY 1")
 def w12_pivot(s: SparkSession, d: str) -> DataFrame:
-    p = t(s, d, "documents").groupBy("source").pivot("lang", ["en", "de", "fr"]).agg(F.count(F.lit(1)))
-    return p.fillna(0, ["en", "de", "fr"])
+    p = t(s, d, "documents").groupBy("source").pivot("lang", LANGUAGES).agg(F.count(F.lit(1)))
+    return p.fillna(0, LANGUAGES)
 
 
 @query("SELECT stage, stat_type, metric, shard, bucket, n FROM (SELECT *, row_number() OVER (PARTITION BY stage, stat_type, metric ORDER BY bucket, shard, n) AS r FROM metric_buckets WHERE bucket IS NOT NULL) WHERE (r - 1) % 10 = 0")

@@ -88,9 +88,15 @@ def t5_t8_score_columns(s: SparkSession, d: str) -> DataFrame:
 _S = "list_filter(string_split_regex(text, '[.!?]+[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
 
 
-@query(f"SELECT doc_id, round(CAST(len({_S}) AS DOUBLE), 6) AS n_sentences, round(CASE WHEN len({_S}) > 0 THEN list_sum(list_transform({_S}, lambda x: length(x))) / len({_S}) ELSE 0 END, 6) AS avg_sentence_length FROM documents WHERE text IS NOT NULL")
+_SENTENCE = {
+    "n_sentences": f"len({_S})", "avg_sentence_length": f"CASE WHEN len({_S}) > 0 THEN list_sum(list_transform({_S}, lambda x: length(x))) / len({_S}) ELSE 0 END",
+    "short_sentence_ratio_20": f"CASE WHEN len({_S}) > 0 THEN len(list_filter({_S}, lambda x: length(x) <= 20)) / len({_S}) ELSE 0 END", "long_sentence_ratio_75": f"CASE WHEN len({_S}) > 0 THEN len(list_filter({_S}, lambda x: length(x) >= 75)) / len({_S}) ELSE 0 END",
+}
+
+
+@query("SELECT doc_id, " + ", ".join(f"round(CAST({e} AS DOUBLE), 6) AS {n}" for n, e in _SENTENCE.items()) + " FROM documents WHERE text IS NOT NULL")
 def t6_sentence_stats(s: SparkSession, d: str) -> DataFrame:
-    return _metrics(s, d, "sentence").select("doc_id", "n_sentences", "avg_sentence_length")
+    return _metrics(s, d, "sentence")
 
 
 _W = "regexp_extract_all(text, '[A-Za-z]+')"
@@ -122,35 +128,38 @@ def t9_window_quality(s: SparkSession, d: str) -> DataFrame:
     return t(s, d, "text_windows").filter("text IS NOT NULL").select("id", F.md5("text").alias("digest"), *[F.round(q[n], 6).alias(n) for n in ("punct_ratio", "non_alnum_ratio", "uppercase_ratio")])
 
 
-@query("SELECT doc_id, source, length(text) AS length, round(CAST(len(string_split(text, chr(10))) AS DOUBLE), 6) AS n_lines FROM documents WHERE text IS NOT NULL")
+_ALL = {"doc": _DOC, "line": _LINE, "paragraph": _PARA}
+
+
+@query("SELECT doc_id, source, " + ", ".join(f"round(CAST({e} AS DOUBLE), 6) AS {n}" for g in _ALL.values() for n, e in g.items()) + " FROM documents WHERE text IS NOT NULL")
 def t10_enrichment(s: SparkSession, d: str) -> DataFrame:
+    """Documents with all metrics of the document, its lines and its paragraphs as columns."""
     e = T.with_stats(t(s, d, "documents").filter("text IS NOT NULL"))
-    return e.select("doc_id", "source", F.col("length").cast("long").alias("length"), F.round("n_lines", 6).alias("n_lines"))
+    return e.select("doc_id", "source", *[F.round(F.col(n).cast("double"), 6).alias(n) for g in _ALL.values() for n in g])
 
 
-_LONG = " UNION ALL ".join(f"SELECT doc_id, 'doc' AS stat_type, '{n}' AS metric, CAST({e} AS DOUBLE) AS value FROM documents WHERE text IS NOT NULL" for n, e in _DOC.items())
+_LONG = " UNION ALL ".join(f"SELECT doc_id, '{g}' AS stat_type, '{n}' AS metric, CAST({e} AS DOUBLE) AS value FROM documents WHERE text IS NOT NULL" for g, m in _ALL.items() for n, e in m.items())
 
 
 def _long(s: SparkSession, d: str) -> DataFrame:
-    return T.long_metrics(t(s, d, "documents"), ["doc_id"], ("doc",))
+    return T.long_metrics(t(s, d, "documents"), ["doc_id"])
 
 
-@query(f"SELECT stat_type, metric, round(value, 3) AS bucket, count(*) AS n FROM ({_LONG}) WHERE metric <> 'length' GROUP BY ALL")
+@query(f"SELECT stat_type, metric, round(value, 3) AS bucket, count(*) AS n FROM ({_LONG}) GROUP BY ALL")
 def a19_rounded_histogram(s: SparkSession, d: str) -> DataFrame:
-    return T.histogram(_long(s, d).filter("metric <> 'length'"))
+    return T.histogram(_long(s, d))
 
 
-@query(f"SELECT stat_type, metric, count(value) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std_dev, round(min(value), 6) AS lo, round(max(value), 6) AS hi FROM ({_LONG}) GROUP BY 1, 2")
+@query(f"SELECT stat_type, metric, count(value) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, round(var_pop(value), 3) AS variance, round(stddev_pop(value), 6) AS std_dev, round(min(value), 6) AS lo, round(max(value), 6) AS hi FROM ({_LONG}) GROUP BY 1, 2")
 def a20_summary(s: SparkSession, d: str) -> DataFrame:
     m = T.summary(_long(s, d))
-    return m.select("stat_type", "metric", "n", F.round("total", 4).alias("total"), F.round("mean", 6).alias("mean"), F.round("std_dev", 6).alias("std_dev"), F.round("min", 6).alias("lo"), F.round("max", 6).alias("hi"))
+    return m.select("stat_type", "metric", "n", F.round("total", 4).alias("total"), F.round("mean", 6).alias("mean"), F.round("variance", 3).alias("variance"), F.round("std_dev", 6).alias("std_dev"), F.round("min", 6).alias("lo"), F.round("max", 6).alias("hi"))
 
 
 @query(f"SELECT stat_type, metric, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 5) AS std_dev FROM ({_LONG}) GROUP BY 1, 2")
 def a21_shard_merge(s: SparkSession, d: str) -> DataFrame:
     """Summaries of the sources, merged: equal to the summary of all."""
-    docs = t(s, d, "documents")
-    parts = T.summary(T.long_metrics(docs, ["source"], ("doc",)), ("source", "stat_type", "metric"))
+    parts = T.summary(T.long_metrics(t(s, d, "documents"), ["source"]), ("source", "stat_type", "metric"))
     m = T.merge_summaries(parts)
     return m.select("stat_type", "metric", "n", F.round("mean", 6).alias("mean"), F.round("std_dev", 5).alias("std_dev"))
 
@@ -190,10 +199,13 @@ def a24_percentiles_right(s: SparkSession, d: str) -> DataFrame:
     return T.histogram_percentiles(_hist(s, d), by=_BY, side="right")
 
 
-@query(f"WITH p AS ({_pct('>=')}), m AS (SELECT stage, stat_type, metric, min(bucket) AS lo, max(bucket) AS hi FROM {_H} GROUP BY 1, 2, 3) SELECT stage, stat_type, metric, round(p75 - p25, 6) AS iqr, round(hi - lo, 6) AS range, 'histogram' AS data_source FROM p JOIN m USING (stage, stat_type, metric)")
+_MOMENTS = f"(SELECT stage, stat_type, metric, CAST(sum(n) AS BIGINT) AS n, sum(bucket * n) / sum(n) AS mean, sqrt(greatest(sum(bucket * bucket * n) / sum(n) - (sum(bucket * n) / sum(n)) * (sum(bucket * n) / sum(n)), 0)) AS std, min(bucket) AS lo, max(bucket) AS hi FROM {_H} GROUP BY 1, 2, 3)"
+
+
+@query(f"WITH p AS ({_pct('>=')}), m AS {_MOMENTS} SELECT stage, stat_type, metric, m.n, round(mean, 5) AS mean, round(std, 3) AS std, round(CASE WHEN mean = 0 THEN 0 ELSE std / mean END, 4) AS cv, p25, p50, p75, p95, p99, round(p75 - p25, 6) AS iqr, round(hi - lo, 6) AS range, 'histogram' AS data_source FROM p JOIN m USING (stage, stat_type, metric)")
 def a25_a26_metric_table(s: SparkSession, d: str) -> DataFrame:
     m = T.metric_table(_hist(s, d), by=_BY)
-    return m.select(*_BY, F.round("iqr", 6).alias("iqr"), F.round("range", 6).alias("range"), "data_source")
+    return m.select(*_BY, "n", F.round("mean", 5).alias("mean"), F.round("std", 3).alias("std"), F.round("cv", 4).alias("cv"), *[f"p{p}" for p in (25, 50, 75, 95, 99)], F.round("iqr", 6).alias("iqr"), F.round("range", 6).alias("range"), "data_source")
 
 
 @query(f"WITH p AS ({_pct('>=')}) SELECT stage, stat_type, metric, round((p95 - p50 - (p50 - p25)) / nullif(p95 - p50 + (p50 - p25), 0), 6) AS skew, round((p99 - p95) / nullif(p95 - p75, 0), 6) AS tail FROM p WHERE (p95 - p50 - (p50 - p25)) / nullif(p95 - p50 + (p50 - p25), 0) IS NOT NULL AND (p99 - p95) / nullif(p95 - p75, 0) IS NOT NULL")
@@ -210,11 +222,12 @@ def j4_before_after_metrics(s: SparkSession, d: str) -> DataFrame:
     return out.select("stat_type", "metric", F.round("before", 4).alias("before"), F.round("after", 4).alias("after"))
 
 
-@query("SELECT stat_type, metric, shard FROM metric_buckets GROUP BY ALL HAVING count(bucket) = 0")
+@query(f"SELECT DISTINCT stat_type || '_stats' AS stat_type, metric FROM ({_LONG}) EXCEPT SELECT stat_type, metric FROM metric_buckets WHERE bucket IS NOT NULL")
 def j10_not_covered(s: SparkSession, d: str) -> DataFrame:
-    h = t(s, d, "metric_buckets")
-    keys = ["stat_type", "metric", "shard"]
-    return h.select(*keys).distinct().join(h.filter("bucket IS NOT NULL").select(*keys).distinct(), keys, "left_anti")
+    """Metrics that have a summary of the documents but no histogram."""
+    covered = t(s, d, "metric_buckets").filter("bucket IS NOT NULL").select("stat_type", "metric").distinct()
+    have = T.summary(_long(s, d)).withColumn("stat_type", F.concat("stat_type", F.lit("_stats")))
+    return have.join(F.broadcast(covered), ["stat_type", "metric"], "left_anti").select("stat_type", "metric")
 
 
 # Cleaning totals from the log.

@@ -38,6 +38,18 @@ def write_split(df: DataFrame, keep: str, kept_path: str, rejected_path: str) ->
     marked.filter("NOT _keep").drop("_keep").write.parquet(rejected_path)
 
 
+def write_split_temp(df: DataFrame, keep: str) -> tuple[DataFrame, DataFrame]:
+    """write_split() into a new place in the shared folder, both sides read back."""
+    import uuid
+
+    from corpusloom.runtime import shared_dir
+
+    base = f"{shared_dir(df.sparkSession)}/corpusloom/sinks-{uuid.uuid4().hex}"
+    write_split(df, keep, f"{base}/kept", f"{base}/rejected")
+    read = df.sparkSession.read.schema(df.schema).parquet
+    return read(f"{base}/kept"), read(f"{base}/rejected")
+
+
 def read_stats_json(spark: SparkSession, path: str) -> DataFrame:
     """(stat_type, kind, metric, json) of a tree {stat}/{summary|histogram}/{metric}/{file}.json."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.split("_metadata.file_path", "/").alias("p"), F.col("value").alias("json"))
@@ -67,6 +79,17 @@ def write_csv(df: DataFrame, path: str, order: list[str], digits: int = 6) -> No
     df.orderBy(*order).select(*cols).write.option("header", "true").csv(path)
 
 
+def csv_round_trip(df: DataFrame, order: list[str], digits: int = 6) -> DataFrame:
+    """write_csv() into a new place in the shared folder, read back with the same columns and types."""
+    import uuid
+
+    from corpusloom.runtime import shared_dir
+
+    path = f"{shared_dir(df.sparkSession)}/corpusloom/csv-{uuid.uuid4().hex}"
+    write_csv(df, path, order, digits)
+    return df.sparkSession.read.schema(df.schema).option("header", "true").option("nullValue", "null").csv(path)
+
+
 def write_report(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
 
