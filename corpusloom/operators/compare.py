@@ -64,9 +64,10 @@ def side_by_side_rows(pairs: DataFrame, key: str, before: str, after: str) -> Da
     return source.mapInPandas(run, f"key {source.schema['key'].dataType.simpleString()}, row_no long, kind string, left_no long, right_no long, left string, right string")
 
 
-def against_baseline(scores: DataFrame, baseline: DataFrame, model: str = "model", by: str = "benchmark", score: str = "score") -> DataFrame:
-    """scores with baseline_score, delta and percent; percent is null where the baseline is null or not above 0. baseline: one row, the model's name."""
-    base = scores.join(F.broadcast(baseline.toDF(model)), model, "left_semi").groupBy(by).agg(F.max(score).alias("baseline_score"))
+def against_baseline(scores: DataFrame, baseline: str | DataFrame, model: str = "model", by: str = "benchmark", score: str = "score") -> DataFrame:
+    """scores with baseline_score, delta and percent; percent is null where the baseline is null or not above 0. baseline: the model's name, or one row with it."""
+    own = scores.filter(F.col(model) == baseline) if isinstance(baseline, str) else scores.join(F.broadcast(baseline.toDF(model)), model, "left_semi")
+    base = own.groupBy(by).agg(F.max(score).alias("baseline_score"))
     out = scores.join(base, by, "left").withColumn("delta", F.col(score) - F.col("baseline_score"))
     return out.withColumn("percent", F.when(F.col("baseline_score") > 0, F.col("delta") / F.col("baseline_score") * 100))
 

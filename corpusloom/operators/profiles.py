@@ -77,20 +77,20 @@ def top_k(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataF
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("_r") <= k).drop("_r")
 
 
-def exact_percentiles(df: DataFrame, value: str, shares: dict[str, float], by: list[str] | None = None, cells: int = 4096) -> DataFrame:
+def exact_percentiles(df: DataFrame, value: str, shares: dict[str, float], by: list[str] | None = None, cells: int = 256) -> DataFrame:
     """(by, one column for each share): exact percentiles, between two values in proportion, as percentile() gives them.
 
     Equal values are counted first. Approximate quantiles cut the range of a group into cells; a percentile's two
     neighbours are found by counts of cells, then by running counts within their cells alone, so no task gets all
-    different values of a group. Groups without values have no row.
+    different values of a group. Groups without values have no row; without groups there is one row, of nulls if there are no values.
     """
     by = by or []
     named = [f"_g{i}" for i in range(len(by))]
     counts = df.filter(F.col(value).isNotNull()).groupBy(*[F.col(c).alias(n) for c, n in zip(by, named, strict=True)], F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    ends = counts.groupBy(*named).agg(F.percentile_approx("_v", [i / cells for i in range(1, cells)], cells * 4).alias("_cuts"), F.sum("_n").alias("_total"))
+    ends = counts.groupBy(*named).agg(F.percentile_approx("_v", [i / cells for i in range(1, cells)], cells * 16).alias("_cuts"), F.sum("_n").alias("_total"))
     a, e = counts.alias("a"), ends.alias("e")
     # The number of cuts below a value is its cell; cells rise with the values.
-    placed = a.join(F.broadcast(e), reduce(lambda x, y: x & y, [F.col(f"a.{n}").eqNullSafe(F.col(f"e.{n}")) for n in named], F.lit(True))).select(*[F.col(f"a.{n}").alias(n) for n in named], "_v", "_n", "_total", F.expr("CAST(array_size(filter(_cuts, c -> c < _v)) AS INT)").alias("_cell"))
+    placed = a.join(F.broadcast(e) if not by else e, reduce(lambda x, y: x & y, [F.col(f"a.{n}").eqNullSafe(F.col(f"e.{n}")) for n in named], F.lit(True))).select(*[F.col(f"a.{n}").alias(n) for n in named], "_v", "_n", "_total", F.expr("CAST(array_size(filter(_cuts, c -> c < _v)) AS INT)").alias("_cell"))
     cell = placed.groupBy(*named, "_cell").agg(F.sum("_n").alias("_in"))
     before = cell.select(*named, "_cell", F.coalesce(F.sum("_in").over(Window.partitionBy(*named).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     p, b = placed.alias("p"), before.alias("b")

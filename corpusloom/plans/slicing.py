@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import profiles as P
 from corpusloom.operators import slicing as S
+from corpusloom.operators import tokenize as K
 from corpusloom.operators.normalize import normalize_window_text
 from corpusloom.plans.registry import query
 from corpusloom.runtime import table as t
@@ -137,3 +138,35 @@ def d17_model_inputs(s: SparkSession, d: str) -> DataFrame:
 def d20_padding_ratio(s: SparkSession, d: str) -> DataFrame:
     real = F.sum(F.least("n", F.lit(512)))
     return _tokens(s, d).agg(F.round(1 - real / (F.count(F.lit(1)) * 512.0), 6).alias("padding_ratio"), real.alias("tokens"))
+
+
+# In the tokens of an existing tokenizer.
+@query()
+def t4_token_stats(s: SparkSession, d: str) -> DataFrame:
+    return K.token_stats(t(s, d, "documents"), "doc_id")
+
+
+@query()
+def d3_token_windows(s: SparkSession, d: str) -> DataFrame:
+    """Windows of 512 tokens, half overlapping, of every document."""
+    w = K.token_windows(t(s, d, "documents"), "doc_id")
+    return w.select("id", "doc_id", "window_idx", "start_pos", "end_pos", "actual_tokens", "original_token_count", "original_window_count", F.md5("text").alias("digest"))
+
+
+@query()
+def d4_token_ids(s: SparkSession, d: str) -> DataFrame:
+    """Every window as the ids of its tokens, filled up with 0."""
+    return K.padded_output(K.token_windows(t(s, d, "documents"), "doc_id", overlap=0.0, pad=0)).select("id", "doc_id", "window_idx", "token_ids")
+
+
+@query()
+def d5_token_recount(s: SparkSession, d: str) -> DataFrame:
+    """Tokens of the windows' normalised texts beside the number they came with."""
+    w = t(s, d, "text_windows").select("id", F.col("metadata.actual_tokens").alias("stated"), F.md5("text").alias("digest"), normalize_window_text(F.col("text")).alias("text"))
+    counted = K.token_stats(w.withColumn("key", F.struct("id", "stated", "digest")), "key")
+    return counted.select("key.id", "key.stated", F.col("token_count").alias("tokens"))
+
+
+@query()
+def d7_token_windows(s: SparkSession, d: str) -> DataFrame:
+    return K.fixed_step_windows(t(s, d, "documents"), "doc_id").select("doc_id", "start_pos", "tokens", F.md5(F.array_join(F.transform("token_ids", lambda x: x.cast("string")), " ")).alias("digest"))

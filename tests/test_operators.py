@@ -30,10 +30,39 @@ def test_histogram_percentiles_left_and_right(spark):
     assert (left.p25, left.p50, right.p25, right.p50) == (1.0, 2.0, 2.0, 3.0)
 
 
+def test_exact_percentiles_are_those_of_the_library(spark):
+    rng = np.random.default_rng(4)
+    rows = [("a", float(v)) for v in rng.lognormal(3, 2, 3000)] + [("b", float(v)) for v in rng.integers(0, 3, 500)] + [(None, 7.0), ("c", None), ("d", 1.0), ("d", 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.x, r.y, r.z, r.u) for r in P.exact_percentiles(df, "v", {"x": 0.0, "y": 0.25, "z": 0.501, "u": 1.0}, ["g"], cells=8).collect()}
+    assert set(got) == {"a", "b", "d", None}
+    for g in got:
+        v = [x for k, x in rows if k == g and x is not None]
+        assert got[g] == pytest.approx(np.quantile(v, [0, 0.25, 0.501, 1]), rel=1e-12)
+    assert [r.x for r in P.exact_percentiles(df.filter("false"), "v", {"x": 0.5}).collect()] == [None] and P.exact_percentiles(df.filter("false"), "v", {"x": 0.5}, ["g"]).count() == 0
+
+
+def test_language_threshold_and_recovery(spark):
+    values = [0.3585, 0.0915, 0.0005, 0.7, 0.7499999, 0.75, 1.0, 1.00002, 0.0, None, 0.6999999999]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, fasttext_en double").withColumn("text", F.lit("text"))
+    out = P.language_threshold(df).orderBy("i").collect()
+    assert [r.text for r in out] == ["text" if v is None or v >= 0.75 else "" for v in values]
+    assert [r.language_reason for r in out] == [None if v is None or v >= 0.75 else f"low_fasttext_en_score_{v:.3f}" for v in values]
+    kept, counts = P.recover_band(df)
+    assert {r.recovery_reason for r in kept.collect()} == {"fasttext_score_0.700_between_0.7_and_0.75", "fasttext_score_0.750_between_0.7_and_0.75"}
+    assert tuple(counts.first()) == (11, 2, 4, 5)
+
+
+def test_paths(spark):
+    paths = {"x/Baseline/step-250": ("baseline", 250), "clean_restart/15k_kept": ("clean_restart", 15000), "green/checkpoint-364000": ("green_run", 364000), "t5_base": ("baseline", 0), "kept/step-7": ("unknown", 7)}
+    df = spark.createDataFrame([(x,) for x in paths], "p string")
+    assert {r.p: (r.run_type, r.step) for r in df.select("p", *[c.alias(k) for k, c in K.parse_path(F.col("p")).items()]).collect()} == paths
+
+
 def test_text_statistics_of_null_and_empty(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "One two.\nThree")], "i int, text string")
     out = {r.i: r for r in T.with_stats(df, groups=("doc", "line", "paragraph", "sentence", "word")).collect()}
-    assert out[1].length is None and out[2].n_words == 0 and out[3].n_words == 3 and out[3].n_lines == 2
+    assert out[1].length is None and out[1].n_lines is None and out[1].n_words is None and out[2].n_words == 0 and out[3].n_words == 3 and out[3].n_lines == 2
 
 
 @settings(max_examples=25, deadline=None)
