@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections import deque
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import patterns as P
 from corpusloom.operators.normalize import strip, word_count
+from corpusloom.runtime import arrow_columns
 
 _BREAK = "\r\n|[\n\r\u000b\f\u001c\u001d\u001e\u0085\u2028\u2029]"
+_ENDS = re.compile(_BREAK)
 
 
 def let(value: Column, body) -> Column:
@@ -21,8 +26,8 @@ def split_lines(text: Column) -> Column:
     return let(F.split(text, _BREAK), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))
 
 
-def line_reason(line: Column, previous: Column, tabular: Column) -> Column:
-    """'type:reason' of a line to remove, null of one to keep. previous: the five non-blank lines before."""
+def line_reason(bare: Column, previous: Column, tabular: Column) -> Column:
+    """'type:reason' of a line to remove, null of one to keep. bare: the stripped line; previous: the five non-blank lines before."""
 
     def reason(s: Column) -> Column:
         words = word_count(s)
@@ -32,32 +37,36 @@ def line_reason(line: Column, previous: Column, tabular: Column) -> Column:
         code = (words <= 8) & s.rlike(P.CODE_START) | s.rlike(P.ALL_CAPS) & (F.length(F.replace(s, F.lit(" "), F.lit(""))) < 8)
         return out.when(s.rlike(P.KEYWORD_LINE), "metadata:keywords_metadata").when(code, "metadata:technical_code_line").when(s.rlike(P.COPYRIGHT), "copyright:copyright_line")
 
-    return let(strip(line), reason)
+    return let(bare, reason)
 
 
 def classify_lines(df: DataFrame, text: str = "text", name: str = "line_info") -> DataFrame:
-    """Adds name: array of (i, line, reason) over the lines of text."""
+    """Adds name: array of (i, line, reason) over the lines of text.
+
+    The non-blank lines are a list of their own, so that the five before each are a slice of it: the work grows with the
+    lines, but for the last step, which sorts them by their numbers.
+    """
+
+    def numbered(x: Column) -> Column:
+        return F.transform(x, lambda v, i: F.struct((i + 1).alias("i"), v.alias("line"), strip(v).alias("s"), (F.length(v) - F.length(F.replace(v, F.lit("\t"), F.lit(""))) >= 2).alias("t")))
 
-    def lists(x: Column) -> Column:
-        bare = F.transform(x, lambda v: strip(v))
-        tabs = F.transform(x, lambda v: F.length(v) - F.length(F.replace(v, F.lit("\t"), F.lit(""))) >= 2)
-        return F.struct(x.alias("l"), bare.alias("s"), tabs.alias("t"))
+    def parted(x: Column) -> Column:
+        solid = F.filter(x, lambda e: e["s"] != "")
+        return F.struct(F.transform(x, lambda e: e["t"]).alias("t"), solid.alias("solid"), F.filter(x, lambda e: e["s"] == "").alias("blank"))
 
-    def counted(a: Column) -> Column:
-        # before[i]: how many non-blank lines precede line i; they are the leading ones of the list of non-blank lines.
-        before = F.aggregate(a["s"], F.array(F.lit(0)), lambda c, x: F.concat(c, F.array(F.element_at(c, -1) + F.when(x != "", 1).otherwise(0))))
-        return F.struct(a["l"].alias("l"), a["t"].alias("t"), F.filter(a["s"], lambda x: x != "").alias("n"), before.alias("c"))
+    def named(a: Column) -> Column:
+        return F.struct(a["t"].alias("t"), a["solid"].alias("solid"), a["blank"].alias("blank"), F.transform(a["solid"], lambda e: e["s"]).alias("bare"))
 
     def infos(a: Column) -> Column:
-        def info(x: Column, i: Column) -> Column:
-            before = F.element_at(a["c"], i + 1)
-            previous = F.slice(a["n"], F.greatest(before - 4, F.lit(1)), F.least(before, F.lit(5)))
-            tab = F.element_at(a["t"], i + 1) & (F.coalesce(F.try_element_at(a["t"], i + 2), F.lit(False)) | (i > 0) & F.coalesce(F.try_element_at(a["t"], F.greatest(i, F.lit(1))), F.lit(False)))
-            return F.struct((i + 1).alias("i"), x.alias("line"), line_reason(x, previous, tab).alias("reason"))
+        def info(e: Column, k: Column) -> Column:
+            previous = F.slice(a["bare"], F.greatest(k - 4, F.lit(1)), F.least(k, F.lit(5)))
+            near = F.coalesce(F.try_element_at(a["t"], e["i"] + 1), F.lit(False)) | (e["i"] > 1) & F.coalesce(F.try_element_at(a["t"], F.greatest(e["i"] - 1, F.lit(1))), F.lit(False))
+            return F.struct(e["i"].alias("i"), e["line"].alias("line"), line_reason(e["s"], previous, e["t"] & near).alias("reason"))
 
-        return F.transform(a["l"], info)
+        blanks = F.transform(a["blank"], lambda e: F.struct(e["i"].alias("i"), e["line"].alias("line"), F.lit(None).cast("string").alias("reason")))
+        return F.array_sort(F.concat(F.transform(a["solid"], info), blanks))
 
-    return df.withColumn(name, let(split_lines(F.col(text)), lambda x: let(lists(x), lambda a: let(counted(a), infos))))
+    return df.withColumn(name, let(split_lines(F.col(text)), lambda x: let(numbered(x), lambda n: let(parted(n), lambda p: let(named(p), infos)))))
 
 
 def clean_lines(df: DataFrame, text: str = "text", debug: bool = False) -> DataFrame:
@@ -79,18 +88,27 @@ def clean_lines(df: DataFrame, text: str = "text", debug: bool = False) -> DataF
 
 
 def kept_line_memory(df: DataFrame, text: str = "text", memory: int = 5) -> DataFrame:
-    """The stand-alone repetition cleaner: only the last kept lines are remembered, so it is a fold over the lines."""
-    state = F.struct(F.array().cast("array<string>").alias("kept"), F.array().cast("array<string>").alias("last"), F.lit(0).alias("n"))
-
-    def step(a: Column, x: Column) -> Column:
-        s = strip(x)
-        again = (s != "") & F.array_contains(a["last"], s)
-        last = F.when(again | (s == ""), a["last"]).otherwise(F.concat(a["last"], F.array(s)))
-        last = F.when(F.size(last) > memory, F.slice(last, F.size(last) - memory + 1, memory)).otherwise(last)
-        return F.struct(F.when(again, a["kept"]).otherwise(F.concat(a["kept"], F.array(x))).alias("kept"), last.alias("last"), (a["n"] + again.cast("int")).alias("n"))
-
-    out = df.withColumn("_a", F.aggregate(split_lines(F.col(text)), state, step))
-    return out.withColumns({text: F.array_join("_a.kept", "\n"), "repeated_lines_removed": F.col("_a.n")}).drop("_a")
+    """The stand-alone repetition cleaner: only the last kept lines are remembered, so each line depends on what became of
+    the ones before. One pass over the lines in an Arrow stage."""
+
+    def rows(t: str | None) -> tuple[str | None, int | None]:
+        if t is None:
+            return None, None
+        parts = _ENDS.split(t)
+        if parts[-1] == "":
+            parts.pop()
+        last: deque[str] = deque(maxlen=memory)
+        kept = []
+        for line in parts:
+            bare = line.strip(" \t\n\x0b\f\r")
+            if bare and bare in last:
+                continue
+            kept.append(line)
+            if bare:
+                last.append(bare)
+        return "\n".join(kept), len(parts) - len(kept)
+
+    return arrow_columns(df, [text], f"`{text}` string, repeated_lines_removed int", rows)
 
 
 def caption_reason(line: Column) -> Column:

@@ -62,16 +62,19 @@ def symbol_steps(multiline: bool = False) -> list[tuple[str, object, object]]:
     """(name, Column -> Column, Column -> count) in the order of application."""
     m = "(?m)" if multiline else ""
 
-    def regex(pattern: str, to: str):
-        return lambda c: F.regexp_replace(c, pattern, to), lambda c: F.regexp_count(c, F.lit(pattern))
+    def regex(pattern: str, to: str, near: str = ""):
+        """near: what every match holds; a text without it isn't searched."""
+        change, number = (lambda c: F.regexp_replace(c, pattern, to)), (lambda c: F.regexp_count(c, F.lit(pattern)))
+        return (lambda c: F.when(c.rlike(near), change(c)).otherwise(c), lambda c: F.when(c.rlike(near), number(c)).otherwise(0)) if near else (change, number)
 
     def table(t: dict[str, str]):
         one = all(len(v) == 1 for v in t.values())
         change = (lambda c: F.translate(c, "".join(t), "".join(t.values()))) if one else (lambda c: _replace_all(c, t))
         return change, lambda c: _count_of(c, "".join(t))
 
-    steps = [("invisible", lambda c: F.translate(c, P.INVISIBLE, ""), lambda c: _count_of(c, P.INVISIBLE))]
-    steps += [(f"toc_{i}", *regex(m + p, "")) for i, p in enumerate(P.TOC)]
+    gone = f"[{P.INVISIBLE}]"
+    steps = [("invisible", lambda c: F.regexp_replace(c, gone, ""), lambda c: F.regexp_count(c, F.lit(gone)))]
+    steps += [(f"toc_{i}", *regex(m + p, "", near)) for i, (p, near) in enumerate(zip(P.TOC, (r"(?U)[.\s]{5}", "", r"[.\t]{5}"), strict=True))]
     steps += [(f"tabular_{i}", *regex(m + p, "")) for i, p in enumerate(P.TABULAR)]
     steps += [(f"dots_{i}", *regex(p, to)) for i, (p, to) in enumerate(P.DOTS)]
     steps += [("cyrillic", lambda c: F.translate(c, *P.CYRILLIC), lambda c: _count_of(c, P.CYRILLIC[0]))]
@@ -79,12 +82,18 @@ def symbol_steps(multiline: bool = False) -> list[tuple[str, object, object]]:
     return steps
 
 
+def _tables() -> tuple[object, object]:
+    """(change, count) of all tables of single signs at once: no table makes a sign of another one, so their order is free."""
+    every = dict(zip(*P.CYRILLIC, strict=True)) | dict.fromkeys(P.DASHES, "-") | P.QUOTES | dict.fromkeys(P.BULLETS, "*") | P.ARROWS | P.LEGAL | P.PRIMES | P.ELLIPSES
+    one, several = {k: v for k, v in every.items() if len(v) == 1}, {k: v for k, v in every.items() if len(v) > 1}
+    return lambda c: _replace_all(F.translate(c, "".join(one), "".join(one.values())), several), lambda c: _count_of(c, "".join(every))
+
+
 def normalize_symbols(df: DataFrame, text: str = "text", count: bool = True, multiline: bool = False, only: tuple[str, ...] = ()) -> DataFrame:
     """text with symbols normalised; with count: symbol_text_changed and symbol_normalizations (0 where the text is unchanged)."""
     out = df.withColumn("_o", F.col(text)).withColumn("_n", F.lit(0))
-    for name, change, number in symbol_steps(multiline):
-        if only and not name.startswith(only):
-            continue
+    steps = [x for x in symbol_steps(multiline) if x[0].startswith(only)] if only else [x for x in symbol_steps(multiline) if x[0].startswith(("invisible", "toc", "tabular", "dots"))] + [("tables", *_tables())]
+    for _, change, number in steps:
         if count:
             out = out.withColumn("_n", F.col("_n") + number(F.col(text)))
         out = out.withColumn(text, change(F.col(text)))

@@ -151,15 +151,20 @@ def log_histogram(df: DataFrame, value: str, per_decade: int = 10) -> DataFrame:
     return df.filter(F.col(value) > 0).groupBy(F.floor(F.log10(value) * per_decade).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def deterministic_order(df: DataFrame, key: str, seed: str = "42") -> DataFrame:
+def deterministic_order(df: DataFrame, key: str, seed: str = "42", rows: int | None = None, bucket_rows: int = 50_000) -> DataFrame:
     """df with position from 0 in a permutation given by md5 of key and seed.
 
-    Positions come from bucket counts: the first byte of the digest makes 256 buckets, so no task sorts all rows.
+    Positions come from bucket counts: the first hexadecimal digits of the digest make buckets of about `bucket_rows`
+    rows or fewer, so no task sorts all rows. The order is the same for any number of digits. rows: how many, if known.
     """
-    d = df.withColumn("_h", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(seed)))).withColumn("_b", F.substring("_h", 1, 2))
+    n = df.count() if rows is None else rows
+    digits = 2
+    while 16**digits * bucket_rows < n:
+        digits += 1
+    d = df.withColumn("_h", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(seed)))).withColumn("_b", F.substring("_h", 1, digits))
     counts = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    return d.join(F.broadcast(before), "_b").withColumn("position", F.col("_o") + F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)) - 1).drop("_h", "_b", "_o")
+    return d.join(before, "_b").withColumn("position", F.col("_o") + F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)) - 1).drop("_h", "_b", "_o")
 
 
 def rank_shard(ordered: DataFrame, world: int, total: int, start: int = 0, drop_last: bool = True) -> DataFrame:
@@ -172,4 +177,4 @@ def split_exact(df: DataFrame, key: str, share: float, least: int = 0, seed: str
     """df with split: the first max(int(n * share), least) rows of the deterministic order are val, the others train."""
     n = df.count() if total is None else total
     val = min(n, max(int(n * share), least))
-    return deterministic_order(df, key, seed).withColumn("split", F.when(F.col("position") < val, "val").otherwise("train"))
+    return deterministic_order(df, key, seed, n).withColumn("split", F.when(F.col("position") < val, "val").otherwise("train"))

@@ -15,32 +15,37 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-_SPACE, _DIGITS, _UPPER = " \t\n\x0b\f\r", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+_CLASSES = {"S": " \t\n\x0b\f\r", "D": "0123456789", "U": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "L": "abcdefghijklmnopqrstuvwxyz", "P": "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())}
 
 
-def _signs(text: Column, signs: str) -> Column:
-    """How many characters of text are among the signs, without a regular expression."""
-    return F.length(text) - F.length(F.translate(text, signs, ""))
+def _classed(text: Column) -> Column:
+    """text with each ASCII sign as the letter of its class: one translation for all counts."""
+    return F.translate(text, "".join(_CLASSES.values()), "".join(k * len(v) for k, v in _CLASSES.items()))
+
+
+def _signs(text: Column, kinds: str) -> Column:
+    """How many characters of text are of the kinds: S white space, D digits, U and L letters, P punctuation; no regular expression."""
+    classed = _classed(text)
+    return reduce(lambda a, b: a + b, [F.length(classed) - F.length(F.replace(classed, F.lit(k), F.lit(""))) for k in kinds])
 
 
 def _mean(a: Column) -> Column:
-    return F.when(F.size(a) > 0, F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x)) / F.size(a)).otherwise(0.0)
+    return F.when(F.size(a) == 0, 0.0).otherwise(F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x)) / F.size(a))
 
 
 def _share(a: Column, p) -> Column:
-    return F.when(F.size(a) > 0, F.size(F.filter(a, p)) / F.size(a)).otherwise(0.0)
+    return F.when(F.size(a) == 0, 0.0).otherwise(F.size(F.filter(a, p)) / F.size(a))
 
 
 def doc_stats(text: Column) -> dict[str, Column]:
     n = F.greatest(F.length(text), F.lit(1))
     return {
         "length": F.length(text).cast("double"),
-        "white_space_ratio": _signs(text, _SPACE) / n,
-        "digit_ratio": _signs(text, _DIGITS) / n,
-        "uppercase_ratio": _signs(text, _UPPER) / n,
-        "punctuation_ratio": _signs(text, _PUNCTUATION) / n,
-        "non_alpha_digit_ratio": (F.length(text) - _signs(text, _UPPER + _UPPER.lower() + _DIGITS)) / n,
+        "white_space_ratio": _signs(text, "S") / n,
+        "digit_ratio": _signs(text, "D") / n,
+        "uppercase_ratio": _signs(text, "U") / n,
+        "punctuation_ratio": _signs(text, "P") / n,
+        "non_alpha_digit_ratio": (F.length(text) - _signs(text, "ULD")) / n,
         "elipsis_ratio": _count(text, r"\.\.\.|…") / n,
     }
 
@@ -58,7 +63,7 @@ def line_stats(text: Column, short: tuple[int, ...] = (10, 30), long: tuple[int,
         "lines_ending_with_terminal_mark_ratio": _share(lines, lambda x: x.rlike(r"[.!?]\s*$")),
         "bullet_point_lines_ratio": _share(lines, lambda x: x.rlike(r"^\s*[-*•]")),
         "line_duplicates": 1 - F.size(distinct) / F.size(lines),
-        "line_char_duplicates": F.when(chars > 0, 1 - F.aggregate(distinct, F.lit(0), lambda a, x: a + F.length(x)) / chars).otherwise(0.0),
+        "line_char_duplicates": F.when(chars == 0, 0.0).otherwise(1 - F.aggregate(distinct, F.lit(0), lambda a, x: a + F.length(x)) / chars),
     }
 
 
@@ -72,7 +77,7 @@ def paragraph_stats(text: Column) -> dict[str, Column]:
         "short_paragraph_ratio_100": _share(paras, lambda x: F.length(x) <= 100),
         "long_paragraph_ratio_1000": _share(paras, lambda x: F.length(x) >= 1000),
         "paragraph_duplicates": 1 - F.size(distinct) / F.size(paras),
-        "paragraph_char_duplicates": F.when(chars > 0, 1 - F.aggregate(distinct, F.lit(0), lambda a, x: a + F.length(x)) / chars).otherwise(0.0),
+        "paragraph_char_duplicates": F.when(chars == 0, 0.0).otherwise(1 - F.aggregate(distinct, F.lit(0), lambda a, x: a + F.length(x)) / chars),
     }
 
 
@@ -90,7 +95,7 @@ def word_stats(text: Column) -> dict[str, Column]:
         "avg_words_per_line": F.size(words) / F.size(F.split(text, "\n")),
         "short_word_ratio_3": _share(words, lambda x: F.length(x) <= 3),
         "long_word_ratio_7": _share(words, lambda x: F.length(x) >= 7),
-        "type_token_ratio": F.when(F.size(words) > 0, F.size(F.array_distinct(words)) / F.size(words)).otherwise(0.0),
+        "type_token_ratio": F.when(F.size(words) == 0, 0.0).otherwise(F.size(F.array_distinct(words)) / F.size(words)),
         "uppercase_word_ratio": _share(words, lambda x: x.rlike("^[A-Z]+$")),
         "capitalized_word_ratio": _share(words, lambda x: x.rlike("^[A-Z][a-z]*$")),
         "stop_word_ratio": _share(words, lambda x: F.lower(x).isin(STOP_WORDS)),
@@ -100,29 +105,26 @@ def word_stats(text: Column) -> dict[str, Column]:
 def window_quality(text: Column) -> dict[str, Column]:
     """Ratios for windows: capitals among letters, punctuation and others among all characters."""
     n = F.greatest(F.length(text), F.lit(1))
-    letters = _signs(text, _UPPER + _UPPER.lower())
-    others = F.length(text) - _signs(text, _UPPER + _UPPER.lower() + _DIGITS + _SPACE)
-    return {"length": n, "punct_ratio": _signs(text, _PUNCTUATION) / n, "non_alnum_ratio": others / n, "uppercase_ratio": F.when(letters > 0, _signs(text, _UPPER) / letters).otherwise(0.0)}
+    letters = _signs(text, "UL")
+    others = F.length(text) - _signs(text, "ULDS")
+    return {"length": n, "punct_ratio": _signs(text, "P") / n, "non_alnum_ratio": others / n, "uppercase_ratio": F.when(letters > 0, _signs(text, "U") / letters).otherwise(0.0)}
 
 
 GROUPS = {"doc": doc_stats, "line": line_stats, "paragraph": paragraph_stats, "sentence": sentence_stats, "word": word_stats}
 
 
-def _metrics_of(group: str, text: str) -> dict[str, Column]:
-    """The metrics of a group; null for a null text."""
-    c = F.col(text)
-    return {n: F.when(c.isNotNull(), m) for n, m in GROUPS[group](c).items()}
-
-
 def with_stats(df: DataFrame, text: str = "text", groups: tuple[str, ...] = ("doc", "line", "paragraph")) -> DataFrame:
     """df with the metrics of the groups as columns: enrichment. Null texts get nulls."""
-    return df.withColumns(reduce(lambda a, g: a | _metrics_of(g, text), groups, {}))
+    return df.withColumns(reduce(lambda a, g: a | GROUPS[g](F.col(text)), groups, {}))
 
 
 def long_metrics(df: DataFrame, key: list[str], groups: tuple[str, ...] = ("doc", "line", "paragraph"), text: str = "text") -> DataFrame:
     """(key, stat_type, metric, value): one pass over the texts; nulls are left out."""
-    entries = [F.struct(F.lit(g).alias("stat_type"), F.lit(m).alias("metric"), c.cast("double").alias("value")) for g in groups for m, c in _metrics_of(g, text).items()]
-    return df.select(*key, F.explode(F.array(*entries)).alias("m")).select(*key, "m.*").filter("value IS NOT NULL")
+    # Metrics are columns first, so that what they share (split lines, translated text) is worked out once.
+    named = {(g, m): c for g in groups for m, c in GROUPS[g](F.col(text)).items()}
+    wide = df.select(*key, *[c.cast("double").alias(f"_m{i}") for i, c in enumerate(named.values())])
+    entries = [F.struct(F.lit(g).alias("stat_type"), F.lit(m).alias("metric"), F.col(f"_m{i}").alias("value")) for i, (g, m) in enumerate(named)]
+    return wide.select(*key, F.explode(F.array(*entries)).alias("m")).select(*key, "m.*").filter("value IS NOT NULL")
 
 
 def summary(metrics: DataFrame, by: tuple[str, ...] = ("stat_type", "metric"), value: str = "value") -> DataFrame:

@@ -85,7 +85,8 @@ def d8_d9_split(s: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT doc_id, CAST(position % 8 AS INT) AS rank, CAST(floor(position / 8) AS BIGINT) AS step FROM {_POS} WHERE position >= 16 AND floor(position / 8) < floor((SELECT count(*) FROM documents) / 8)")
 def d10_rank_shards(s: SparkSession, d: str) -> DataFrame:
     docs = t(s, d, "documents").select("doc_id")
-    return P.rank_shard(P.deterministic_order(docs, "doc_id"), 8, docs.count(), 16).select("doc_id", "rank", "step")
+    n = docs.count()
+    return P.rank_shard(P.deterministic_order(docs, "doc_id", rows=n), 8, n, 16).select("doc_id", "rank", "step")
 
 
 @query("SELECT CAST(s AS BIGINT) AS steps, CAST(s * 8 * 4 * 2 AS BIGINT) AS position FROM range(0, 1000, 250) AS r(s)")
