@@ -17,6 +17,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,7 @@ _TITLE_WORD = re.compile(r"[^\W_]*[^\W\d_][^\W_]*")
 _STOP = re.compile(r"[.!?…:。！？।॥][\"'”’»」』)）\]“]*$")
 
 
+@lru_cache(maxsize=1 << 17)
 def fold_token(token: str) -> str:
     """A token in small letters without edge punctuation, look-alikes and unseen signs folded, marks inside kept."""
     t = token.strip(_EDGE_LEFT + _EDGE_RIGHT)
@@ -56,6 +58,7 @@ def fold_token(token: str) -> str:
     return t.lower()
 
 
+@lru_cache(maxsize=1 << 17)
 def shape(word: str) -> str:
     """A word with signs that are taken for one another folded into one: what a misreading leaves unchanged."""
     w = word.replace("rn", "m").replace("ii", "u").replace("cl", "d").replace("vv", "w").replace("n", "u")
@@ -108,7 +111,8 @@ class Page:
         self.bare = [x.strip() for x in self.lines]
         self.solid = [i for i, x in enumerate(self.bare) if x]
         self.place = {i: k for k, i in enumerate(self.solid)}
-        self.heads = Counter(self.head(x) for x in self.bare if len(x) > 0.92 * self.width)
+        self.head_at = {i: self.head(x) for i, x in enumerate(self.bare) if len(x) > 0.92 * self.width}
+        self.heads = Counter(self.head_at.values())
         self.keys = Counter(self.key(x) for i, x in enumerate(self.bare) if x and (len(x) < 0.95 * self.width or self.titled(i)))
 
     @staticmethod
@@ -127,8 +131,10 @@ class Page:
 
     def titled(self, i: int) -> bool:
         """Whether a line of the page's width has a number at its side or comes again with the same words."""
-        head = self.head(self.bare[i])
-        return bool(_SIDE_NUMBER.search(self.lines[i])) or head != "" and self.heads[head] > 1
+        if _SIDE_NUMBER.search(self.lines[i]):
+            return True
+        head = self.head_at[i] if i in self.head_at else self.head(self.bare[i])
+        return head != "" and self.heads[head] > 1
 
     def candidates(self) -> list[int]:
         """Lines that are shorter than the page or may be titles as wide as it, no rows of a table and no entries of a list."""
@@ -150,7 +156,7 @@ class Page:
         words = s.split()
         tokens = [fold_token(x) for x in words]
         alpha = [t for t in tokens if _LETTER.search(t)]
-        letters = [c for c in s if c.isalpha()]
+        letters = "".join(filter(str.isalpha, s))
         known = sum(t in self.ordinary for t in alpha)
         near = [self.bare[j] for j in self.solid[max(0, k - 2) : k] + self.solid[k + 1 : k + 3] if abs(j - i) <= 4]
         key = self.key(s)
@@ -158,7 +164,7 @@ class Page:
             len(s) / self.width,
             (len(raw) - len(raw.lstrip())) / self.width,
             float(bool(_PAGE.match(s))),
-            sum(c.isupper() for c in letters) / max(1, len(letters)),
+            sum(map(str.isupper, letters)) / max(1, len(letters)),
             known / max(1, len(alpha)),
             float(len(words)),
             float(bool(_STOP.search(s))),
@@ -174,7 +180,7 @@ class Page:
             float(bool(_BRACKETED.match(s))),
             float(len(_CITE.findall(s))),
             float(k == 0) + 2.0 * (k + 1 == len(self.solid)),
-            sum(c.isdigit() for c in s) / len(s),
+            sum(map(str.isdigit, s)) / len(s),
             float(bool(after) and len(s) + 1 + len(after.split(None, 1)[0]) <= self.width),
             sum(w[:1].isupper() for w in words) / max(1, len(words)),
             float(bool(_SECTION.match(s))),
