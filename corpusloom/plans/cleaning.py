@@ -134,6 +134,18 @@ def c23_debug_tags(s: SparkSession, d: str) -> DataFrame:
     return C.remove_artefacts(injected(s, d), count=False, debug=True).select("doc_id", F.md5("text").alias("digest"))
 
 
+_MARKS = {"email_addresses": "[EMAIL]", "urls": "[URL]"}
+_MARKED = "text"
+for _n, _p in P.ARTEFACTS.items():
+    _MARKED = f"regexp_replace({_MARKED}, {_sql(_re2(_p))}, {_sql(_MARKS.get(_n, ''))}, 'g')"
+
+
+@query(f"SELECT doc_id, md5({_MARKED}) AS digest FROM {INJ}")
+def c27_placeholders(s: SparkSession, d: str) -> DataFrame:
+    """The option that leaves a mark for each address and link."""
+    return C.remove_patterns(injected(s, d), P.ARTEFACTS, count=False, placeholders=_MARKS).select("doc_id", F.md5("text").alias("digest"))
+
+
 _TYPES = [(n, "artefacts") for n in P.ARTEFACTS] + [(n, "citations") for n in P.CITATIONS]
 
 

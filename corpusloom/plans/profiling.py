@@ -51,6 +51,57 @@ def io13_validate(s: SparkSession, d: str) -> DataFrame:
     return io.validate_parquet(s, d)
 
 
+def _place(s: SparkSession, name: str) -> str:
+    """A new place in the shared folder for what a query writes and reads again."""
+    import uuid
+
+    from corpusloom.runtime import shared_dir
+
+    return f"{shared_dir(s)}/corpusloom/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT doc_id, source, md5(text) AS digest FROM documents")
+def io3_io8_chunked_files(s: SparkSession, d: str) -> DataFrame:
+    """Documents written in files of at most 10,000 rows, sorted by their key, and read again."""
+    path = _place(s, "chunked")
+    io.write_documents(t(s, d, "documents"), path, rows_per_file=10_000, sort_by="doc_id")
+    return io.read_documents(s, path).select("doc_id", "source", F.md5("text").alias("digest"))
+
+
+@query("SELECT stat_type, metric, bucket, CAST(sum(n) AS BIGINT) AS n FROM metric_buckets WHERE bucket IS NOT NULL AND stage = (SELECT min(stage) FROM metric_buckets) GROUP BY 1, 2, 3")
+def io5_json_histograms(s: SparkSession, d: str) -> DataFrame:
+    """Histograms of the first stage as a tree of JSON files, read again."""
+    path = _place(s, "stats")
+    h = t(s, d, "metric_buckets").filter("bucket IS NOT NULL")
+    first = h.join(F.broadcast(t(s, d, "metric_buckets").agg(F.min("stage").alias("stage"))), "stage", "left_semi")
+    merged = first.groupBy("stat_type", "metric", "bucket").agg(F.sum("n").alias("n"))
+    io.write_histograms_json(merged, path)
+    return io.histogram_of_json(io.read_stats_json(s, path)).groupBy("stat_type", "metric", "bucket").agg(F.sum("n").alias("n"))
+
+
+@query("SELECT run_id, count(*) AS docs, CAST(sum(figure_lines_removed) AS BIGINT) AS figure_lines FROM cleaning_log GROUP BY 1")
+def io7_json_report(s: SparkSession, d: str) -> DataFrame:
+    """Totals of each run as a JSON report, read again."""
+    path = _place(s, "report")
+    totals = t(s, d, "cleaning_log").groupBy("run_id").agg(F.count(F.lit(1)).alias("docs"), F.sum("figure_lines_removed").alias("figure_lines"))
+    io.write_report(totals, path)
+    return s.read.schema(totals.schema).json(path)
+
+
+@query("SELECT row_index, doc_id FROM (SELECT doc_id, row_number() OVER () - 1 AS row_index FROM documents) WHERE row_index IN (0, 7, 99, 100)")
+def io14_rows_at(s: SparkSession, d: str) -> DataFrame:
+    return io.rows_at(s, f"{d}/documents.parquet", [0, 7, 99, 100]).select("row_index", "doc_id")
+
+
+@query("SELECT time_bucket(INTERVAL 10 MINUTES, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY 1, 2")
+def s1_event_windows(s: SparkSession, d: str) -> DataFrame:
+    """The windowed counts of the stream over the whole table at once."""
+    from corpusloom.streaming.documents import event_counts
+
+    counted = event_counts(t(s, d, "events"))
+    return counted.select(F.col("window.start").alias("start"), "event_type", "n", F.round("value", 6).alias("value"))
+
+
 @query("SELECT count(*) AS docs_processed, count(*) FILTER (WHERE text IS NULL OR trim(text) = '') AS docs_empty, coalesce(sum(length(text)), 0) AS chars FROM documents")
 def io16_counters(s: SparkSession, d: str) -> DataFrame:
     """Counters that a pass over the documents fills on its way, without a job of their own."""

@@ -51,9 +51,10 @@ def write_split_temp(df: DataFrame, keep: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_stats_json(spark: SparkSession, path: str) -> DataFrame:
-    """(stat_type, kind, metric, json) of a tree {stat}/{summary|histogram}/{metric}/{file}.json."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.split("_metadata.file_path", "/").alias("p"), F.col("value").alias("json"))
-    return files.select(F.element_at("p", -4).alias("stat_type"), F.element_at("p", -3).alias("kind"), F.element_at("p", -2).alias("metric"), "json")
+    """(stat_type, kind, metric, json) of a tree {stat}/{summary|histogram}/{metric}/{file}, files ending in .json or, as Spark writes text, .txt."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{json,txt}").option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.split("_metadata.file_path", "/").alias("p"), F.col("value").alias("json"))
+    name = lambda k: F.regexp_replace(F.element_at("p", k), "^[a-z_]+=", "")  # noqa: E731  (plain folders, or those of partitions)
+    return files.select(name(-4).alias("stat_type"), name(-3).alias("kind"), name(-2).alias("metric"), "json")
 
 
 def histogram_of_json(stats: DataFrame) -> DataFrame:
@@ -73,6 +74,15 @@ def write_stats_json(df: DataFrame, path: str, by: tuple[str, ...] = ("stat_type
     df.write.partitionBy(*by).json(path)
 
 
+def write_histograms_json(hist: DataFrame, path: str) -> None:
+    """(stat_type, metric, bucket, n) as the tree that read_stats_json reads: {stat}/histogram/{metric}/{file}.json, each
+    file one object from bucket to count. The buckets of a metric are spread over sixteen files."""
+    numbered = hist.withColumn("_part", F.pmod(F.xxhash64("bucket"), F.lit(16)))
+    files = numbered.groupBy("stat_type", "metric", "_part").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("bucket").cast("string"), "n")))).alias("value"))
+    rows = files.select("stat_type", "metric", "value")
+    rows.withColumn("kind", F.lit("histogram")).repartition("stat_type", "metric").write.option("maxRecordsPerFile", 1).partitionBy("stat_type", "kind", "metric").text(path)
+
+
 def write_csv(df: DataFrame, path: str, order: list[str], digits: int = 6) -> None:
     """Sorted rows with a header; floating numbers with fixed digits. Ranges keep the order over several files."""
     cols = [F.format_string(f"%.{digits}f", c).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
