@@ -631,7 +631,7 @@ def prepare(df: DataFrame, key: str, text: str, sample_docs: int = 400, share: f
     ordinary = {w: n for w, n in ordinary.items() if w not in common}
     if common:
         dictionary = dictionary.join(F.broadcast(df.sparkSession.createDataFrame([(w,) for w in sorted(common)], "word string")), "word", "left_anti")
-    prose = base.filter((F.length("text") > 600) & (F.length("text") < 9000) & F.col("text").rlike(r"[^\n]{200}") & ~F.col("text").rlike(r"\|[^\n]*\||\t[^\n]*\t"))
+    prose = base.filter((F.length("text") > 600) & (F.length("text") < 9000) & F.col("text").rlike(r"(?:^|\n)[^\n]{200}") & ~F.col("text").rlike(r"\|[^\n]*\||\t[^\n]*\t"))
     chosen = [r.key for r in prose.select("key", F.md5(F.col("key").cast("string")).alias("h")).orderBy("h", "key").limit(sample_docs).collect()]
     sample = sorted(r.text for r in base.filter(F.col("key").isin(chosen)).select("text").distinct().limit(sample_docs).collect()) if chosen else []
     return train(sample, ordinary), dictionary, frequencies
