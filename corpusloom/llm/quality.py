@@ -173,7 +173,9 @@ def _vectors(lines: list[str], line_doc: np.ndarray, words: Words, flags: dict,
     best = np.argmax(p.loglik, 1) if len(p.doc) else np.zeros(0, np.int64)
     gain = p.loglik[np.arange(len(best)), best] - p.size * model.mean[best] if len(best) else np.zeros(0)
     fit = np.bincount(own, gain, n) / np.maximum(np.bincount(own, p.size, n), 1)
-    unread = np.bincount(own, np.where((p.lang < 0) & (p.size > 0), p.chars, 0), n) / np.maximum(np.bincount(own, p.chars, n), 1)
+    # Rows and entries are what their shape says, whatever their words are.
+    shaped = np.isin(np.repeat(kind, count)[p.first_token], (TABLE, LIST))
+    unread = np.bincount(own, np.where((p.lang < 0) & (p.size > 0) & ~shaped, p.chars, 0), n) / np.maximum(np.bincount(own, p.chars, n), 1)
     ends = np.asarray([bool(x) and bool(_END.search(x[-6:])) for x in bare], float)
     starts = np.asarray([bool(x) and not x[0].islower() for x in bare], float)
     mean = chars / np.maximum(solid, 1)
