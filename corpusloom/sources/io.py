@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def read_files(spark: SparkSession, path: str, glob: str = "*.parquet") -> DataFrame:
+    """Parquet files of a folder, at any depth, that fit the glob, or that lie in a folder that fits it: a table of many files is such a folder."""
+    read, jvm = spark.read.option("recursiveFileLookup", "true"), spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    above = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(top).toString().rstrip("/").count("/") + 1
+    fits = f"^(?:{jvm.org.apache.hadoop.fs.GlobPattern(glob).compiled().pattern()})$"
+    names = F.split("path", "/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(names.alias("names"), F.transform(F.slice(names, above + 1, 1_000_000), lambda x: x.rlike(fits)).alias("fit"))
+    first = above + F.array_position("fit", True).cast("int")
+    found = files.filter(F.array_contains("fit", True)).select(F.concat_ws("/", F.slice("names", 1, first)).alias("path"), (first < F.size("names")).alias("folder")).distinct().collect()
+    if not any(r.folder for r in found):
+        return read.option("pathGlobFilter", glob).parquet(path)
+    return read.parquet(*(re.sub(r"([\\{}\[\]*?])", r"\\\1", r.path) for r in found))
+
+
 def read_documents(spark: SparkSession, path: str, glob: str = "*.parquet", text_key: str = "text", id_key: str = "id", defaults: dict | None = None, limit: int = -1) -> DataFrame:
-    """Parquet files of a folder that fit the glob, with text and id under these names, defaults where a column is null or absent."""
-    df = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").parquet(path)
+    """read_files() with text and id under these names, defaults where a column is null or absent."""
+    df = read_files(spark, path, glob)
     for old, new in ((text_key, "text"), (id_key, "id")):
         if old != new:
             df = df.drop(new).withColumnRenamed(old, new)
