@@ -33,7 +33,7 @@ def io4_rejected_sink(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT count(*) AS n, sum(length(text)) AS chars FROM documents")
 def io9_scan(s: SparkSession, d: str) -> DataFrame:
-    return s.read.option("pathGlobFilter", "documents.parquet").option("recursiveFileLookup", "true").parquet(d).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    return io.read_files(s, d, "documents.parquet").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
 @query("SELECT column_name FROM (DESCRIBE SELECT * FROM raw_corpus)")

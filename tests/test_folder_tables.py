@@ -11,7 +11,7 @@ _ROWS = [(1, "a", "some text", 0.5), (2, "b", None, None), (3, "c", "", 0.9), (4
 _COLUMNS = "doc_id long, id string, text string, fasttext_en double"
 
 
-@pytest.mark.parametrize("name", ["io1_read_documents"])
+@pytest.mark.parametrize("name", ["io1_read_documents", "io9_scan"])
 @pytest.mark.parametrize("files", [0, 3])
 def test_a_table_of_one_file_or_many(spark, tmp_path, name, files):
     df = spark.createDataFrame(_ROWS, _COLUMNS)
