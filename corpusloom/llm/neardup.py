@@ -72,7 +72,20 @@ _BLOCK_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("grp",
 POSTINGS, KNOWN, META = range(3)
 MANY = 255
 RADIX = 2048
-_ALONE = np.uint32(0xFFFF)  # in place of a document: postings that stayed with their chunk
+_PLACE = np.uint32(0xFFFF)
+_ALONE = np.uint32(0xFF00)  # in place of a document, from here on: postings that stayed with their chunk; the lower byte is the code of their number
+
+
+def _code(count: np.ndarray) -> np.ndarray:
+    """Numbers in a byte that keeps their order: below 128 as they are, then in steps of a twelfth, up to 7 million."""
+    return np.where(count < 128, count, np.minimum(255, 128 + np.floor(8 * np.log2(np.maximum(count, 128) / 128)))).astype(np.uint8)
+
+
+def _count(code: np.ndarray) -> np.ndarray:
+    return np.where(code < 128, code, np.ceil(128 * 2 ** (np.maximum(code.astype(np.int64) - 128, 0) / 8))).astype(np.int64)
+
+
+HOT = int(_code(np.asarray(MANY)))
 
 
 def radices(buckets: int, radix: int = RADIX) -> list[int]:
@@ -154,7 +167,7 @@ def _blocks(split: list[int], length: int, chunk_runs: int, parts: int):
                 home = np.repeat(count >= MANY, count)
                 add(KNOWN, home)
                 told = first[count >= MANY]
-                place[told] |= _ALONE
+                place[told] = (place[told] & ~_PLACE) | _ALONE | _code(count[count >= MANY])
                 home[told] = False
                 add(POSTINGS, ~home)
             else:
@@ -242,7 +255,7 @@ def _up(digits: int, span: int, level: int):
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reduce: all blocks of some hash ranges to blocks of the runs in two records or more, with their frequency up to MANY."""
+    """Reduce: all blocks of some hash ranges to blocks of the runs in two records or more, with the code of their frequency."""
     by: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
     for batch in batches:
         out = []
@@ -256,15 +269,16 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for bucket, blocks in by.items():
         every = np.concatenate([h for _, h, _ in blocks])
         order = np.argsort(every, kind="stable")
-        weight = np.where((np.concatenate([d for _, _, d in blocks]) & _ALONE) == _ALONE, MANY, 1)[order]
+        place = np.concatenate([d for _, _, d in blocks]) & _PLACE
+        weight = np.where(place >= _ALONE, _count(place & np.uint32(0xFF)), 1)[order]
         every = every[order]
         first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
         count = np.add.reduceat(weight, first)
-        shared, count = every[first][count > 1], np.minimum(count[count > 1], MANY).astype(np.uint8)
+        shared, count = every[first][count > 1], _code(count[count > 1])
         out = []
         for grp, h, place in blocks:
             at = np.minimum(np.searchsorted(shared, h), max(0, len(shared) - 1))
-            ok = (shared[at] == h if len(shared) else np.zeros(len(h), bool)) & ((place & _ALONE) != _ALONE)
+            ok = shared[at] == h if len(shared) else np.zeros(len(h), bool)
             if ok.any():
                 out.append((POSTINGS, bucket, grp, _split(h[ok]), _pack_places(place[ok]), b"", count[at[ok]].tobytes()))
         if out:
@@ -279,17 +293,27 @@ def _records(threshold: float, span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meta: dict[int, tuple] = {}
         parts: dict[int, list[tuple]] = {}
+        told: dict[int, list[tuple]] = {}  # frequencies of what stayed in the chunk
         for batch in batches:
             for r in batch.to_pylist():
                 if r["kind"] == META:
                     meta[r["grp"]] = (np.frombuffer(r["hashes"], "<i8"), np.frombuffer(r["places"], "<i4"), r["rest"])
                 else:
                     h = _join(r["hashes"])
-                    count = np.frombuffer(r["counts"], np.uint8) if r["kind"] == POSTINGS else np.full(len(h), MANY, np.uint8)
-                    parts.setdefault(r["grp"], []).append(((np.uint64(1) * (r["bucket"] * span + _rest(r["rest"], len(h))).astype(np.uint64) << np.uint64(32)) | h.astype(np.uint64), _unpack_places(r["places"]) & _ALONE, count))
+                    token, place = ((r["bucket"] * span + _rest(r["rest"], len(h))).astype(np.uint64) << np.uint64(32)) | h.astype(np.uint64), _unpack_places(r["places"]) & _PLACE
+                    count = np.frombuffer(r["counts"], np.uint8) if r["kind"] == POSTINGS else np.zeros(len(h), np.uint8)
+                    alone = place >= _ALONE
+                    if alone.any():
+                        told.setdefault(r["grp"], []).append((token[alone], count[alone]))
+                        token, place, count = token[~alone], place[~alone], count[~alone]
+                    parts.setdefault(r["grp"], []).append((token, place, count))
         for chunk, blocks in parts.items():
             keys, sizes, digests = meta[chunk]
             token, doc, count = (np.concatenate(x) for x in zip(*blocks, strict=True))
+            if chunk in told:
+                known, often = (np.concatenate(x) for x in zip(*told.pop(chunk), strict=True))
+                order = np.argsort(known)
+                count[count == 0] = often[order][np.searchsorted(known, token[count == 0], sorter=order)]
             doc = doc.astype(np.int64)
             shared = np.bincount(doc, minlength=len(keys))
             need = np.ceil(threshold * sizes - 1e-9).astype(np.int64)
@@ -302,7 +326,7 @@ def _records(threshold: float, span: int):
             for i in np.flatnonzero(alive).tolist():
                 own = token[edge[i] : edge[i + 1]]  # rare ones first
                 lead = int(shared[i] - need[i] + 1)
-                rows.append({"key": int(keys[i]), "set_key": digests[16 * i : 16 * i + 16], "size": int(sizes[i]), "tokens": pack_tokens(own), "leading": own[:lead].astype("<u8").tobytes(), "hot": int((count[edge[i] : edge[i] + lead] >= MANY).sum())})
+                rows.append({"key": int(keys[i]), "set_key": digests[16 * i : 16 * i + 16], "size": int(sizes[i]), "tokens": pack_tokens(own), "leading": own[:lead].astype("<u8").tobytes(), "hot": int((count[edge[i] : edge[i] + lead] >= HOT).sum())})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -321,65 +345,85 @@ def unpack_tokens(data: bytes) -> np.ndarray:
     return halves[:n] | (halves[n:] << np.uint64(32))
 
 
+def bitmaps(tokens: np.ndarray, owner: np.ndarray, records: int) -> np.ndarray:
+    """A row of uint64 words for each record, a bitmap of BITS bits of its tokens."""
+    on = np.zeros((records, BITS), bool)
+    on[owner, ((tokens * _MIX[1]) >> np.uint64(64 - (BITS - 1).bit_length())).astype(np.int64)] = True
+    return np.packbits(on, axis=1, bitorder="little").view("<u8")
+
+
 def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """uint64 words of a bitmap of BITS bits."""
-    out = np.zeros(BITS // 64, np.uint64)
-    bit = (tokens * _MIX[1]) >> np.uint64(64 - (BITS - 1).bit_length())
-    np.bitwise_or.at(out, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-    return out
+    return bitmaps(tokens, np.zeros(len(tokens), np.int64), 1)[0]
+
 
+_ROUTE = "shard int, set_keys binary, sizes binary, bits binary, owners binary, leading binary, rest binary"
 
-def _routes(trees: int, threshold: float):
-    """Map: each record once for each shard of the forest that holds one of its leading tokens.
 
-    Trees of tokens in MANY records or more are one for each band of sizes; a record goes into its own band's and the next
-    one's, as the sizes of a similar pair lie in one band or in two that touch.
+def _routes(trees: int, threshold: float, records: int = 4_000):
+    """Map: blocks of records for each shard of the forest that holds some of their leading tokens.
+
+    With each leading token goes `rest`, how many tokens the record has from there on: no more can be common to two
+    records of which it is the first common one. Trees of tokens in MANY records or more are one for each band of sizes; a
+    record goes into its own band's and the next one's, as the sizes of a similar pair lie in one band or in two that touch.
     """
     width = max(float(np.log(1 / threshold)), 0.05)
-    schema = pa.schema([("shard", pa.int32()), ("set_key", pa.binary()), ("size", pa.int32()), ("shared", pa.int32()), ("bits", pa.binary()), ("leading", pa.binary())])
+    schema = pa.schema([("shard", pa.int32()), *((c, pa.binary()) for c in ("set_keys", "sizes", "bits", "owners", "leading", "rest"))])
+
+    def blocks(held: list[tuple]) -> pa.RecordBatch:
+        keys, size, tokens, leading, hot = zip(*held, strict=True)
+        size, hot = np.asarray(size, np.int64), np.asarray(hot, np.int64)
+        every = [unpack_tokens(x) for x in tokens]
+        shared = np.asarray([len(x) for x in every])
+        bits = bitmaps(np.concatenate(every), np.repeat(np.arange(len(keys)), shared), len(keys))
+        many = np.asarray([len(x) // 8 for x in leading])
+        token, owner = np.frombuffer(b"".join(leading), "<u8"), np.repeat(np.arange(len(keys)), many)
+        place = np.arange(len(token)) - np.repeat(np.cumsum(many) - many, many)
+        rest, often = shared[owner] - place, place >= (many - hot)[owner]
+        band = np.floor(np.log(size) / width + 1e-9).astype(np.int64).astype(np.uint64)[owner[often]]
+        token = np.concatenate((token[~often], *(token[often] * _MIX[4] ^ (band + np.uint64(k)) * _MIX[5] for k in (1, 2))))
+        owner, rest = (np.concatenate((x[~often], x[often], x[often])) for x in (owner, rest))
+        shard = ((token * _MIX[3]) >> np.uint64(32)) % np.uint64(trees)
+        order = np.lexsort((owner, shard))
+        token, owner, rest, shard = token[order], owner[order], rest[order], shard[order]
+        digests = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)
+        sizes = np.stack([size, shared], 1).astype("<i4")
+        rows = []
+        for v, i, j in _values(shard):
+            own, at = np.unique(owner[i:j], return_inverse=True)
+            rows.append({"shard": v, "set_keys": digests[own].tobytes(), "sizes": sizes[own].tobytes(), "bits": bits[own].tobytes(), "owners": at.astype("<u4").tobytes(), "leading": token[i:j].astype("<u8").tobytes(), "rest": rest[i:j].astype("<i4").tobytes()})
+        return pa.RecordBatch.from_pylist(rows, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held = set(), []  # copies of a record go on as one
         for batch in batches:
-            rows = []
-            seen = set()  # copies of a record go on as one
-            for r in batch.to_pylist():
-                if r["set_key"] in seen:
-                    continue
-                seen.add(r["set_key"])
-                tokens = unpack_tokens(r["tokens"])
-                bits = bitmap(tokens).tobytes()
-                lead = np.frombuffer(r["leading"], "<u8")
-                if r["hot"]:
-                    own = np.int64(np.log(r["size"]) / width + 1e-9)
-                    often = lead[len(lead) - r["hot"] :] * _MIX[4]
-                    lead = np.concatenate((lead[: len(lead) - r["hot"]], *(often ^ (np.uint64(band + 1) * _MIX[5]) for band in (own, own + 1))))
-                shard = ((lead * _MIX[3]) >> np.uint64(32)) % np.uint64(trees)
-                for s in np.unique(shard):
-                    rows.append({"shard": int(s), "set_key": r["set_key"], "size": r["size"], "shared": len(tokens), "bits": bits, "leading": lead[shard == s].tobytes()})
-                if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema)
+            for r in zip(*(batch.column(c).to_pylist() for c in ("set_key", "size", "tokens", "leading", "hot")), strict=True):
+                if r[0] not in seen:
+                    seen.add(r[0])
+                    held.append(r)
+                    if len(held) >= records:
+                        yield blocks(held)
+                        held = []
+        if held:
+            yield blocks(held)
 
     return run
 
 
 class Node:
-    """A level of a signature tree as arrays: OR and AND of bitmaps, ranges of sizes, most shared tokens; children are ranges of the level below."""
+    """A level of a signature tree as arrays: OR and AND of bitmaps, ranges of sizes, most shared tokens, most of them from the tree's own on; children are ranges of the level below."""
 
-    def __init__(self, any_: np.ndarray, all_: np.ndarray, low: np.ndarray, high: np.ndarray, most: np.ndarray):
-        self.any, self.all, self.low, self.high, self.most = any_, all_, low, high, most
+    def __init__(self, any_: np.ndarray, all_: np.ndarray, low: np.ndarray, high: np.ndarray, most: np.ndarray, rest: np.ndarray | None = None):
+        self.any, self.all, self.low, self.high, self.most, self.rest = any_, all_, low, high, most, most if rest is None else rest
 
     def up(self, fan: int) -> Node:
         at = np.arange(0, len(self.low), fan)
-        return Node(np.bitwise_or.reduceat(self.any, at), np.bitwise_and.reduceat(self.all, at), np.minimum.reduceat(self.low, at), np.maximum.reduceat(self.high, at), np.maximum.reduceat(self.most, at))
+        return Node(np.bitwise_or.reduceat(self.any, at), np.bitwise_and.reduceat(self.all, at), np.minimum.reduceat(self.low, at), *(np.maximum.reduceat(x, at) for x in (self.high, self.most, self.rest)))
 
 
 def possible(x: Node, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
     """Whether two nodes of a level can hold a similar pair: sizes near enough, and the largest overlap large enough."""
-    ok = (x.high[j] >= threshold * x.low[i] - 1e-9) & (x.high[i] >= threshold * x.low[j] - 1e-9)
     need = threshold / (1 + threshold) * (x.low[i] + x.low[j]) - 1e-6
+    ok = (x.high[j] >= threshold * x.low[i] - 1e-9) & (x.high[i] >= threshold * x.low[j] - 1e-9) & (np.minimum(x.rest[i], x.rest[j]) >= need)
     at = np.flatnonzero(ok)
     a, b = i[at], j[at]
     over = np.minimum(x.most[a] - np.bitwise_count(x.all[a] & ~x.any[b]).sum(1).astype(np.int64), x.most[b] - np.bitwise_count(x.all[b] & ~x.any[a]).sum(1).astype(np.int64))
@@ -412,63 +456,94 @@ def dual_traversal(leaf: Node, threshold: float, fan: int = 8, block: int = 200_
             stack.append((k - 1, a[keep], b[keep]))
 
 
+def _near(combined: np.ndarray, size: np.ndarray, rest: np.ndarray, threshold: float, block: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places p < q of sorted lists (combined: list << 32 | size) that sizes and the tokens from the common one on don't rule out."""
+    share = threshold / (1 + threshold)
+    high = np.floor(np.minimum(size / threshold + 1e-6, (rest + 1e-6) / share - size + 1e-6)).astype(np.int64)
+    last = np.searchsorted(combined, (combined & ~np.int64(0xFFFFFFFF)) | np.clip(high, 0, 0x7FFFFFFF), side="right")
+    n = np.maximum(last - np.arange(1, len(size) + 1), 0)
+    at = np.flatnonzero(n)
+    if not len(at):
+        return
+    upto = np.cumsum(n[at])
+    cuts = np.unique(np.searchsorted(upto, np.arange(0, upto[-1], block)))
+    for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)], strict=True):
+        own = n[at[s:e]]
+        p = np.repeat(at[s:e], own)
+        q = p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(own) - own, own)
+        ok = rest[q] >= share * (size[p] + size[q]) - 1e-6
+        yield p[ok], q[ok]
+
+
+LONG = 4_096
+
+
 def _candidates(threshold: float):
-    """Reduce: a shard's trees, each over the records with one leading token, to pairs of set digests."""
+    """Reduce: a shard's trees, each over the records with one leading token, to pairs of set digests.
+
+    Up to LONG records are compared in the order of their sizes, all trees at once; longer ones are traversed.
+    """
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[bytes] = []
-        size, shared, bits, lead = [], [], [], []
+        parts: dict[str, list[np.ndarray]] = {c: [] for c in ("set_keys", "sizes", "bits", "owners", "leading", "rest")}
+        records = 0
         for batch in batches:
-            keys += batch.column("set_key").to_pylist()
-            size.append(batch.column("size").to_numpy())
-            shared.append(batch.column("shared").to_numpy())
-            bits += batch.column("bits").to_pylist()
-            lead += batch.column("leading").to_pylist()
-        if not keys:
+            for r in batch.to_pylist():
+                for c, kind in (("set_keys", "<u8"), ("sizes", "<i4"), ("bits", "<u8"), ("owners", "<u4"), ("leading", "<u8"), ("rest", "<i4")):
+                    parts[c].append(np.frombuffer(r[c], kind) + records if c == "owners" else np.frombuffer(r[c], kind))
+                records += len(parts["sizes"][-1]) // 2
+        if not records:
             return
-        size = np.concatenate(size).astype(np.int64)
-        shared = np.concatenate(shared).astype(np.int64)
-        words = np.frombuffer(b"".join(bits), np.uint64).reshape(len(keys), -1)
-        bits.clear()
-        count = np.asarray([len(x) // 8 for x in lead])
-        token = np.frombuffer(b"".join(lead), "<u8")
-        owner = np.repeat(np.arange(len(keys)), count)
-        order = np.lexsort((size[owner], token))
-        token, owner = token[order], owner[order]
-        first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        length = np.diff(np.append(first, len(token)))
-        records = Node(words, words, size, size, shared)
+        keys, words, token, owner, rest = (np.concatenate(parts.pop(c)) for c in ("set_keys", "bits", "leading", "owners", "rest"))
+        size, shared = np.concatenate(parts.pop("sizes")).reshape(-1, 2).astype(np.int64).T
+        keys, words = keys.reshape(-1, 2), words.reshape(records, -1)
+        # Copies of a record become one; records are numbered by size.
+        order = np.lexsort((keys[:, 1], keys[:, 0], size))
+        new = np.append(True, (keys[order[1:]] != keys[order[:-1]]).any(1))
+        number = np.empty(records, np.int64)
+        number[order] = np.cumsum(new) - 1
+        one = order[new]
+        keys, words, size, shared, owner = keys[one], words[one], size[one], shared[one], number[owner.astype(np.int64)]
+        order = np.lexsort((owner, token))
+        token, owner, rest = token[order], owner[order], rest[order].astype(np.int64)
+        start = np.append(True, token[1:] != token[:-1])
+        once = start | np.append(True, owner[1:] != owner[:-1])
+        start, owner, rest = start[once], owner[once], rest[once]
+        first = np.flatnonzero(start)
+        length = np.diff(np.append(first, len(owner)))
+        leaf = Node(words, words, size, size, shared)
         found: list[np.ndarray] = []
+        held = 0
 
         def take(i: np.ndarray, j: np.ndarray) -> None:
+            nonlocal held
             found.append(np.unique(np.minimum(i, j) * len(keys) + np.maximum(i, j)))
-            if sum(map(len, found)) > 2_000_000:
+            held += len(found[-1])
+            if held > 4_000_000 + 2 * len(found[0]):
                 found[:] = [np.unique(np.concatenate(found))]
-
-        # Trees of one leaf, all of a size at once.
-        for n in np.unique(length[(length > 1) & (length <= 8)]).tolist():
-            groups = owner[first[length == n][:, None] + np.arange(n)]
-            x, y = np.triu_indices(n, 1)
-            for s in range(0, len(groups), 20_000):
-                i, j = groups[s : s + 20_000, x].ravel(), groups[s : s + 20_000, y].ravel()
-                pair = np.unique(np.minimum(i, j) * len(keys) + np.maximum(i, j))
-                i, j = pair // len(keys), pair % len(keys)
-                ok = possible(records, i, j, threshold)
-                take(i[ok], j[ok])
-        # Larger trees.
-        for f, n in zip(first[length > 8].tolist(), length[length > 8].tolist(), strict=True):
+                held = len(found[0])
+
+        every = np.repeat(length, length)
+        short = (every > 1) & (every <= LONG)
+        at, left, own = (np.repeat(np.arange(len(first)), length)[short], rest[short], owner[short])
+        for p, q in _near((at << 32) | size[own], size[own], left, threshold):
+            i, j = own[p], own[q]
+            ok = possible(leaf, i, j, threshold)
+            take(i[ok], j[ok])
+        for f, n in zip(first[length > LONG].tolist(), length[length > LONG].tolist(), strict=True):
             own = owner[f : f + n]
-            leaf = Node(words[own], words[own], size[own], size[own], shared[own])
-            for i, j in dual_traversal(leaf, threshold):
+            for i, j in dual_traversal(Node(words[own], words[own], size[own], size[own], shared[own], rest[f : f + n]), threshold):
                 take(own[i], own[j])
         if found:
             pair = np.unique(np.concatenate(found))
+            digest = keys.astype("<u8").view(">u8")
             for s in range(0, len(pair), 100_000):
-                p = pair[s : s + 100_000]
-                i, j = (p // len(keys)).tolist(), (p % len(keys)).tolist()
-                ends = [(keys[a], keys[b]) if keys[a] < keys[b] else (keys[b], keys[a]) for a, b in zip(i, j, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in ends], pa.binary()), pa.array([b for _, b in ends], pa.binary())], schema=schema)
+                i, j = np.divmod(pair[s : s + 100_000], len(keys))
+                x, y = digest[i], digest[j]
+                swap = (x[:, 0] > y[:, 0]) | ((x[:, 0] == y[:, 0]) & (x[:, 1] > y[:, 1]))
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(16), len(e), [None, pa.py_buffer(keys[e].tobytes())]).cast(pa.binary()) for e in (i, j)], schema=schema)
 
     return run
 
@@ -492,7 +567,7 @@ def _exact(threshold: float):
     return run
 
 
-def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.6, length: int = 5, radix: int = RADIX, chunk_runs: int = 4_000_000, range_runs: int = 3_500_000) -> tuple[DataFrame, DataFrame]:
+def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.6, length: int = 5, radix: int = RADIX, chunk_runs: int = 4_000_000, range_runs: int = 3_500_000, shard_tokens: int = 2_500_000) -> tuple[DataFrame, DataFrame]:
     """(members: key, set_key; pairs: a, b, similarity) over the sets of word runs; keys are whole numbers.
 
     members has each row whose set some other record may share in part; rows of one set have one set_key. pairs has the
@@ -505,7 +580,7 @@ def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
         raise TypeError(f"keys of near duplicates are whole numbers, `{key}` is {df.schema[key].dataType.simpleString()}")
     base = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text")).filter("text IS NOT NULL AND key IS NOT NULL")
     # About a run for each six characters: everything is sized by runs, so that long texts count for more.
-    rows, chars = base.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()
+    chars = base.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0]
     split = radices(max(48, chars // 6 // range_runs), radix)
     buckets = int(np.prod(split))
     spans = [int(np.prod(split[k + 1 :])) for k in range(len(split))]
@@ -521,10 +596,11 @@ def similar_sets(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
         shared = shared.repartition(buckets, *back).sortWithinPartitions(*back).mapInArrow(_up(split[k], spans[k], k), _BLOCK)
     chunks = max(24, chars // 6 // range_runs)
     alive = cut(shared.repartition(chunks, "grp").mapInArrow(_records(threshold, spans[0]), "key long, set_key binary, size int, tokens binary, leading binary, hot int"), "records")
-    shards = max(8, rows // 25_000)
-    routed = alive.mapInArrow(_routes(shards, threshold), "shard int, set_key binary, size int, shared int, bits binary, leading binary")
-    once = routed.groupBy("shard", "set_key").agg(*[F.first(c).alias(c) for c in ("size", "shared", "bits", "leading")])
-    candidates = cut(once.repartition(shards, "shard").select("set_key", "size", "shared", "bits", "leading").mapInArrow(_candidates(threshold), "a binary, b binary").distinct(), "candidates")
+    # Every shard that holds a leading token of a record gets its bitmap: no more shards than their memory asks for.
+    leading = alive.agg(F.coalesce(F.sum(F.octet_length("leading")), F.lit(0))).first()[0] // 8
+    shards = max(8, leading // shard_tokens)
+    routed = alive.select("set_key", "size", "tokens", "leading", "hot").mapInArrow(_routes(shards, threshold), _ROUTE)
+    candidates = cut(routed.repartitionById(shards, "shard").mapInArrow(_candidates(threshold), "a binary, b binary").distinct(), "candidates")
     ends = candidates.select(F.col("a").alias("set_key")).union(candidates.select("b")).distinct()
     sets = alive.join(ends, "set_key", "left_semi").groupBy("set_key").agg(F.first("tokens").alias("tokens"), F.first("size").alias("size"))
     x = sets.select(F.col("set_key").alias("a"), F.col("tokens").alias("tokens_a"), F.col("size").alias("size_a"))
