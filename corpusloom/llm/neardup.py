@@ -14,7 +14,10 @@ the same set of runs are one class from then on; their pairs come from the class
 
 Scale: runs go to their hash ranges, and back, in rounds of at most RADIX ranges each, so that the number of blocks
 grows with the data, not with its square. A run that fills a chunk (boilerplate of many records) is counted once a chunk
-and its postings stay at home; trees of such runs are split by the records' sizes.
+and its postings stay at home; trees of such runs are split by the records' sizes. With a leading token goes the number of
+tokens from it on, the most that two records can share of which it is the first common one; trees of up to LONG records
+are compared in the order of sizes, larger ones traversed. Each shard needs the bitmaps of its records, so that shards
+are as few as their leading tokens allow.
 """
 
 from __future__ import annotations
@@ -621,7 +624,9 @@ def near_duplicate_pairs(df: DataFrame, key: str = "doc_id", text: str = "text",
     several = members.groupBy("set_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("set_key")
     m = members.join(several, "set_key", "left_semi")
     within = m.select("set_key", F.col("key").alias("a")).join(m.select("set_key", F.col("key").alias("b")), "set_key").filter("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
-    found = across.filter("a < b").unionByName(within).distinct()
+    found = across.filter("a < b").unionByName(within)
+    if members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").take(1):  # only pairs of keys that stand in several rows come twice
+        found = found.distinct()
     if not verify:
         return found
     texts = df.select(F.col(f"`{key}`").cast("long").alias("a"), F.col(f"`{text}`").alias("text_a")).filter("text_a IS NOT NULL")

@@ -82,3 +82,14 @@ def test_windows_and_trees_find_the_same(monkeypatch, longest):
         own = {r["set_key"]: set(neardup.unpack_tokens(r["tokens"]).tolist()) for r in rows}
         alike = {(a, b) for a in own for b in own if a < b and (both := len(own[a] & own[b])) / (size[a] + size[b] - both) >= 0.6}
         assert len(alike) > 50 and alike <= set(found)
+
+
+def test_keys_in_several_rows_give_each_pair_once(spark):
+    line = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, line), (2, line), (2, line + " end"), (3, line + " other"), (1, line), (4, "nothing like any of the other lines here")]
+    for several in (rows, rows[1:2] + rows[3:5]):
+        df = spark.createDataFrame(several, "doc_id long, text string")
+        got = [(r.a, r.b) for r in neardup.near_duplicate_pairs(df).select("a", "b").distinct().collect()]
+        assert sorted(got) == [(1, 2), (1, 3), (2, 3)]
+    one = [(r.a, r.b) for r in neardup.near_duplicate_pairs(df).collect()]
+    assert sorted(one) == [(1, 2), (1, 3), (2, 3)]
